@@ -113,11 +113,12 @@ def flow_report(flow_msgs: DataFrame, processed: DataFrame) -> DataFrame:
     """
     made = flow_msgs.groupBy("flow", "topic").agg(F.count(F.lit(1)).alias("produced"))
     took = group_stats(processed).select("topic", "group_id", "consumed")
-    own = F.startswith(F.col("group_id"), F.concat("flow", F.lit("-"), "topic", F.lit("-")))
     m, t = made.alias("m"), took.alias("t")
-    joined = m.join(t, (F.col("m.topic") == F.col("t.topic")) & own, "left").groupBy(
-        "flow", "m.topic", "produced"
-    ).agg(F.sum("consumed").alias("consumed"))
+    prefix = F.concat(F.col("m.flow"), F.lit("-"), F.col("m.topic"), F.lit("-"))
+    own = (F.col("m.topic") == F.col("t.topic")) & F.startswith(F.col("t.group_id"), prefix)
+    joined = m.join(t, own, "left").groupBy("flow", "m.topic", "produced").agg(
+        F.sum("consumed").alias("consumed")
+    )
     lag = F.col("produced") - F.coalesce("consumed", F.lit(0))
     return joined.select(
         "flow", "topic", "produced", "consumed", lag.alias("lag"),

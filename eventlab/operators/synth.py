@@ -230,15 +230,14 @@ def inject_duplicates(df: DataFrame, rate: float, seed: int = 0, idx: str = "row
 
 
 def send_position(
-    df: DataFrame, keys: list[str], idx: str = "row_index", name: str = "position",
-    broadcast_rows: int | None = None,
+    df: DataFrame, keys: list[str], idx: str = "row_index", name: str = "position"
 ) -> DataFrame:
     """Add the send position per ``keys``: copies take a position of their own."""
     copy = F.col("copy_no") if "copy_no" in df.columns else F.lit(0)
     ordered = df.withColumn("_send", F.col(idx).cast("bigint") * 2 + copy)
-    return number_rows(ordered, keys, "_send", name, broadcast_rows=broadcast_rows).drop("_send")
+    return number_rows(ordered, keys, "_send", name).drop("_send")
 
 
-def with_offsets(df: DataFrame, idx: str = "row_index", broadcast_rows: int | None = None) -> DataFrame:
+def with_offsets(df: DataFrame, idx: str = "row_index") -> DataFrame:
     """Add ``offset``: position within (topic, partition)."""
-    return send_position(df, ["topic", "partition"], idx, "offset", broadcast_rows)
+    return send_position(df, ["topic", "partition"], idx, "offset")

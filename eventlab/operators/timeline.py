@@ -101,9 +101,7 @@ def expand_groups(items: DataFrame, horizon: int) -> DataFrame:
     )
 
 
-def effect_intervals(
-    firings: DataFrame, horizon: int, broadcast_rows: int | None = None, width: int = 3_600
-) -> DataFrame:
+def effect_intervals(firings: DataFrame, horizon: int, width: int = 3_600) -> DataFrame:
     """Interval ``[seg_from, seg_to)`` in seconds over which each firing has effect.
 
     ``firings`` has incident_id, type, target, fire, duration_seconds and any
@@ -123,7 +121,7 @@ def effect_intervals(
     latest = lasting.groupBy("_line", "target", "fire").agg(
         F.max(F.struct("incident_id", *rest)).alias("_r")
     ).select("_line", "target", "fire", "_r.*")
-    open_until = successor(latest, ["_line", "target"], "fire", "seg_to", width, broadcast_rows)
+    open_until = successor(latest, ["_line", "target"], "fire", "seg_to", width)
     changed = open_until.where(kind != BROKER_UP).select(*firings.columns, "seg_to")
     return (
         fixed.unionByName(changed)
@@ -202,14 +200,12 @@ def annotate(
 
     ``intervals`` has keys, seg_from, seg_to (microseconds) and the label.
     """
-    cut = elementary(intervals, keys, label, broadcast_rows, width)
+    cut = elementary(intervals, keys, label, width)
     placed = locate(msgs, epoch_micros(F.col("ts")), cut, keys, width, "left", broadcast_rows)
     return placed.withColumnRenamed("labels", "incidents").drop("seg_from", "seg_to")
 
 
-def setting_segments(
-    changes: DataFrame, keys: list[str], width: int = HOUR * 24, broadcast_rows: int | None = None
-) -> DataFrame:
+def setting_segments(changes: DataFrame, keys: list[str], width: int = HOUR * 24) -> DataFrame:
     """Changes (keys, at_micros, setting) as segments up to the next change.
 
     Of changes at one time the largest setting holds.
@@ -217,7 +213,7 @@ def setting_segments(
     one = changes.groupBy(*keys, F.col("at_micros").alias("seg_from")).agg(
         F.max("setting").alias("setting")
     )
-    return successor(one, keys, "seg_from", "seg_to", width, broadcast_rows)
+    return successor(one, keys, "seg_from", "seg_to", width)
 
 
 def asof_setting(
@@ -225,7 +221,7 @@ def asof_setting(
     width: int = HOUR, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add the latest setting changed at or before each message, else ``default``."""
-    segments = setting_segments(changes, keys, broadcast_rows=broadcast_rows).withColumnRenamed(
+    segments = setting_segments(changes, keys).withColumnRenamed(
         "setting", "_setting"
     )
     placed = locate(msgs, epoch_micros(F.col("ts")), segments, keys, width, "left", broadcast_rows)
@@ -239,7 +235,7 @@ def outside(
     width: int = HOUR, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Messages outside (or inside) every paused interval."""
-    cut = elementary(pauses.withColumn("_p", F.lit(1)), keys, "_p", broadcast_rows, width)
+    cut = elementary(pauses.withColumn("_p", F.lit(1)), keys, "_p", width)
     how = "left_semi" if inside else "left_anti"
     return locate(msgs, epoch_micros(F.col("ts")), cut, keys, width, how, broadcast_rows)
 
@@ -267,7 +263,7 @@ def impact(
         *keys, F.concat_ws("|", F.col("_p.phase"), "_id").alias("_label"),
         F.col("_p.a").alias("seg_from"), F.col("_p.b").alias("seg_to"),
     )
-    cut = elementary(phases, keys, "_label", broadcast_rows, width)
+    cut = elementary(phases, keys, "_label", width)
     at = epoch_micros(F.col("ts"))
     slim = processed.select(*keys, "ts", (F.col("failures") > 0).cast("bigint").alias("_failed"))
     placed = locate(slim, at, cut.drop("labels"), keys, width, "inner", broadcast_rows)

@@ -11,62 +11,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizing import join_side
-
 BLOCK = 65_536
 
 
 def number_rows(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    name: str,
-    block: int = BLOCK,
-    broadcast_rows: int | None = None,
+    df: DataFrame, keys: list[str], order: str, name: str, block: int = BLOCK
 ) -> DataFrame:
     """Add ``name`` = 0-based position within ``keys`` by unique integer ``order``."""
     ones = df.withColumn("_one", F.lit(1).cast("bigint"))
-    out = running_total(ones, keys, order, "_one", name, block, broadcast_rows)
+    out = running_total(ones, keys, order, "_one", name, block)
     return out.withColumn(name, F.col(name) - 1).drop("_one")
 
 
 def running_total(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    value: str,
-    name: str,
-    block: int = BLOCK,
-    broadcast_rows: int | None = None,
+    df: DataFrame, keys: list[str], order: str, value: str, name: str, block: int = BLOCK
 ) -> DataFrame:
-    """Add ``name`` = sum of integer ``value`` up to and including each row."""
-    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)).cast("bigint"))
-    totals = blocked.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
+    """Add ``name`` = sum of integer ``value`` up to and including each row.
+
+    Rows are shuffled once, by (keys, block): the join with the sums of earlier
+    blocks and the window inside a block share that partitioning. Which side of
+    the join is broadcast, if any, is left to the adaptive planner.
+    """
+    blocked = _grouped(df, keys).withColumn(
+        "_block", F.floor(F.col(order) / F.lit(block)).cast("bigint")
+    )
+    totals = blocked.groupBy("_key", "_block").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy("_key").orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
     carried = totals.select(
-        *keys, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")
-    )
-    side = (
-        join_side(carried)
-        if broadcast_rows is None
-        else join_side(carried, limit=broadcast_rows)
+        "_key", "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")
     )
-    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(
+    inside = Window.partitionBy("_key", "_block").orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    # Null keys form a group of their own, as in groupBy.
-    left, right = blocked.alias("l"), side.alias("r")
-    same = F.col("l._block") == F.col("r._block")
-    for k in keys:
-        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    joined = left.join(right, same).select("l.*", "r._before")
-    return joined.withColumn(name, F.sum(value).over(inside) + F.col("_before")).drop(
-        "_block", "_before"
+    return (
+        blocked.join(carried, ["_key", "_block"])
+        .withColumn(name, F.sum(value).over(inside) + F.col("_before"))
+        .drop("_key", "_block", "_before")
     )
 
 
+def _grouped(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``_key``: the keys as one struct, which joins null keys to null keys too."""
+    return df.withColumn("_key", F.struct(*keys) if keys else F.struct(F.lit(0)))
+
+
 def explode_count(df: DataFrame, count: Column, name: str, chunk: int = 4_096) -> DataFrame:
     """Repeat each row ``count`` times with ``name`` = 0..count-1.
 
@@ -82,31 +72,24 @@ def explode_count(df: DataFrame, count: Column, name: str, chunk: int = 4_096) -
     return out.withColumn(name, F.explode(F.sequence(first, last))).drop("_n", "_c")
 
 
-def successor(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    name: str,
-    width: int,
-    broadcast_rows: int | None = None,
-) -> DataFrame:
+def successor(df: DataFrame, keys: list[str], order: str, name: str, width: int) -> DataFrame:
     """Add ``name`` = the next larger value of ``order`` within ``keys``.
 
     ``order`` is a whole number, unique within ``keys``. The next value is
     looked up inside ranges of ``width`` values; the last row of a range takes
     the first value of the next range that has any.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
-    firsts = ranged.groupBy(*keys, "_range").agg(F.min(order).alias("_first"))
+    ranged = _grouped(df, keys).withColumn(
+        "_range", F.floor(F.col(order) / F.lit(width)).cast("bigint")
+    )
+    firsts = ranged.groupBy("_key", "_range").agg(F.min(order).alias("_first"))
     ahead = firsts.select(
-        *keys,
-        "_range",
-        F.lead("_first").over(Window.partitionBy(*keys).orderBy("_range")).alias("_next"),
+        "_key", "_range",
+        F.lead("_first").over(Window.partitionBy("_key").orderBy("_range")).alias("_next"),
     )
-    side = join_side(ahead) if broadcast_rows is None else join_side(ahead, limit=broadcast_rows)
-    inside = Window.partitionBy(*keys, "_range").orderBy(order)
+    inside = Window.partitionBy("_key", "_range").orderBy(order)
     return (
-        ranged.join(side, [*keys, "_range"])
+        ranged.join(ahead, ["_key", "_range"])
         .withColumn(name, F.coalesce(F.lead(order).over(inside), F.col("_next")))
-        .drop("_range", "_next")
+        .drop("_key", "_range", "_next")
     )

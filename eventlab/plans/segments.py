@@ -60,11 +60,7 @@ def locate(
 
 
 def elementary(
-    intervals: DataFrame,
-    keys: list[str],
-    label: str,
-    broadcast_rows: int = BROADCAST_ROWS,
-    width: int = HOUR,
+    intervals: DataFrame, keys: list[str], label: str, width: int = HOUR
 ) -> DataFrame:
     """Cut overlapping intervals into segments with the labels in force.
 
@@ -78,9 +74,9 @@ def elementary(
         real.select(*keys, F.explode(F.array("seg_from", "seg_to")).alias("seg_from"))
         .distinct()
     )
-    cuts = successor(
-        marks, keys, "seg_from", "seg_to", width * 24, broadcast_rows
-    ).where(F.col("seg_to").isNotNull())
+    cuts = successor(marks, keys, "seg_from", "seg_to", width * 24).where(
+        F.col("seg_to").isNotNull()
+    )
     # A cut starts inside every interval that covers it.
     first = F.floor(F.col("seg_from") / F.lit(width)).cast("bigint")
     last = F.floor((F.col("seg_to") - 1) / F.lit(width)).cast("bigint")
@@ -91,8 +87,7 @@ def elementary(
         F.col(label).alias("_label"),
         (first + F.col("_step")).alias("_bucket"),
     )
-    side = join_side(spread, limit=broadcast_rows)
-    held = cuts.withColumn("_bucket", first).join(side, [*keys, "_bucket"]).where(
+    held = cuts.withColumn("_bucket", first).join(spread, [*keys, "_bucket"]).where(
         (F.col("_a") <= F.col("seg_from")) & (F.col("_b") > F.col("seg_from"))
     )
     return held.groupBy(*keys, "seg_from", "seg_to").agg(
