@@ -191,9 +191,10 @@ def hot_messages(spark, sf):
 
 HOT = f"""w AS (SELECT i, greatest(1, floor({1 << 51}::DOUBLE / pow(i + 1.0::DOUBLE, 1.5::DOUBLE))::BIGINT) AS w
         FROM range(50) AS t(i)),
-  c AS (SELECT i, sum(w) OVER (ORDER BY i) - w AS lo, sum(w) OVER (ORDER BY i) AS hi FROM w),
-  d AS (SELECT l_returnflag AS topic, floor({u_sql("'key'", 'l_orderkey')} * (SELECT sum(w) FROM w)::DOUBLE)::BIGINT AS x
-        FROM lineitem),
+  b AS (SELECT i, (sum(w) OVER (ORDER BY i) - w)::DOUBLE AS lo, (sum(w) OVER (ORDER BY i))::DOUBLE AS hi,
+               (sum(w) OVER ())::DOUBLE AS total FROM w),
+  c AS (SELECT i, lo / total AS lo, hi / total AS hi FROM b),
+  d AS (SELECT l_returnflag AS topic, {u_sql("'key'", 'l_orderkey')} AS x FROM lineitem),
   hot AS (SELECT topic, {partition_sql("'key-' || i")} AS "partition" FROM d JOIN c ON x >= lo AND x < hi),
   counts AS (SELECT topic, "partition", count(*) AS n FROM hot GROUP BY topic, "partition")"""
 

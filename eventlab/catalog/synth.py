@@ -229,8 +229,10 @@ def _zipf_sql(table_name: str, idx: str, cardinality: int) -> str:
     WITH w AS (
       SELECT i, greatest(1, floor({scale}::DOUBLE / pow(i + 1.0::DOUBLE, 1.5::DOUBLE))::BIGINT) AS w
       FROM range({cardinality}) AS t(i)),
-    c AS (SELECT i, sum(w) OVER (ORDER BY i) - w AS lo, sum(w) OVER (ORDER BY i) AS hi FROM w),
-    d AS (SELECT {idx}, floor({u_sql("'key'", idx)} * (SELECT sum(w) FROM w)::DOUBLE)::BIGINT AS x FROM {table_name})
+    s AS (SELECT i, (sum(w) OVER (ORDER BY i) - w)::DOUBLE AS lo, (sum(w) OVER (ORDER BY i))::DOUBLE AS hi,
+                 (sum(w) OVER ())::DOUBLE AS total FROM w),
+    c AS (SELECT i, lo / total AS lo, hi / total AS hi FROM s),
+    d AS (SELECT {idx}, {u_sql("'key'", idx)} AS x FROM {table_name})
     SELECT {idx}, 'key-' || i AS key FROM d JOIN c ON x >= lo AND x < hi"""
 
 

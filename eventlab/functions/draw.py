@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_52 = float(1 << 52)
+UNIT_52 = 2.0**-52
 
 
 def _text(part: Column | str | int) -> Column:
@@ -26,13 +26,24 @@ def digest(seed: int, path: Column | str, idx: Column, chunk: Column | int = 0)
 
 
 def bits(hexes: Column, start: int, digits: int) -> Column:
-    """``digits`` hex characters from ``start`` (1-based) as a BIGINT."""
-    return F.conv(F.substring(hexes, start, digits), 16, 10).cast("bigint")
+    """``digits`` hex characters from ``start`` (1-based) as a BIGINT.
+
+    Text from md5 always converts; saying so with coalesce keeps the planner
+    from adding null checks that would hash every row a second time.
+    """
+    number = F.conv(F.substring(hexes, start, digits), 16, 10).cast("bigint")
+    return F.coalesce(number, F.lit(0).cast("bigint"))
+
+
+def draw_from(hexes: Column, half: int = 0) -> Column:
+    """One of the two uniform draws in [0, 1) an md5 text holds."""
+    # Multiplying is exact here and, unlike dividing, never null for the planner.
+    return bits(hexes, 1 + 13 * half, 13) * F.lit(UNIT_52)
 
 
 def u(seed: int, path: Column | str, idx: Column, k: int = 0) -> Column:
     """Uniform draw in [0, 1)."""
-    return bits(digest(seed, path, idx, k // 2), 1 + 13 * (k % 2), 13) / F.lit(TWO_52)
+    return draw_from(digest(seed, path, idx, k // 2), k % 2)
 
 
 def pick(draw: Column, low: int, high: int) -> Column:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draw import u
+from ..functions.draw import digest, draw_from
 from ..plans.sizing import BROADCAST_ROWS, join_side
 
 POLICIES = ("skip", "retry", "dlq")
@@ -78,16 +78,19 @@ def process(
     i, group = F.col(idx), F.col("group_id")
     tries = 1 + policy.max_retries if policy.on_failure == "retry" else 1
     lost = {"skip": "skip", "dlq": "dlq", "retry": "exhausted"}[policy.on_failure]
-    draw = u(seed, F.concat(F.lit("fail/"), group), i)
-    commit = u(seed, F.concat(F.lit("fail/"), group), i, 1)
-    out = msgs.withColumn("failures", failed_attempts(draw, policy.failure_rate, tries))
+    # One hash holds both draws of a row.
+    hashed = msgs.withColumn("_h", digest(seed, F.concat(F.lit("fail/"), group), i))
+    out = hashed.withColumn(
+        "failures", failed_attempts(draw_from(F.col("_h")), policy.failure_rate, tries)
+    )
     ok = F.col("failures") < F.lit(tries)
     out = out.withColumn("status", F.when(ok, F.lit("ok")).otherwise(F.lit(lost)))
     out = out.withColumn("attempts", F.least(F.col("failures") + 1, F.lit(tries)))
     out = out.withColumn("retries", F.col("attempts") - 1)
+    commit = draw_from(F.col("_h"), 1)
     return out.withColumn(
         "commit_failed", ok & (commit < F.lit(float(policy.commit_failure_rate)))
-    )
+    ).drop("_h")
 
 
 def value_size(value: Column) -> Column:

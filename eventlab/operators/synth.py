@@ -51,7 +51,9 @@ def lookup_col(
     size = mine.agg((F.max("pos") + 1).alias("n"))
     drawn = df.withColumn(
         "_pos",
-        F.floor(u(seed, path or name, F.col(idx)) * size.scalar().cast("double")).cast("bigint"),
+        F.floor(
+            u(seed, path or name, F.col(idx)) * F.coalesce(size.scalar(), F.lit(0)).cast("double")
+        ).cast("bigint"),
     )
     text = F.col("value").cast("string").alias(name)
     side = join_side(mine.select(F.col("pos").alias("_pos"), text), limit=broadcast_rows)
@@ -105,19 +107,19 @@ def zipf_key(
     if cardinality < 1:
         raise ValueError("key cardinality must be at least 1")
     buckets = max(64, cardinality)
-    weights = zipf_weights(df.sparkSession, cardinality, exponent)
     cell = F.lit(float(buckets))
-    first = F.floor(F.col("lo") / F.col("total").cast("double") * cell).cast("bigint")
-    last = F.floor((F.col("hi") - 1) / F.col("total").cast("double") * cell).cast("bigint")
-    # One bucket to either side covers rounding of the divisions.
-    guide = explode_count(weights, last - first + 3, "_step").select(
-        (first - 1 + F.col("_step")).alias("_bucket"), "rank", "lo", "hi"
+    # Neighbouring ranks divide the same number, so their bounds meet exactly.
+    shares = zipf_weights(df.sparkSession, cardinality, exponent).select(
+        "rank", (F.col("lo") / F.col("total")).alias("lo"), (F.col("hi") / F.col("total")).alias("hi")
     )
-    total = weights.agg(F.max("total"))
-    side = join_side(guide, known_rows=buckets + 4 * cardinality, limit=broadcast_rows)
-    draw = u(seed, "key", F.col(idx))
-    left = df.withColumn("_at", F.floor(draw * total.scalar().cast("double")).cast("bigint")).withColumn(
-        "_bucket", F.floor(draw * cell).cast("bigint")
+    first = F.floor(F.col("lo") * cell).cast("bigint")
+    last = F.least(F.floor(F.col("hi") * cell).cast("bigint"), F.lit(buckets - 1))
+    guide = explode_count(shares, last - first + 1, "_step").select(
+        (first + F.col("_step")).alias("_bucket"), "rank", "lo", "hi"
+    )
+    side = join_side(guide, known_rows=buckets + 2 * cardinality, limit=broadcast_rows)
+    left = df.withColumn("_at", u(seed, "key", F.col(idx))).withColumn(
+        "_bucket", F.floor(F.col("_at") * cell).cast("bigint")
     )
     hit = (F.col("_at") >= F.col("lo")) & (F.col("_at") < F.col("hi"))
     joined = left.join(side, "_bucket").where(hit)
