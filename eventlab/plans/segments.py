@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import explode_count, successor
-from .sizing import BROADCAST_ROWS, join_side
+from .sizing import BROADCAST_ROWS, join_side, settle
 
 HOUR = 3_600_000_000
 
@@ -45,7 +45,7 @@ def locate(
     cut = cut.withColumn("_bucket", first + F.col("_step")).drop("_step", "_top")
 
     left = placed.withColumn("_bucket", F.floor(F.col("_pos") / F.lit(width)).cast("bigint")).alias("l")
-    right = join_side(cut, limit=broadcast_rows).alias("r")
+    right = join_side(settle(cut, "segments"), limit=broadcast_rows).alias("r")
     cond = F.col("l._bucket") == F.col("r._bucket")
     for k in keys:
         cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
@@ -69,7 +69,12 @@ def elementary(
     ``intervals`` has ``keys, seg_from, seg_to`` and the ``label`` column, with
     ``seg_to`` set.
     """
-    real = intervals.where(F.col("seg_to") > F.col("seg_from"))
+    real = settle(
+        intervals.where(F.col("seg_to") > F.col("seg_from")).select(
+            *keys, "seg_from", "seg_to", label
+        ),
+        "intervals",
+    )
     marks = (
         real.select(*keys, F.explode(F.array("seg_from", "seg_to")).alias("seg_from"))
         .distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 # A broadcast side stays below this many rows (a few MB of narrow rows).
 BROADCAST_ROWS = 100_000
 
@@ -23,3 +25,14 @@ def join_side(df: DataFrame, known_rows: int | None = None, limit: int = BROADCA
     """
     small = known_rows <= limit if known_rows is not None else within(df, limit)
     return F.broadcast(df) if small else df.hint("merge")
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back.
+
+    For the small side of a join whose plan is long: it is computed once, its
+    size is known from the files, and a lost executor does not run it again.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

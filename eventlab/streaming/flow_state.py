@@ -2,96 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.fields import epoch_micros
 from ..operators.flows import Flow
 from .monitors import event_time
 
-OUTPUT = T.StructType([
-    T.StructField("correlation_id", T.StringType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("seen", T.LongType()),
-    T.StructField("missing", T.StringType()),
-])
+OUTPUT = "correlation_id STRING, status STRING, seen BIGINT, missing STRING"
 
-# One row of state per open flow: a bit per step seen, and when it gives up.
-STATE = T.StructType([
-    T.StructField("steps", T.LongType()), T.StructField("deadline", T.LongType()),
-])
+# State of one open flow: a bit per step seen, and the time it gives up.
+STATE = "bits BIGINT, deadline BIGINT"
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+MAX_STEPS = 62
 
 
-def stream_flow_status(msgs: DataFrame, flow: Flow, timeout_seconds: int, late: str) -> DataFrame:
-    """One row per flow instance: complete once every step is seen, else expired.
+def _bit() -> Column:
+    return F.expr("shiftleft(1L, step)")
 
-    An instance expires ``timeout_seconds`` after its first message seen, when
-    the watermark passes. Needs the RocksDB state store (``use_rocksdb``).
+
+def _check(flow: Flow) -> int:
+    if len(flow.steps) > MAX_STEPS:
+        raise ValueError(f"flows of more than {MAX_STEPS} steps are not supported")
+    return len(flow.steps)
+
+
+def stream_flow_status(msgs: DataFrame, flow: Flow, timeout: str, late: str) -> DataFrame:
+    """One row per flow instance, once nothing arrived for ``timeout``.
+
+    ``status`` is complete where every step was seen, else expired. Built-in
+    session windows keep one small row of state per instance and fold messages
+    before the shuffle, so an id shared by many messages stays cheap. A complete
+    flow, too, is reported only when its session closes; where that is too late
+    use ``prompt_flow_status``.
+    """
+    steps = _check(flow)
+    sessions = event_time(msgs, late).groupBy(
+        "correlation_id", F.session_window("ts", timeout)
+    ).agg(F.bit_or(_bit()).alias("_bits"))
+    numbers = F.array(*[F.lit(s) for s in range(steps)])
+    missing = F.filter(numbers, lambda s: F.getbit(F.col("_bits"), s) == 0)
+    return sessions.select(
+        "correlation_id",
+        F.when(F.size(missing) == 0, "complete").otherwise("expired").alias("status"),
+        F.bit_count("_bits").cast("bigint").alias("seen"),
+        F.array_join(missing.cast("array<string>"), ",").alias("missing"),
+    )
+
+
+def prompt_flow_status(msgs: DataFrame, flow: Flow, timeout_seconds: int, late: str) -> DataFrame:
+    """One row per flow instance: complete in the batch that completes it, else expired.
+
+    An instance expires ``timeout_seconds`` after its first message. Runs a
+    Python function per id and batch; messages reach it as three narrow columns.
     """
-    if len(flow.steps) > 62:
-        raise ValueError("flows of more than 62 steps are not supported")
     slim = event_time(msgs, late).select(
-        "correlation_id", "ts",
-        F.expr("shiftleft(1L, step)").alias("bit"),
+        "correlation_id", "ts", _bit().alias("bit"),
         F.floor(epoch_micros(F.col("ts")) / F.lit(1000)).alias("at"),
     )
-    return slim.groupBy("correlation_id").transformWithStateInPandas(
-        statefulProcessor=_tracker(len(flow.steps), timeout_seconds * 1000),
-        outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime",
+    return slim.groupBy("correlation_id").applyInPandasWithState(
+        _tracker(_check(flow), timeout_seconds * 1000), OUTPUT, STATE, "append", "EventTimeTimeout"
     )
 
 
-def use_rocksdb(spark) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
 def _tracker(steps: int, timeout_millis: int):
     import pandas as pd
-    from pyspark.sql.streaming import StatefulProcessor
 
     whole = (1 << steps) - 1
 
-    def row(key, status: str, bits: int):
+    def report(key, status: str, bits: int):
         missing = ",".join(str(s) for s in range(steps) if not bits >> s & 1)
         return pd.DataFrame({
             "correlation_id": [key[0]], "status": [status],
             "seen": [bits.bit_count()], "missing": [missing],
         })
 
-    class FlowTracker(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.handle = handle
-            self.state = handle.getValueState("flow", STATE)
-
-        def handleInputRows(self, key, rows, timerValues):
-            bits, first = 0, None
-            for pdf in rows:
-                for bit in pdf["bit"].unique():
-                    bits |= int(bit)
-                low = int(pdf["at"].min())
-                first = low if first is None else min(first, low)
-            if self.state.exists():
-                before, deadline = self.state.get()
-                if before == whole:
-                    return  # done: repeats until the deadline are ignored
-                bits |= before
-            else:
-                deadline = first + timeout_millis
-                self.handle.registerTimer(deadline)
-            self.state.update((bits, deadline))
-            if bits == whole:
-                yield row(key, "complete", bits)
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            bits = self.state.get()[0] if self.state.exists() else whole
-            self.state.clear()
+    def track(key, batches, state):
+        if state.hasTimedOut:
+            bits, _ = state.get
+            state.remove()
             if bits != whole:
-                yield row(key, "expired", bits)
-
-        def close(self) -> None:
-            pass
-
-    return FlowTracker()
+                yield report(key, "expired", bits)
+            return
+        before, deadline = state.get if state.exists else (0, None)
+        bits, first = before, None
+        for pdf in batches:
+            for bit in pdf["bit"].unique():
+                bits |= int(bit)
+            low = int(pdf["at"].min())
+            first = low if first is None else min(first, low)
+        if deadline is None:
+            deadline = first + timeout_millis
+        # A complete flow stays known until its deadline, so repeats are ignored.
+        state.update((bits, deadline))
+        state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
+        if bits == whole and before != whole:
+            yield report(key, "complete", bits)
+
+    return track
