@@ -12,6 +12,7 @@ from ..functions.keys import partition_col
 from ..operators.routing import FailurePolicy, process, with_groups
 from ..operators.synth import with_offsets
 from ..session import configure
+from ..sources.tables import spread
 
 SEED = 7
 PARTITIONS = 12
@@ -54,7 +55,7 @@ def as_messages(events: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_messages(table(spark, sf_dir, "events"))
+    return as_messages(spread(table(spark, sf_dir, "events")))
 
 
 def addressed(spark: SparkSession, sf_dir: str) -> DataFrame:

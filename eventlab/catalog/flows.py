@@ -9,6 +9,7 @@ from ..operators.flows import (
     Flow, Step, correlate, flow_messages, flow_status, flow_violations, step_latency,
 )
 from ..plans.spec import fields_of
+from ..sources.tables import spread
 from .base import SEED, hash_sql, pick_sql, query, table, u_sql, uuid_sql
 
 FLOW_NAME = "checkout"
@@ -35,7 +36,7 @@ BY_ORDER = Flow("by-order", CHECKOUT.steps, correlation=("field_ref", "order_id"
 
 
 def flow_table(spark, sf, flow=CHECKOUT):
-    return flow_messages(table(spark, sf, "orders"), flow, SEED, "o_orderkey", "o_orderdate")
+    return flow_messages(spread(table(spark, sf, "orders")), flow, SEED, "o_orderkey", "o_orderdate")
 
 
 def _flow_sql(name: str, correlation: str) -> str:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.draw import u
 from ..operators.routing import (
     FailurePolicy, dlq_envelope, dlq_replay, filter_incidents, visible_to, with_groups,
 )
-from .base import ADDRESSED, MSGS, addressed, messages, processed, processed_sql, query, table
+from .base import ADDRESSED, MSGS, SEED, addressed, messages, processed, processed_sql, query, table, u_sql
 
 SKIP = FailurePolicy(failure_rate=0.1)
 RETRY = FailurePolicy(failure_rate=0.2, on_failure="retry", max_retries=3, commit_failure_rate=0.05)
@@ -79,13 +80,14 @@ def f5(spark, sf):
 @query("f6_dlq_replay", f"""
     WITH {FAILED}
     SELECT topic AS original_topic, "partition" AS original_partition, "offset" AS original_offset, key,
-           lower(hex(raw)) AS payload_hex, "offset" % 5 <> 0 AS found,
-           "offset" % 5 <> 0 AS same
-    FROM (SELECT * REPLACE (CASE WHEN "offset" % 5 <> 0 THEN key END AS key) FROM failed)""")
+           lower(hex(raw)) AS payload_hex, kept AS found, kept AS same
+    FROM (SELECT * REPLACE (CASE WHEN kept THEN key END AS key)
+          FROM (SELECT *, {u_sql("'retained'", 'row_index')} >= 0.2 AS kept FROM failed))""")
 def f6(spark, sf):
     source = mixed_payloads(addressed(spark, sf))
     routed = processed(source, DLQ, 1).where(F.col("status") == "dlq")
-    kept = source.where(F.col("offset") % 5 != 0)
+    # A fifth of the source messages is past its retention by the time of the replay.
+    kept = source.where(u(SEED, "retained", F.col("row_index")) >= 0.2)
     return dlq_replay(dlq_envelope(routed), kept).select(
         "original_topic", "original_partition", "original_offset", "key",
         F.lower(F.hex("payload")).alias("payload_hex"), "found", "same",

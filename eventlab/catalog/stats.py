@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import sets, stats
 from ..operators.routing import FailurePolicy, process, with_groups
 from ..operators.synth import inject_duplicates, zipf_key
+from ..functions.draw import u
 from ..functions.fields import string_col
 from ..functions.keys import partition_col
 from ..session import scratch_path
-from ..sources.tables import read_messages, topic_table, write_messages
+from ..sources.tables import read_messages, spread, topic_table, write_messages
 from .base import (
     ADDRESSED, MSGS, PARTITIONS, SEED, addressed, messages, partition_sql, processed, processed_sql, query, table,
     u_sql,
@@ -182,9 +183,9 @@ def s8(spark, sf):
 
 def hot_messages(spark, sf):
     """Line items spread over partitions by Zipf keys."""
-    lines = table(spark, sf, "lineitem").select(
+    lines = spread(table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("topic"), F.col("l_orderkey").alias("row_index")
-    )
+    ))
     keyed = zipf_key(lines, 50, 1.5, SEED)
     return keyed.withColumn("partition", partition_col(F.col("key"), PARTITIONS))
 
@@ -328,15 +329,15 @@ def u1(spark, sf):
 
 @query("u2_delivery_diff", f"""
     WITH {ADDRESSED},
-    sent AS (SELECT topic, "partition", "offset" FROM addressed WHERE row_index % 11 <> 0),
-    got AS (SELECT topic, "partition", "offset" FROM addressed WHERE row_index % 13 <> 0)
+    sent AS (SELECT topic, "partition", "offset" FROM addressed WHERE {u_sql("'unsent'", 'row_index')} >= 0.05),
+    got AS (SELECT topic, "partition", "offset" FROM addressed WHERE {u_sql("'undelivered'", 'row_index')} >= 0.1)
     SELECT *, 'lost' AS verdict FROM (SELECT * FROM sent EXCEPT ALL SELECT * FROM got)
     UNION ALL
     SELECT *, 'unexpected' FROM (SELECT * FROM got EXCEPT ALL SELECT * FROM sent)""")
 def u2(spark, sf):
     all_rows = addressed(spark, sf)
-    sent = all_rows.where(F.pmod("row_index", F.lit(11)) != 0)
-    received = all_rows.where(F.pmod("row_index", F.lit(13)) != 0)
+    sent = all_rows.where(u(SEED, "unsent", F.col("row_index")) >= 0.05)
+    received = all_rows.where(u(SEED, "undelivered", F.col("row_index")) >= 0.1)
     return sets.delivery_diff(sent, received)
 
 
@@ -359,12 +360,11 @@ def messages_over(spark, sf):
 @query("c4_message_table", f"""
     WITH {ADDRESSED}
     SELECT topic, "partition", count(*)::BIGINT AS n, max("offset") AS last_offset, sum(strlen(value))::BIGINT AS bytes
-    FROM addressed WHERE topic IN ('click', 'purchase') GROUP BY topic, "partition" """)
+    FROM addressed GROUP BY topic, "partition" """)
 def c4(spark, sf):
     path = scratch_path(spark, "messages")
     write_messages(addressed(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), path)
-    stored = read_messages(spark, path).where(F.col("topic").isin("click", "purchase"))
-    return stored.groupBy("topic", "partition").agg(
+    return read_messages(spark, path).groupBy("topic", "partition").agg(
         F.count(F.lit(1)).alias("n"), F.max("offset").alias("last_offset"),
         F.sum(F.octet_length("value").cast("bigint")).alias("bytes"),
     )

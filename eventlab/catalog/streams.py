@@ -102,22 +102,23 @@ def r5(spark, sf):
     return kept.groupBy("topic", "key", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+# A seventh of the messages is never consumed, a seventh out of bounds, the others within seconds.
 @query("r6_lag", f"""
-    WITH {ADDRESSED}, p AS (SELECT *, epoch_us(ts) AS us, row_index % 7 AS kind FROM addressed)
+    WITH {ADDRESSED}, p AS (
+      SELECT *, epoch_us(ts) AS us, {u_sql("'consumed'", 'row_index')} * 7 AS wait FROM addressed)
     SELECT topic, "partition", "offset", us AS ts,
-           CASE WHEN kind NOT IN (0, 1) THEN us + 2000000 * kind END AS consumed_at, kind IN (0, 1) AS lagging
+           CASE WHEN wait >= 2 THEN us + 2000000 * floor(wait)::BIGINT END AS consumed_at, wait < 2 AS lagging
     FROM p
-    WHERE kind NOT IN (0, 1) OR us // 1000 + 30000 < (SELECT max(us) // 1000 - 60000 FROM p WHERE kind <> 0)""")
+    WHERE wait >= 2 OR us // 1000 + 30000 < (SELECT max(us) // 1000 - 60000 FROM p WHERE wait >= 1)""")
 def r6(spark, sf):
     # Offsets need the whole table, so the addressed messages are written first and streamed from there.
     path = scratch_path(spark, "addressed")
     write_messages(addressed(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), path, partition_by=None)
     produced = read_messages(spark, path, streaming=True)
-    kind = F.pmod("row_index", F.lit(7))
-    # Two seconds per kind; kind 0 is never consumed, kind 1 a minute later and so out of bounds.
-    wait = F.when(kind == 1, F.lit(60)).otherwise(kind * 2)
-    consumed = read_messages(spark, path, streaming=True).where(kind != 0).withColumn(
-        "ts", F.col("ts") + F.make_dt_interval(secs=wait.cast("decimal(18,6)"))
+    wait = u(SEED, "consumed", F.col("row_index")) * 7
+    seconds = F.when(wait < 2, F.lit(60)).otherwise(F.floor(wait) * 2)
+    consumed = read_messages(spark, path, streaming=True).where(wait >= 1).withColumn(
+        "ts", F.col("ts") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
     )
     out = drain(mon.stream_lag(produced, consumed, "30 seconds", "60 seconds"), "lag")
     return out.select("topic", "partition", "offset", micros("ts"), micros("consumed_at"), "lagging")

@@ -14,6 +14,7 @@ from ..operators.synth import (
 )
 from ..operators.timing import event_micros, with_rate_schedule
 from ..plans.spec import Field, fields_of
+from ..sources.tables import spread
 from .base import (
     MSGS, PARTITIONS, SEED, START_MICROS, TOPICS, hash_sql, letters_sql, messages, partition_sql, pick_sql, query,
     table, u_sql, uuid_sql,
@@ -209,7 +210,7 @@ ORDER_SQL = f"""
 def g13(spark, sf):
     values = lookup_values(table(spark, sf, "supplier"), F.col("s_name"), "s_suppkey", "name")
     return synth_table(
-        table(spark, sf, "orders"), ORDER_FIELDS, SEED, "o_orderkey", "o_orderdate", values,
+        spread(table(spark, sf, "orders")), ORDER_FIELDS, SEED, "o_orderkey", "o_orderdate", values,
         keep=["o_orderkey"],
     )
 
@@ -243,7 +244,7 @@ def k2(spark, sf):
 
 @query("k2_zipf_key_large", _zipf_sql("orders", "o_orderkey", 5000))
 def k2_large(spark, sf):
-    return zipf_key(table(spark, sf, "orders").select("o_orderkey"), 5000, 1.5, SEED, "o_orderkey")
+    return zipf_key(spread(table(spark, sf, "orders").select("o_orderkey")), 5000, 1.5, SEED, "o_orderkey")
 
 
 @query("k3_single_key", "SELECT 'hot-key' AS key, count(*)::BIGINT AS n FROM events")
@@ -331,7 +332,7 @@ P5_SIZED_SQL = f"""
 
 @query("p5_messages_sized", P5_SIZED_SQL)
 def p5_sized(spark, sf):
-    return synth_messages(table(spark, sf, "events"), SIZED, SEED, "event_id", "ts").drop("ts")
+    return synth_messages(spread(table(spark, sf, "events")), SIZED, SEED, "event_id", "ts").drop("ts")
 
 
 @query("p5_messages_structured", f"""
@@ -342,7 +343,7 @@ def p5_sized(spark, sf):
            || '","created_at":' || created_at || '}}' AS value
     FROM o""")
 def p5_structured(spark, sf):
-    return synth_messages(table(spark, sf, "orders"), STRUCTURED, SEED, "o_orderkey", "o_orderdate").drop("ts")
+    return synth_messages(spread(table(spark, sf, "orders")), STRUCTURED, SEED, "o_orderkey", "o_orderdate").drop("ts")
 
 
 # --- event times and duplicates ----------------------------------------------

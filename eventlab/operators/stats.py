@@ -250,17 +250,20 @@ def throughput(msgs: DataFrame, width_seconds: int) -> DataFrame:
     counts = msgs.groupBy("topic", slot.alias("slot")).agg(
         F.count(F.lit(1)).alias("messages"), F.sum(value_size(F.col("value"))).alias("bytes")
     )
-    spans = counts.groupBy("topic").agg(F.min("slot").alias("_a"), F.max("slot").alias("_b"))
-    grid = explode_count(spans, F.col("_b") - F.col("_a") + 1, "_i").select(
-        "topic", (F.col("_a") + F.col("_i")).alias("slot")
-    )
-    filled = grid.join(counts, ["topic", "slot"], "left")
+    # Each interval fills the empty ones up to the next, so the rows are read once.
+    ahead = F.lead("slot").over(Window.partitionBy("topic").orderBy("slot"))
+    reach = F.coalesce(ahead - F.col("slot"), F.lit(1))
+    filled = explode_count(counts.withColumn("_reach", reach), F.col("_reach"), "_i")
     seconds = F.lit(float(width_seconds))
+
+    def here(count: str) -> Column:
+        return F.when(F.col("_i") == 0, F.col(count)).otherwise(F.lit(0))
+
     return filled.select(
-        "topic", (F.col("slot") * width_seconds).alias("start_second"),
-        F.coalesce("messages", F.lit(0)).alias("messages"),
-        F.round(F.coalesce("messages", F.lit(0)) / seconds, 6).alias("messages_per_second"),
-        F.round(F.coalesce("bytes", F.lit(0)) / seconds, 6).alias("bytes_per_second"),
+        "topic", ((F.col("slot") + F.col("_i")) * width_seconds).alias("start_second"),
+        here("messages").alias("messages"),
+        F.round(here("messages") / seconds, 6).alias("messages_per_second"),
+        F.round(here("bytes") / seconds, 6).alias("bytes_per_second"),
     )
 
 

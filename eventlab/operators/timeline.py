@@ -16,7 +16,7 @@ from ..functions.fields import epoch_micros
 from ..functions.draw import digest
 from ..plans.ordering import explode_count, successor
 from ..plans.segments import HOUR, elementary, locate
-from ..plans.sizing import BROADCAST_ROWS
+from ..plans.sizing import BROADCAST_ROWS, settle
 
 # Seconds a rebalance keeps its consumer away (close + rejoin).
 REBALANCE_SECONDS = 5
@@ -224,7 +224,9 @@ def asof_setting(
     segments = setting_segments(changes, keys).withColumnRenamed(
         "setting", "_setting"
     )
-    placed = locate(msgs, epoch_micros(F.col("ts")), segments, keys, width, "left", broadcast_rows)
+    placed = locate(
+        msgs, epoch_micros(F.col("ts")), segments, keys, width, "left", broadcast_rows, open_ended=True
+    )
     return placed.withColumn(name, F.coalesce("_setting", F.lit(default))).drop(
         "seg_from", "seg_to", "_setting"
     )
@@ -263,7 +265,8 @@ def impact(
         *keys, F.concat_ws("|", F.col("_p.phase"), "_id").alias("_label"),
         F.col("_p.a").alias("seg_from"), F.col("_p.b").alias("seg_to"),
     )
-    cut = elementary(phases, keys, "_label", width)
+    # Read twice below: to place the messages, and to add up their counts.
+    cut = settle(elementary(phases, keys, "_label", width), "phases")
     at = epoch_micros(F.col("ts"))
     slim = processed.select(*keys, "ts", (F.col("failures") > 0).cast("bigint").alias("_failed"))
     placed = locate(slim, at, cut.drop("labels"), keys, width, "inner", broadcast_rows)

@@ -55,7 +55,8 @@ def with_rate_schedule(
     Rows past the capacity of the schedule (last rate zero) have no send time.
     """
     placed = locate(
-        df, F.col(position), rate_segments(changes, keys), keys, width, "left", broadcast_rows
+        df, F.col(position), rate_segments(changes, keys), keys, width, "left", broadcast_rows,
+        open_ended=True,
     )
     inside = (F.col(position) - F.col("due_before")) * F.lit(float(MICROS)) / F.col("rate")
     return placed.withColumn(name, F.col("at_micros") + F.floor(inside).cast("bigint")).drop(

@@ -26,23 +26,31 @@ def locate(
     width: int = HOUR,
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
+    open_ended: bool = False,
 ) -> DataFrame:
     """Join each row with its segment.
 
     ``segments`` has ``keys``, ``seg_from``, ``seg_to`` and payload columns.
-    ``how`` is left, inner, left_semi or left_anti. ``seg_to`` may be null for
-    the last segment of a key: it is closed at the largest position of ``rows``.
+    ``how`` is left, inner, left_semi or left_anti. With ``open_ended``, the
+    last segment of a key may have a null ``seg_to`` and ends at the largest
+    position of ``rows``, which takes one more pass over that column.
+
+    The segments are broadcast where they are proven few. Otherwise both sides
+    are shuffled by (keys, bucket), and the adaptive planner splits the rows of
+    a bucket that holds too many of them.
     """
     placed = rows.withColumn("_pos", position.cast("bigint"))
-    top = placed.agg((F.coalesce(F.max("_pos"), F.lit(0)) + 1).alias("_top"))
-    closed = segments.withColumn("_top", top.scalar()).withColumn(
-        "seg_to", F.coalesce("seg_to", F.greatest("_top", F.col("seg_from")))
-    )
+    closed = segments
+    if open_ended:
+        top = placed.agg((F.coalesce(F.max("_pos"), F.lit(0)) + 1).alias("_top"))
+        # Nothing beyond the last row can match, so all segments stop there.
+        closed = segments.withColumn("_top", top.scalar()).withColumn(
+            "seg_to", F.least(F.coalesce("seg_to", "_top"), "_top")
+        ).drop("_top")
     first = F.floor(F.col("seg_from") / F.lit(width)).cast("bigint")
-    # Nothing beyond the last row can match, so buckets stop there.
-    last = F.floor((F.least("seg_to", "_top") - 1) / F.lit(width)).cast("bigint")
+    last = F.floor((F.col("seg_to") - 1) / F.lit(width)).cast("bigint")
     cut = explode_count(closed, last - first + 1, "_step")
-    cut = cut.withColumn("_bucket", first + F.col("_step")).drop("_step", "_top")
+    cut = cut.withColumn("_bucket", first + F.col("_step")).drop("_step")
 
     left = placed.withColumn("_bucket", F.floor(F.col("_pos") / F.lit(width)).cast("bigint")).alias("l")
     right = join_side(settle(cut, "segments"), limit=broadcast_rows).alias("r")

@@ -66,6 +66,19 @@ def write_messages(
     writer.save(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a freshly read batch table at least as many tasks as there are cores.
+
+    Drawing values costs far more than reading the few columns they depend on, so
+    a table stored in a handful of files is dealt out before it is expanded. A
+    table with enough splits is left alone, as is a stream.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or 2 * df.rdd.getNumPartitions() > cores:
+        return df
+    return df.repartition(cores)
+
+
 def topic_rows(spark: SparkSession, topics: list[TopicSpec]) -> DataFrame:
     rows = [(t.name, t.partitions, t.replication_factor) for t in topics]
     return spark.createDataFrame(rows, "topic STRING, partitions INT, replication INT")

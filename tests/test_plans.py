@@ -86,14 +86,14 @@ def test_locate_broadcast_and_merge_agree(spark, limit):
     def name(k, x):
         return next((n for kk, a, b, n in segs if kk == k and a <= x and (b is None or x < b)), None)
 
-    out = locate(df, F.col("at"), seg, ["k"], width=64, broadcast_rows=limit)
+    out = locate(df, F.col("at"), seg, ["k"], width=64, broadcast_rows=limit, open_ended=True)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert ("SortMergeJoin" in plan) == (limit == 0)
     got = out.collect()
     assert {r.i: r.name for r in got} == {i: name(k, x) for k, x, i in rows}
     assert len(got) == len(rows)
-    semi = locate(df, F.col("at"), seg, ["k"], 64, "left_semi", limit)
-    anti = locate(df, F.col("at"), seg, ["k"], 64, "left_anti", limit)
+    semi = locate(df, F.col("at"), seg, ["k"], 64, "left_semi", limit, True)
+    anti = locate(df, F.col("at"), seg, ["k"], 64, "left_anti", limit, True)
     inside = sum(name(k, x) is not None for k, x, _ in rows)
     assert (semi.count(), anti.count()) == (inside, len(rows) - inside)
 
