@@ -7,7 +7,9 @@ are drawn independently.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import gcd
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,21 +56,29 @@ def _letter_run(seed: int, path, idx: Column, max_length: int) -> Column:
 
 def string_col(
     seed: int, path, idx: Column, min_length: int = 5, max_length: int = 20,
-    cardinality: int | None = None,
+    cardinality: int | None = None, position: Column | None = None,
 ) -> Column:
-    """Lowercase letters; with a cardinality, value ``row_index mod C`` of a fixed pool."""
+    """Lowercase letters; with a cardinality, one value of a fixed pool of C.
+
+    ``position`` picks the value of the pool; it is ``row_index mod C`` by
+    default, so the pool repeats in order.
+    """
     if cardinality is None:
         length = pick(u(seed, path, idx), min_length, max_length).cast("int")
         return F.substring(_letter_run(seed, path, idx, max_length), F.lit(1), length)
     width = suffix_width(cardinality)
     if width > max_length:
         raise ValueError(f"{cardinality} distinct strings do not fit in {max_length} letters")
+    at = _cycle(idx, cardinality) if position is None else position
     # The pool position, written in base 26, ends each value and makes it distinct.
-    position = F.pmod(idx, F.lit(cardinality).cast("bigint"))
     low = max(min_length, width)
-    length = pick(u(seed, path, position), low, max_length).cast("int")
-    head = F.substring(_letter_run(seed, path, position, max_length), F.lit(1), length - width)
-    return F.concat(head, _letters(position.cast("string"), 10, width))
+    length = pick(u(seed, path, at), low, max_length).cast("int")
+    head = F.substring(_letter_run(seed, path, at, max_length), F.lit(1), length - width)
+    return F.concat(head, _letters(at.cast("string"), 10, width))
+
+
+def _cycle(idx: Column, cardinality: int) -> Column:
+    return F.pmod(idx, F.lit(cardinality).cast("bigint"))
 
 
 def suffix_width(cardinality: int) -> int:
@@ -79,15 +89,16 @@ def suffix_width(cardinality: int) -> int:
 
 
 def int_col(
-    seed: int, path, idx: Column, low: int = 0, high: int = 1000, cardinality: int | None = None
+    seed: int, path, idx: Column, low: int = 0, high: int = 1000, cardinality: int | None = None,
+    position: Column | None = None,
 ) -> Column:
-    """Whole number, both ends included."""
+    """Whole number, both ends included; with a cardinality, one of a pool as in string_col."""
     if cardinality is None:
         return pick(u(seed, path, idx), low, high)
-    step, shift = spread_params(seed, str(path), low, high, cardinality)
-    position = F.pmod(idx, F.lit(cardinality).cast("bigint"))
+    step, shift = spread_params(seed, path, low, high, cardinality)
+    at = _cycle(idx, cardinality) if position is None else position
     return F.lit(low).cast("bigint") + F.pmod(
-        position * F.lit(step).cast("bigint") + F.lit(shift).cast("bigint"),
+        at * F.lit(step).cast("bigint") + F.lit(shift).cast("bigint"),
         F.lit(high - low + 1).cast("bigint"),
     )
 
@@ -144,43 +155,58 @@ def enum_col(seed: int, path, idx: Column, values) -> Column:
     return F.element_at(pool, pick(u(seed, path, idx), 1, len(values)).cast("int"))
 
 
-def object_col(seed: int, path, idx: Column, fields, ts: Column | None = None) -> Column:
-    return F.struct(
-        *[field_col(f, seed, _below(path, "." + f.name), idx, ts).alias(f.name) for f in fields]
-    )
+class Context(NamedTuple):
+    """What a field needs besides its draws.
+
+    ``ts`` is the event time, ``lookup`` gives the column of a lookup field, and
+    ``pool`` is the path of the enclosing array items without element numbers.
+    """
+
+    ts: Column | None = None
+    lookup: Callable[[Field, Column | str], Column] | None = None
+    pool: str | None = None
+
+
+def object_col(seed: int, path, idx: Column, fields, context: Context = Context()) -> Column:
+    return F.struct(*[
+        field_col(f, seed, _below(path, "." + f.name), idx, _inside(context, "." + f.name)).alias(f.name)
+        for f in fields
+    ])
 
 
 def array_col(
     seed: int, path, idx: Column, items: Field, min_items: int = 1, max_items: int = 5,
-    ts: Column | None = None,
+    context: Context = Context(),
 ) -> Column:
     """Array of drawn size; ``sequence(0, -1)`` runs backwards, so size 0 is its own case."""
     size = pick(u(seed, path, idx), min_items, max_items)
+    if context.pool is None:
+        context = context._replace(pool=path)
+    below = _inside(context, "[]")
     # ``path`` may itself hold an element number when arrays are nested.
     filled = F.transform(
         F.sequence(F.lit(0).cast("bigint"), size - 1),
-        lambda j: field_col(items, seed, _below(path, "[", j.cast("string"), "]"), idx, ts),
+        lambda j: field_col(items, seed, _below(path, "[", j.cast("string"), "]"), idx, below),
     )
     if min_items > 0:
         return filled
     return F.when(size > 0, filled).otherwise(F.slice(filled, 1, 0))
 
 
+def _inside(context: Context, part: str) -> Context:
+    return context if context.pool is None else context._replace(pool=context.pool + part)
+
+
 def _below(path, *parts) -> Column | str:
     if isinstance(path, str) and all(isinstance(p, str) for p in parts):
         return path + "".join(parts)
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in (path, *parts)])
 
 
-def field_col(field: Field, seed: int, path, idx: Column, ts: Column | None = None) -> Column:
-    """The column of one declared field. Lookup fields need a join: see synth_table."""
-    if field.type == "string":
-        return string_col(seed, path, idx, *field.lengths, field.cardinality)
-    if field.type == "int":
-        low, high = field.range
-        if field.cardinality is not None and not isinstance(path, str):
-            raise ValueError("cardinality is not available for fields inside arrays")
-        return int_col(seed, path, idx, int(low), int(high), field.cardinality)
+def field_col(field: Field, seed: int, path, idx: Column, context: Context = Context()) -> Column:
+    """The column of one declared field."""
+    if field.type in ("string", "int"):
+        return _pooled(field, seed, path, idx, context)
     if field.type == "float":
         return float_col(seed, path, idx, *field.range)
     if field.type == "boolean":
@@ -188,13 +214,26 @@ def field_col(field: Field, seed: int, path, idx: Column, ts: Column | None = No
     if field.type == "uuid":
         return uuid_col(seed, path, idx)
     if field.type == "timestamp":
-        if ts is None:
+        if context.ts is None:
             raise ValueError(f"field '{field.name}' needs an event time column")
-        return timestamp_col(ts)
+        return timestamp_col(context.ts)
     if field.type == "enum":
         return enum_col(seed, path, idx, field.values)
     if field.type == "object":
-        return object_col(seed, path, idx, field.fields, ts)
+        return object_col(seed, path, idx, field.fields, context)
     if field.type == "array":
-        return array_col(seed, path, idx, field.items, field.min_items, field.max_items, ts)
-    raise ValueError(f"field '{field.name}': {field.type} values come from a lookup table")
+        return array_col(seed, path, idx, field.items, field.min_items, field.max_items, context)
+    if context.lookup is None:
+        raise ValueError(f"field '{field.name}' needs a table of lookup values")
+    return context.lookup(field, path)
+
+
+def _pooled(field: Field, seed: int, path, idx: Column, context: Context) -> Column:
+    make = string_col if field.type == "string" else int_col
+    low, high = field.lengths if field.type == "string" else (int(x) for x in field.range)
+    size, position = field.cardinality, None
+    if size is not None and context.pool is not None:
+        # All elements share one pool and draw their place in it.
+        position = pick(u(seed, path, idx), 0, size - 1)
+        path = context.pool
+    return make(seed, path, idx, low, high, size, position)

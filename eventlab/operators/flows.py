@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import epoch_micros, field_col, uuid_col
+from ..functions.fields import Context, epoch_micros, field_col, uuid_col
 from ..functions.payloads import json_value
 from ..plans.ordering import running_total
 from ..plans.spec import Field
+from .synth import with_lookups
 
 RESERVED = ("correlation_id", "event_type")
 
@@ -61,29 +62,30 @@ class Flow:
         return out
 
 
-def correlation_id(flow: Flow, seed: int, idx: Column, ts: Column | None = None) -> Column:
+def correlation_id(flow: Flow, seed: int, idx: Column, context: Context = Context()) -> Column:
     """Id of a flow instance: a uuid, or a field of the first step where it has a value."""
     fallback = uuid_col(seed, f"{flow.name}/correlation", idx)
     if flow.correlation == "uuid":
         return fallback
     for f in flow.steps[0].fields:
         if f.name == flow.correlation[1]:
-            return F.coalesce(_step_field(flow, 0, f, seed, idx, ts).cast("string"), fallback)
+            return F.coalesce(_step_field(flow, 0, f, seed, idx, context).cast("string"), fallback)
     return fallback
 
 
-def _step_field(flow: Flow, step: int, f: Field, seed: int, idx: Column, ts: Column | None) -> Column:
-    return field_col(f, seed, f"{flow.name}/{step}/{f.name}", idx, ts)
+def _step_field(flow: Flow, step: int, f: Field, seed: int, idx: Column, context: Context) -> Column:
+    return field_col(f, seed, f"{flow.name}/{step}/{f.name}", idx, context)
 
 
 def flow_messages(
-    instances: DataFrame, flow: Flow, seed: int = 0, idx: str = "row_index", ts: str = "ts"
+    instances: DataFrame, flow: Flow, seed: int = 0, idx: str = "row_index", ts: str = "ts",
+    lookups: DataFrame | None = None,
 ) -> DataFrame:
     """One message per instance and step, keyed by the correlation id.
 
-    ``instances`` has the row index and the start time. Only those two columns
-    and the id go through the explode; each step's payload is built after it, and
-    only for its own step.
+    ``instances`` has the row index and the start time. Only those two columns,
+    the id and looked-up values go through the explode; each step's payload is
+    built after it, and only for its own step.
     """
     steps = F.array(*[
         F.struct(
@@ -93,10 +95,15 @@ def flow_messages(
     ])
     i = F.col("row_index")
     base = instances.select(F.col(idx).cast("bigint").alias("row_index"), F.col(ts).alias("_start"))
+    found = []
+    for n, s in enumerate(flow.steps):
+        base, lookup = with_lookups(base, s.fields, lookups, seed, f"{flow.name}/{n}/", "row_index")
+        found.append(lookup)
     spread = (
-        base.withColumn("correlation_id", correlation_id(flow, seed, i, F.col("_start")))
+        base.withColumn("correlation_id", correlation_id(flow, seed, i, Context(F.col("_start"), found[0])))
         .withColumn("_s", F.explode(steps))
-        .select("row_index", "_start", "correlation_id", "_s.*")
+        .select("*", "_s.*")
+        .drop("_s")
     )
     shift = F.expr("make_dt_interval(0, 0, 0, delay_ms / 1000.0)")
     timed = spread.withColumn("ts", F.col("_start") + shift)
@@ -105,7 +112,8 @@ def flow_messages(
         # The first step's fields also decide its id, so they see the same time.
         made = json_value(
             F.col("correlation_id"), F.lit(s.event_type).alias("event_type"),
-            *[_step_field(flow, n, f, seed, i, F.col("ts")).alias(f.name) for f in s.fields],
+            *[_step_field(flow, n, f, seed, i, Context(F.col("ts"), found[n])).alias(f.name)
+              for f in s.fields],
         )
         value = F.when(F.col("step") == n, made) if value is None else value.when(F.col("step") == n, made)
     return timed.select(

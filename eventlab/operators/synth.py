@@ -12,13 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.draw import u
-from ..functions.fields import field_col
+from ..functions.fields import Context, enum_col, field_col
 from ..functions.keys import key_col, partition_col
 from ..functions.payloads import json_payload, json_value
 from ..plans.ordering import explode_count, number_rows
 from ..plans.sizing import BROADCAST_ROWS, join_side
 from ..plans.spec import Field
 
+# Most values of a provider that may be written into a plan as a literal.
+LITERAL_VALUES = 1_000
+
 
 def rows(spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame:
     """Row-index table 0..n-1."""
@@ -141,24 +144,62 @@ def with_key(
 # --- whole tables ------------------------------------------------------------
 
 
+def with_lookups(
+    df: DataFrame, fields, lookups: DataFrame | None, seed: int, prefix: str, idx: str
+):
+    """Prepare lookup fields: (df with their values joined on, lookup for ``field_col``).
+
+    Fields outside arrays are joined, one column each. Inside arrays the values
+    of a provider become an array literal, which needs them to be few.
+    """
+    joined, literals = {}, {}
+
+    def visit(field: Field, path: str, in_array: bool) -> None:
+        nonlocal df
+        if field.type == "faker":
+            if lookups is None:
+                raise ValueError(f"field '{field.name}' needs a table of lookup values")
+            key = (field.provider, field.locale or "")
+            if in_array and key not in literals:
+                literals[key] = _few_values(lookups, *key)
+            elif not in_array:
+                joined[path] = f"_lookup_{prefix}{len(joined)}"
+                df = lookup_col(df, joined[path], lookups, *key, seed, path, idx)
+        for f in field.fields or ():
+            visit(f, f"{path}.{f.name}", in_array)
+        if field.items is not None:
+            visit(field.items, path, True)
+
+    for f in fields:
+        visit(f, prefix + f.name, False)
+
+    def lookup(field: Field, path) -> Column:
+        if isinstance(path, str):
+            return F.col(f"`{joined[path]}`")
+        values = literals[field.provider, field.locale or ""]
+        return enum_col(seed, path, F.col(idx), values)
+
+    return df, lookup
+
+
+def _few_values(lookups: DataFrame, provider: str, locale: str) -> list[str]:
+    mine = lookups.where((F.col("provider") == provider) & (F.col("locale") == locale))
+    rows = mine.orderBy("pos").select(F.col("value").cast("string")).limit(LITERAL_VALUES + 1).collect()
+    if not 1 <= len(rows) <= LITERAL_VALUES:
+        raise ValueError(f"'{provider}' needs 1 to {LITERAL_VALUES} values to be used inside arrays")
+    return [r[0] for r in rows]
+
+
 def synth_table(
     df: DataFrame, fields: list[Field], seed: int = 0, idx: str = "row_index",
     ts: str | None = None, lookups: DataFrame | None = None, prefix: str = "", keep=(),
 ) -> DataFrame:
     """One column per declared field; ``keep`` names input columns carried along."""
-    looked_up = [f for f in fields if f.type == "faker"]
-    if looked_up and lookups is None:
-        raise ValueError("lookup fields need a values table")
-    time = F.col(ts) if ts else None
-    carried = [F.col(c) for c in dict.fromkeys([*keep, *([idx] if looked_up else [])])]
-    made = df.select(
-        *carried,
-        *[field_col(f, seed, prefix + f.name, F.col(idx), time).alias(f.name)
-          for f in fields if f.type != "faker"],
-    )
-    for f in looked_up:
-        made = lookup_col(made, f.name, lookups, f.provider, f.locale or "", seed, prefix + f.name, idx)
-    return made.select(*keep, *[f.name for f in fields])
+    base = df.select(*dict.fromkeys([*keep, idx, *([ts] if ts else [])]))
+    base, lookup = with_lookups(base, fields, lookups, seed, prefix, idx)
+    context = Context(F.col(ts) if ts else None, lookup)
+    made = [field_col(f, seed, prefix + f.name, F.col(idx), context).alias(f.name) for f in fields]
+    return base.select(*keep, *made)
 
 
 @dataclass(frozen=True)
@@ -199,18 +240,9 @@ def synth_messages(
     keyed = with_key(base, topic.key_distribution, topic.key_cardinality, seed)
     i, t = F.col("row_index"), F.col("ts")
     if topic.fields:
-        names = [f.name for f in topic.fields]
-        if any(f.type == "faker" for f in topic.fields):
-            plain = [f for f in topic.fields if f.type == "faker"]
-            if lookups is None:
-                raise ValueError("lookup fields need a values table")
-            for f in plain:
-                keyed = lookup_col(keyed, f"_l_{f.name}", lookups, f.provider, f.locale or "", seed, f.name)
-        cols = [
-            (F.col(f"_l_{f.name}") if f.type == "faker" else field_col(f, seed, f.name, i, t)).alias(n)
-            for f, n in zip(topic.fields, names)
-        ]
-        value = json_value(*cols)
+        keyed, lookup = with_lookups(keyed, topic.fields, lookups, seed, "", "row_index")
+        context = Context(t, lookup)
+        value = json_value(*[field_col(f, seed, f.name, i, context).alias(f.name) for f in topic.fields])
     else:
         value = json_payload(
             seed, i, t, topic.min_size, topic.max_size, topic.include_timestamp, topic.include_sequence

@@ -52,6 +52,18 @@ def test_correlation_by_field(instances):
     assert len({m.key for m in flow_messages(instances, unknown, 1).collect()}) == 300
 
 
+def test_lookup_fields_in_steps(spark, instances):
+    from eventlab.operators.synth import lookup_values
+
+    who = tuple(fields_of([{"name": "who", "type": "faker", "provider": "name"}]))
+    flow = Flow("f", (Step("a", "x", 0, who), Step("b", "y", 10, who)), correlation=("field_ref", "who"))
+    names = lookup_values(spark.range(3), F.concat(F.lit("n"), F.col("id")), "id", "name")
+    out = flow_messages(instances, flow, 1, lookups=names).collect()
+    assert len(out) == 600 and {m.key for m in out} == {"n0", "n1", "n2"}
+    assert all(json.loads(m.value)["who"] == m.key for m in out if m.step == 0)
+    assert any(json.loads(m.value)["who"] != m.key for m in out if m.step == 1)
+
+
 def test_bad_flows_are_rejected():
     with pytest.raises(ValueError):
         Step("a", "e", -1)

@@ -260,3 +260,28 @@ def test_topic_settings_are_checked():
     for bad in ({"partitions": 0}, {"rate": 0}, {"duplicate_rate": 1.5}, {"min_size": 9, "max_size": 3}):
         with pytest.raises(ValueError):
             TopicSpec("t", **bad)
+
+
+def test_lookups_and_pools_inside_nested_values(spark, base):
+    fields = fields_of([
+        {"name": "to", "type": "object", "fields": [
+            {"name": "who", "type": "faker", "provider": "name"},
+            {"name": "deep", "type": "object", "fields": [{"name": "who", "type": "faker", "provider": "name"}]}]},
+        {"name": "lines", "type": "array", "min_items": 2, "max_items": 4, "items": {"type": "object", "fields": [
+            {"name": "who", "type": "faker", "provider": "name"},
+            {"name": "sku", "type": "string", "cardinality": 7},
+            {"name": "n", "type": "int", "min": 1, "max": 90, "cardinality": 5}]}},
+    ])
+    names = lookup_values(spark.range(6), F.concat(F.lit("n"), F.col("id")), "id", "name")
+    got = synth_table(base.limit(400), fields, 3, lookups=names, keep=[I]).collect()
+    pool = {f"n{i}" for i in range(6)}
+    assert {r.to.who for r in got} == pool == {r.to.deep.who for r in got}
+    assert any(r.to.who != r.to.deep.who for r in got)
+    lines = [x for r in got for x in r.lines]
+    assert {x.who for x in lines} == pool
+    assert len({x.sku for x in lines}) == 7 and len({x.n for x in lines}) == 5
+    with pytest.raises(ValueError):
+        synth_table(base, fields, 3)
+    many = lookup_values(spark.range(1001), F.col("id").cast("string"), "id", "name")
+    with pytest.raises(ValueError):
+        synth_table(base, fields, 3, lookups=many)
