@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from ..functions.fields import epoch_micros
 from ..functions.draw import digest
 from ..plans.ordering import explode_count, successor
-from ..plans.segments import HOUR, elementary, locate
+from ..plans.segments import elementary, locate
 from ..plans.sizing import BROADCAST_ROWS, settle
 
+DAY = 86_400_000_000
+
 # Seconds a rebalance keeps its consumer away (close + rejoin).
 REBALANCE_SECONDS = 5
 
@@ -194,7 +196,7 @@ def pick_one(selected: DataFrame, seed: int = 0, path: str = "rebalance") -> Dat
 
 def annotate(
     msgs: DataFrame, intervals: DataFrame, keys: list[str], label: str = "incident_id",
-    width: int = HOUR, broadcast_rows: int = BROADCAST_ROWS,
+    width: int | None = None, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add ``incidents``: sorted ids of the intervals in force at each message.
 
@@ -205,7 +207,7 @@ def annotate(
     return placed.withColumnRenamed("labels", "incidents").drop("seg_from", "seg_to")
 
 
-def setting_segments(changes: DataFrame, keys: list[str], width: int = HOUR * 24) -> DataFrame:
+def setting_segments(changes: DataFrame, keys: list[str], width: int = DAY) -> DataFrame:
     """Changes (keys, at_micros, setting) as segments up to the next change.
 
     Of changes at one time the largest setting holds.
@@ -218,7 +220,7 @@ def setting_segments(changes: DataFrame, keys: list[str], width: int = HOUR * 24
 
 def asof_setting(
     msgs: DataFrame, changes: DataFrame, keys: list[str], default, name: str = "setting",
-    width: int = HOUR, broadcast_rows: int = BROADCAST_ROWS,
+    width: int | None = None, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add the latest setting changed at or before each message, else ``default``."""
     segments = setting_segments(changes, keys).withColumnRenamed(
@@ -234,7 +236,7 @@ def asof_setting(
 
 def outside(
     msgs: DataFrame, pauses: DataFrame, keys: list[str], inside: bool = False,
-    width: int = HOUR, broadcast_rows: int = BROADCAST_ROWS,
+    width: int | None = None, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Messages outside (or inside) every paused interval."""
     cut = elementary(pauses.withColumn("_p", F.lit(1)), keys, "_p", width)
@@ -244,7 +246,7 @@ def outside(
 
 def impact(
     processed: DataFrame, intervals: DataFrame, keys: list[str], margin_seconds: int,
-    label: str = "incident_id", width: int = HOUR, broadcast_rows: int = BROADCAST_ROWS,
+    label: str = "incident_id", width: int | None = None, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Messages and failures before, during and after each interval.
 

@@ -48,7 +48,7 @@ def rate_segments(changes: DataFrame, keys: list[str]) -> DataFrame:
 
 def with_rate_schedule(
     df: DataFrame, changes: DataFrame, keys: list[str], position: str = "position",
-    name: str = "sent_micros", width: int = 65_536, broadcast_rows: int = BROADCAST_ROWS,
+    name: str = "sent_micros", width: int | None = None, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add the send time of each position under changing rates.
 

@@ -2,9 +2,10 @@
 
 A segment is ``[seg_from, seg_to)`` in whole numbers (microseconds or row
 positions); segments of one key do not overlap. Range joins without an equality
-become nested loops in Spark, so both sides are cut into buckets of ``width``
-and joined on (keys, bucket). Each row meets at most the few segments of its
-bucket and keeps at most one, so the large side never multiplies.
+become nested loops in Spark, so both sides are cut into buckets and joined on
+(keys, bucket). Buckets are as wide as the average segment: a segment then falls
+into three of them on average, and a row meets about as many. Each row keeps at
+most one segment, so the large side never multiplies.
 """
 
 from __future__ import annotations
@@ -15,15 +16,13 @@ from pyspark.sql import functions as F
 from .ordering import explode_count, successor
 from .sizing import BROADCAST_ROWS, join_side, settle
 
-HOUR = 3_600_000_000
-
 
 def locate(
     rows: DataFrame,
     position: Column,
     segments: DataFrame,
     keys: list[str],
-    width: int = HOUR,
+    width: int | None = None,
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
     open_ended: bool = False,
@@ -47,13 +46,14 @@ def locate(
         closed = segments.withColumn("_top", top.scalar()).withColumn(
             "seg_to", F.least(F.coalesce("seg_to", "_top"), "_top")
         ).drop("_top")
+    known, width, bound = _measured(closed, "segments", width)
     first = F.floor(F.col("seg_from") / F.lit(width)).cast("bigint")
     last = F.floor((F.col("seg_to") - 1) / F.lit(width)).cast("bigint")
-    cut = explode_count(closed, last - first + 1, "_step")
+    cut = explode_count(known, last - first + 1, "_step")
     cut = cut.withColumn("_bucket", first + F.col("_step")).drop("_step")
 
     left = placed.withColumn("_bucket", F.floor(F.col("_pos") / F.lit(width)).cast("bigint")).alias("l")
-    right = join_side(settle(cut, "segments"), limit=broadcast_rows).alias("r")
+    right = join_side(cut, known_rows=bound, limit=broadcast_rows).alias("r")
     cond = F.col("l._bucket") == F.col("r._bucket")
     for k in keys:
         cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
@@ -67,8 +67,17 @@ def locate(
     )
 
 
+def _measured(spans: DataFrame, label: str, width: int | None) -> tuple[DataFrame, int, int]:
+    """Settle spans; choose a bucket width and bound the rows after cutting by it."""
+    known = settle(spans.where(F.col("seg_to") > F.col("seg_from")), label)
+    size = (F.col("seg_to") - F.col("seg_from")).cast("double")
+    n, mean = known.agg(F.count(F.lit(1)), F.coalesce(F.avg(size), F.lit(1.0))).first()
+    width = width or max(1, int(mean))
+    return known, width, int(n * mean / width) + 2 * n
+
+
 def elementary(
-    intervals: DataFrame, keys: list[str], label: str, width: int = HOUR
+    intervals: DataFrame, keys: list[str], label: str, width: int | None = None
 ) -> DataFrame:
     """Cut overlapping intervals into segments with the labels in force.
 
@@ -77,17 +86,14 @@ def elementary(
     ``intervals`` has ``keys, seg_from, seg_to`` and the ``label`` column, with
     ``seg_to`` set.
     """
-    real = settle(
-        intervals.where(F.col("seg_to") > F.col("seg_from")).select(
-            *keys, "seg_from", "seg_to", label
-        ),
-        "intervals",
+    real, width, _ = _measured(
+        intervals.select(*keys, "seg_from", "seg_to", label), "intervals", width
     )
     marks = (
         real.select(*keys, F.explode(F.array("seg_from", "seg_to")).alias("seg_from"))
         .distinct()
     )
-    cuts = successor(marks, keys, "seg_from", "seg_to", width * 24).where(
+    cuts = successor(marks, keys, "seg_from", "seg_to", width * 1_000).where(
         F.col("seg_to").isNotNull()
     )
     # A cut starts inside every interval that covers it.
