@@ -243,7 +243,7 @@ POLICY = FailurePolicy(failure_rate=0.15, on_failure="dlq")
       UNION ALL SELECT incident_id, topic, 'after', b, b + 7200000000 FROM onclock),
     spans AS (SELECT incident_id, phase, sum(y - x) AS micros FROM p GROUP BY ALL),
     hits AS (
-      SELECT DISTINCT incident_id, phase, row_index, failures
+      SELECT incident_id, phase, row_index, failures
       FROM p JOIN processed m ON m.topic = p.topic AND epoch_us(ts) >= x AND epoch_us(ts) < y),
     sums AS (SELECT incident_id, phase, count(*) AS n, count(*) FILTER (failures > 0) AS failed FROM hits GROUP BY ALL)
     SELECT phase, incident_id::VARCHAR AS incident_id, coalesce(n, 0) AS messages, coalesce(failed, 0) AS failed,

@@ -11,12 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.draw import u
+from ..functions.draw import pick, u
 from ..functions.fields import Context, enum_col, field_col
 from ..functions.keys import key_col, partition_col
 from ..functions.payloads import json_payload, json_value
 from ..plans.ordering import explode_count, number_rows
-from ..plans.sizing import BROADCAST_ROWS, join_side
+from ..plans.sizing import BROADCAST_ROWS, join_side, settle
 from ..plans.spec import Field
 
 # Most values of a provider that may be written into a plan as a literal.
@@ -32,12 +32,15 @@ def rows(spark: SparkSession, n: int, partitions: int | None = None) -> DataFram
 
 
 def lookup_values(df: DataFrame, value: Column, order: str, provider: str, locale: str = "") -> DataFrame:
-    """A value table for ``lookup_col``: positions follow the unique integer ``order``."""
+    """A value table for ``lookup_col``: positions follow the unique integer ``order``.
+
+    The numbered table is written once, as every field drawn from it reads it.
+    """
     base = df.select(
         F.lit(provider).alias("provider"), F.lit(locale).alias("locale"),
-        value.alias("value"), F.col(order).cast("bigint").alias("_order"),
+        value.cast("string").alias("value"), F.col(order).cast("bigint").alias("_order"),
     )
-    return number_rows(base, ["provider", "locale"], "_order", "pos").drop("_order")
+    return settle(number_rows(base, ["provider", "locale"], "_order", "pos").drop("_order"), "lookup")
 
 
 def lookup_col(
@@ -51,15 +54,14 @@ def lookup_col(
     uniform, so the join has no hot key however large either side is.
     """
     mine = values.where((F.col("provider") == provider) & (F.col("locale") == locale))
-    size = mine.agg((F.max("pos") + 1).alias("n"))
-    drawn = df.withColumn(
-        "_pos",
-        F.floor(
-            u(seed, path or name, F.col(idx)) * F.coalesce(size.scalar(), F.lit(0)).cast("double")
-        ).cast("bigint"),
-    )
+    last = mine.agg(F.max("pos")).first()[0]
+    if last is None:
+        raise ValueError(f"no lookup values for '{provider}' in locale '{locale}'")
     text = F.col("value").cast("string").alias(name)
-    side = join_side(mine.select(F.col("pos").alias("_pos"), text), limit=broadcast_rows)
+    side = join_side(
+        mine.select(F.col("pos").alias("_pos"), text), known_rows=last + 1, limit=broadcast_rows
+    )
+    drawn = df.withColumn("_pos", pick(u(seed, path or name, F.col(idx)), 0, last))
     return drawn.join(side, "_pos", "left").drop("_pos")
 
 

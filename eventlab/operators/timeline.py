@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.fields import epoch_micros
 from ..functions.draw import digest
 from ..plans.ordering import explode_count, successor
-from ..plans.segments import elementary, locate
-from ..plans.sizing import BROADCAST_ROWS, settle
+from ..plans.segments import count_between, covered, elementary, locate
+from ..plans.sizing import BROADCAST_ROWS
 
 DAY = 86_400_000_000
 
@@ -236,53 +236,37 @@ def asof_setting(
 
 def outside(
     msgs: DataFrame, pauses: DataFrame, keys: list[str], inside: bool = False,
-    width: int | None = None, broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Messages outside (or inside) every paused interval."""
-    cut = elementary(pauses.withColumn("_p", F.lit(1)), keys, "_p", width)
     how = "left_semi" if inside else "left_anti"
-    return locate(msgs, epoch_micros(F.col("ts")), cut, keys, width, how, broadcast_rows)
+    return locate(
+        msgs, epoch_micros(F.col("ts")), covered(pauses, keys), keys, None, how, broadcast_rows
+    )
 
 
 def impact(
     processed: DataFrame, intervals: DataFrame, keys: list[str], margin_seconds: int,
-    label: str = "incident_id", width: int | None = None, broadcast_rows: int = BROADCAST_ROWS,
+    label: str = "incident_id", broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Messages and failures before, during and after each interval.
-
-    Phases of different incidents overlap, so messages are first counted per
-    stretch in which the same phases are open; those few counts are then added
-    up per phase.
-    """
+    """Messages and failures before, during and after each incident's intervals."""
     margin = margin_seconds * 1_000_000
     a, b = F.col("seg_from"), F.col("seg_to")
     phases = intervals.where(b > a).select(
-        *keys, F.col(label).cast("string").alias("_id"),
-        F.explode(F.array(
-            F.struct(F.lit("before").alias("phase"), (a - margin).alias("a"), a.alias("b")),
-            F.struct(F.lit("during").alias("phase"), a.alias("a"), b.alias("b")),
-            F.struct(F.lit("after").alias("phase"), b.alias("a"), (b + margin).alias("b")),
-        )).alias("_p"),
-    ).select(
-        *keys, F.concat_ws("|", F.col("_p.phase"), "_id").alias("_label"),
-        F.col("_p.a").alias("seg_from"), F.col("_p.b").alias("seg_to"),
+        *keys, F.col(label).cast("string").alias(label),
+        F.inline(F.array(
+            F.struct(F.lit("before").alias("phase"), (a - margin).alias("seg_from"), a.alias("seg_to")),
+            F.struct(F.lit("during").alias("phase"), a.alias("seg_from"), b.alias("seg_to")),
+            F.struct(F.lit("after").alias("phase"), b.alias("seg_from"), (b + margin).alias("seg_to")),
+        )),
     )
-    # Read twice below: to place the messages, and to add up their counts.
-    cut = settle(elementary(phases, keys, "_label", width), "phases")
-    at = epoch_micros(F.col("ts"))
-    slim = processed.select(*keys, "ts", (F.col("failures") > 0).cast("bigint").alias("_failed"))
-    placed = locate(slim, at, cut.drop("labels"), keys, width, "inner", broadcast_rows)
-    counts = placed.groupBy(*keys, "seg_from").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_failed").alias("f")
+    counts = {
+        "messages": F.lit(1).cast("bigint"), "failed": (F.col("failures") > 0).cast("bigint"),
+    }
+    found = count_between(
+        processed, epoch_micros(F.col("ts")), phases, keys, counts, broadcast_rows
     )
-    spread = cut.join(counts, [*keys, "seg_from"]).select("n", "f", F.explode("labels").alias("_label"))
-    summed = spread.groupBy("_label").agg(F.sum("n").alias("messages"), F.sum("f").alias("failed"))
-    spans = phases.groupBy("_label").agg(F.sum(b - a).alias("micros"))
-    joined = spans.join(summed, "_label", "left")
-    n = F.coalesce("messages", F.lit(0))
-    return joined.select(
-        F.substring_index("_label", "|", 1).alias("phase"),
-        F.substring("_label", F.locate("|", F.col("_label")) + 1, F.length("_label")).alias(label),
-        n.alias("messages"), F.coalesce("failed", F.lit(0)).alias("failed"),
-        F.round(n * F.lit(1e6) / F.col("micros"), 6).alias("messages_per_second"),
+    return found.groupBy("phase", label).agg(
+        F.sum("messages").alias("messages"), F.sum("failed").alias("failed"),
+        F.round(F.sum("messages") * F.lit(1e6) / F.sum(b - a), 6).alias("messages_per_second"),
     )

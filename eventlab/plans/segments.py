@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import explode_count, successor
+from .ordering import explode_count, running_total, successor
 from .sizing import BROADCAST_ROWS, join_side, settle
 
 
@@ -112,3 +112,63 @@ def elementary(
     return held.groupBy(*keys, "seg_from", "seg_to").agg(
         F.array_sort(F.collect_set("_label")).alias("labels")
     )
+
+
+def covered(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """Segments in which at least one interval is open, whatever their overlap.
+
+    Openings count one up, closings one down; a running count over the distinct
+    ends tells where any interval is open. The work grows with the number of
+    ends, not with how many intervals overlap.
+    """
+    real, width, _ = _measured(intervals.select(*keys, "seg_from", "seg_to"), "intervals", None)
+    ends = F.array(
+        F.struct(F.col("seg_from").alias("at"), F.lit(1).cast("bigint").alias("step")),
+        F.struct(F.col("seg_to").alias("at"), F.lit(-1).cast("bigint").alias("step")),
+    )
+    steps = real.select(*keys, F.inline(ends)).groupBy(*keys, F.col("at").alias("seg_from")).agg(
+        F.sum("step").alias("_step")
+    )
+    block = width * 1_000
+    counted = running_total(steps, keys, "seg_from", "_step", "_open", block)
+    return (
+        successor(counted, keys, "seg_from", "seg_to", block)
+        .where(F.col("_open") > 0)
+        .select(*keys, "seg_from", "seg_to")
+    )
+
+
+def count_between(
+    rows: DataFrame, position: Column, spans: DataFrame, keys: list[str], counts: dict[str, Column],
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Add to every span (``keys``, ``seg_from``, ``seg_to``) sums over its rows.
+
+    ``counts`` names whole-number columns to add up. Rows are counted once, per
+    stretch between neighbouring ends of any spans; running sums at the two
+    ends of a span then differ by what lies between them. Overlapping spans
+    therefore cost nothing extra.
+    """
+    real, width, _ = _measured(spans, "spans", None)
+    block = width * 1_000
+    marks = real.select(*keys, F.explode(F.array("seg_from", "seg_to")).alias("seg_from")).distinct()
+    cuts = settle(successor(marks, keys, "seg_from", "seg_to", block), "cuts")
+    slim = rows.select(*keys, position.alias("_at"), *[c.alias(n) for n, c in counts.items()])
+    inner = cuts.where(F.col("seg_to").isNotNull())
+    placed = locate(slim, F.col("_at"), inner, keys, None, "inner", broadcast_rows)
+    sums = placed.groupBy(*keys, "seg_from").agg(*[F.sum(n).alias(n) for n in counts])
+    at_marks = cuts.drop("seg_to").join(sums, [*keys, "seg_from"], "left").select(
+        *keys, "seg_from", *[F.coalesce(n, F.lit(0)).alias(n) for n in counts]
+    )
+    # Totals of everything before a mark, one row per mark: settled, as both ends look them up.
+    for n in counts:
+        at_marks = running_total(at_marks, keys, "seg_from", n, f"_{n}", block).withColumn(
+            f"_{n}", F.col(f"_{n}") - F.col(n)
+        )
+    before = settle(at_marks.select(*keys, "seg_from", *[f"_{n}" for n in counts]), "marks")
+    a = before.select(*keys, "seg_from", *[F.col(f"_{n}").alias(f"_a_{n}") for n in counts])
+    b = before.select(*keys, F.col("seg_from").alias("seg_to"), *[F.col(f"_{n}").alias(f"_b_{n}") for n in counts])
+    both = real.join(a, [*keys, "seg_from"]).join(b, [*keys, "seg_to"])
+    return both.select(
+        *spans.columns, *[(F.col(f"_b_{n}") - F.col(f"_a_{n}")).alias(n) for n in counts]
+    )

@@ -12,8 +12,12 @@ BROADCAST_ROWS = 100_000
 
 
 def within(df: DataFrame, rows: int) -> bool:
-    """True when ``df`` has at most ``rows`` rows; stops reading soon after."""
-    return df.limit(rows + 1).count() <= rows
+    """True when ``df`` has at most ``rows`` rows.
+
+    Partitions are read a few at a time until one more row has turned up, and
+    only constants reach the driver.
+    """
+    return not df.select(F.lit(1)).offset(rows).head(1)
 
 
 def join_side(df: DataFrame, known_rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
