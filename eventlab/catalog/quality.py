@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.codec import parse_json
+from ..functions.codec import parse_json, schema_from_avro, schema_from_proto
 from ..functions.fields import uuid_col
 from ..operators.quality import violation_summary, violations
 from ..plans.spec import fields_of
@@ -23,6 +23,31 @@ def v1(spark, sf):
     return parsed.select("row_index", "parsed.k", F.col("_corrupt_record").alias("corrupt"))
 
 
+AVRO_RECORD = """{"type": "record", "name": "Props", "fields": [
+    {"name": "k", "type": ["null", "long"]}, {"name": "gone", "type": ["null", "string"]}]}"""
+PROTO_MESSAGE = """message Props {
+    int64 k = 1;  // position
+    repeated string tags = 2;
+}"""
+
+
+@query("v4_avro_schema", """
+    SELECT event_id, (props::JSON->>'k')::BIGINT AS k, true AS gone_missing FROM events""")
+def v4(spark, sf):
+    schema = schema_from_avro(AVRO_RECORD)
+    read = table(spark, sf, "events").select("event_id", F.from_json("props", schema).alias("p"))
+    return read.select("event_id", "p.k", F.col("p.gone").isNull().alias("gone_missing"))
+
+
+@query("v5_proto_schema", """
+    SELECT event_id, (props::JSON->>'k')::BIGINT AS k, event_type AS tag FROM events""")
+def v5(spark, sf):
+    schema = schema_from_proto(PROTO_MESSAGE)
+    tagged = F.concat(F.lit('{"tags": ["'), "event_type", F.lit('"], '), F.substring("props", F.lit(2), F.length("props")))
+    read = table(spark, sf, "events").select("event_id", F.from_json(tagged, schema).alias("p"))
+    return read.select("event_id", "p.k", F.element_at("p.tags", 1).alias("tag"))
+
+
 EVENT_RULES = fields_of([
     {"name": "user", "type": "int", "min": 5, "max": 140},
     {"name": "kind", "type": "enum", "values": ["click", "view", "purchase"]},

@@ -11,6 +11,7 @@ from ..functions.draw import u
 from ..functions.fields import string_col
 from ..functions.keys import partition_col
 from ..session import scratch_path
+from ..sources.kafka import kafka_columns
 from ..sources.tables import read_messages, spread, topic_table, write_messages
 from .base import (
     ADDRESSED, MSGS, PARTITIONS, SEED, addressed, messages, partition_sql, processed, processed_sql, query, table,
@@ -357,6 +358,17 @@ def messages_over(spark, sf):
 # --- tables in files ---------------------------------------------------------
 
 
+@query("c3_kafka_columns", f"""
+    WITH {MSGS}
+    SELECT topic, lower(hex(encode(key))) AS key, lower(hex(encode(value))) AS value, count(*)::BIGINT AS n
+    FROM msgs GROUP BY ALL""")
+def c3(spark, sf):
+    out = kafka_columns(messages(spark, sf))
+    return out.groupBy("topic", F.lower(F.hex("key")).alias("key"), F.lower(F.hex("value")).alias("value")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
 @query("c4_message_table", f"""
     WITH {ADDRESSED}
     SELECT topic, "partition", count(*)::BIGINT AS n, max("offset") AS last_offset, sum(strlen(value))::BIGINT AS bytes

@@ -173,6 +173,32 @@ def r8(spark, sf):
     return done.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
+# A tenth of the events arrives after all others, behind a watermark of one day.
+@query("r9_late_rows", f"""
+    WITH e AS (SELECT *, {u_sql("'arrival'", 'event_id')} >= 0.1 AS on_time FROM events),
+    w AS (SELECT (max(epoch_us(ts)) // 1000 - 86400000) * 1000 AS mark FROM e WHERE on_time)
+    SELECT count(*)::BIGINT AS input_rows,
+           count(*) FILTER (NOT on_time AND epoch_us(ts) <= (SELECT mark FROM w)) AS late_rows
+    FROM e""")
+def r9(spark, sf):
+    arrivals, out, checkpoint = (scratch_path(spark, f"late-{part}") for part in ("in", "out", "checkpoint"))
+    events = as_messages(table(spark, sf, "events"))
+    numbered = events.withColumn("value", F.col("row_index").cast("string"))
+    on_time = u(SEED, "arrival", F.col("row_index")) >= 0.1
+    reports = []
+    for part in (on_time, ~on_time):
+        numbered.where(part).write.mode("append").parquet(arrivals)
+        arriving = read_messages(spark, arrivals, streaming=True, schema=numbered.schema)
+        query = (
+            mon.stream_dedup(arriving, "1 day", salts=1).writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        reports.append(mon.late_report(query))
+    counts = tuple(sum(r[name] for r in reports) for name in ("input_rows", "late_rows"))
+    return spark.createDataFrame([counts], "input_rows BIGINT, late_rows BIGINT")
+
+
 @query("r10_generated_stream", P5_SIZED_SQL)
 def r10(spark, sf):
     rows = table_stream(spark, sf, "events").select(F.col("event_id").alias("row_index"), "ts")

@@ -13,7 +13,7 @@ from ..operators.synth import (
     synth_table, zipf_key,
 )
 from ..operators.timing import event_micros, with_rate_schedule
-from ..plans.spec import Field, fields_of
+from ..plans.spec import Field, fields_of, spark_schema
 from ..sources.tables import spread
 from .base import (
     MSGS, PARTITIONS, SEED, START_MICROS, TOPICS, hash_sql, letters_sql, messages, partition_sql, pick_sql, query,
@@ -215,6 +215,17 @@ def g13(spark, sf):
     )
 
 
+@query("g14_spark_schema", f"""
+    SELECT o_orderkey, order_id, customer_id, amount, status, created_at FROM (SELECT o_orderkey, {ORDER_SQL} FROM orders)""")
+def g14(spark, sf):
+    fields = [f for f in ORDER_FIELDS if f.type != "faker"]
+    made = synth_table(
+        spread(table(spark, sf, "orders")), fields, SEED, "o_orderkey", "o_orderdate", keep=["o_orderkey"]
+    )
+    text = made.select("o_orderkey", json_value(*[f.name for f in fields]).alias("value"))
+    return text.select("o_orderkey", F.from_json("value", spark_schema(fields)).alias("v")).select("o_orderkey", "v.*")
+
+
 # --- keys --------------------------------------------------------------------
 
 

@@ -140,6 +140,10 @@ def on_clock(intervals: DataFrame, start_micros: Column) -> DataFrame:
     )
 
 
+# Up to this many members are taken by a sort-limit, which ends in one task.
+TOP_ROWS = 10_000
+
+
 def check_target(target: dict) -> dict:
     unknown = set(target) - set(TARGET_KEYS)
     if unknown:
@@ -164,8 +168,10 @@ def select_target(members: DataFrame, target: dict, seed: int = 0, path: str = "
     if count is None and share is None:
         return hit
     draw = digest(seed, path, F.col("member_id"))
-    if count is not None:
+    if count is not None and count <= TOP_ROWS:
         return hit.orderBy(draw, "member_id").limit(count)
+    if count is not None:
+        return _first_by_hash(hit, draw, F.lit(count))
     size = hit.agg(F.count(F.lit(1)).alias("n"))
     k = F.greatest(F.lit(1), F.floor(size.scalar() * share / F.lit(100)))
     return _first_by_hash(hit, draw, k)

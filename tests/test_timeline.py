@@ -98,6 +98,12 @@ def test_target_sizes(members, target, size):
         assert got.where(F.col("topic") != target["topic"]).count() == 0
 
 
+def test_large_counts_take_the_same_members(members, monkeypatch):
+    few = tl.select_target(members, {"topic": "a", "count": 20}, 4).collect()
+    monkeypatch.setattr(tl, "TOP_ROWS", 5)
+    assert sorted(tl.select_target(members, {"topic": "a", "count": 20}, 4).collect()) == sorted(few)
+
+
 def test_targets_are_drawn_and_checked(members):
     ids = {r.member_id for r in tl.select_target(members, {"percentage": 30}, 4).collect()}
     assert ids == {r.member_id for r in tl.select_target(members, {"count": 30}, 4).collect()}
