@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fields as fx
-from ..functions.fields import epoch_micros
 from ..functions.keys import key_col, partition_col
 from ..functions.payloads import fixed_payload, json_payload, json_value, random_payload
 from ..operators.synth import (

@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans.spec import Field
-from .draw import bits, constant, digest, pick, u
+from .draw import constant, digest, pick, u
 
 # Digits of base 26 as conv() prints them, and the letters they stand for.
 BASE26 = "0123456789ABCDEFGHIJKLMNOP"
