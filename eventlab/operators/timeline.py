@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import epoch_micros
 from ..functions.draw import digest
-from ..plans.ordering import explode_count, successor
+from ..plans.ordering import explode_count, running_max, running_total, successor
 from ..plans.segments import count_between, covered, elementary, locate
 from ..plans.sizing import BROADCAST_ROWS
 
@@ -75,22 +75,17 @@ def expand_groups(items: DataFrame, horizon: int) -> DataFrame:
     is reached in the same cycle or at either end of the earlier ones. So cycles
     need no ordering among themselves and are exploded on the map side.
     """
-    order = Window.partitionBy("group_id").orderBy("pos")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("group_id")
+    group = ["group_id"]
     busy = command_seconds(F.col("type"), F.col("duration_seconds"))
+    known = items.withColumn("busy", busy)
+    sums = known.groupBy(*group).agg(F.sum("busy").alias("_d"), F.min("pos").alias("_first"))
+    ended = running_total(known.join(sums, group), group, "pos", "busy", "_ended")
     # The first item also waits for its cycle to start.
-    due = F.when(
-        F.row_number().over(order) == 1, F.greatest(F.coalesce("at_seconds", F.lit(0)), F.lit(0))
-    ).otherwise(F.col("at_seconds")).cast("bigint")
-    timed = items.withColumn("busy", busy).withColumn("_due", due)
-    timed = timed.withColumn("_p", F.coalesce(F.sum("busy").over(before), F.lit(0)))
-    timed = (
-        timed.withColumn("_slack", F.max(F.col("_due") - F.col("_p")).over(upto))
-        .withColumn("_most", F.max(F.col("_due") - F.col("_p")).over(whole))
-        .withColumn("_d", F.sum("busy").over(whole))
-    )
+    at = F.col("at_seconds").cast("bigint")
+    due = F.when(F.col("pos") == F.col("_first"), F.greatest(at, F.lit(0))).otherwise(at)
+    timed = ended.withColumn("_p", F.col("_ended") - F.col("busy")).withColumn("_own", due - F.col("_p"))
+    most = timed.groupBy(*group).agg(F.max("_own").alias("_most"))
+    timed = running_max(timed.join(most, group), group, "pos", "_own", "_slack")
     drift = F.col("interval_seconds") - F.col("_d")
     cycle = F.col("cycle")
     earlier = F.when(cycle > 0, F.col("_most") + F.greatest(F.lit(0), (cycle - 1) * drift))
@@ -99,7 +94,7 @@ def expand_groups(items: DataFrame, horizon: int) -> DataFrame:
         explode_count(timed, F.coalesce("repeat", F.lit(1)), "cycle")
         .withColumn("fire", fire.cast("bigint"))
         .where(F.col("fire") <= horizon)
-        .drop("_due", "_p", "_slack", "_most", "_d")
+        .drop("_d", "_first", "_ended", "_p", "_own", "_most", "_slack")
     )
 
 

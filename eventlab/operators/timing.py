@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordering import running_total, successor
 from ..plans.segments import locate
 from ..plans.sizing import BROADCAST_ROWS
 
 MICROS = 1_000_000
+DAY = 86_400 * MICROS
 
 
 def event_micros(start_micros: int | Column, position: Column, rate: float) -> Column:
@@ -28,22 +30,29 @@ def with_event_time(
 def rate_segments(changes: DataFrame, keys: list[str]) -> DataFrame:
     """Turn rate changes into the send positions each rate covers.
 
-    ``changes`` has ``keys``, at_micros (first change at the start) and rate.
-    The first position sent at or after a change is the ceiling of the messages
-    due until then. Rates of zero cover no positions.
+    ``changes`` has ``keys``, at_micros (first change at the start) and rate; of
+    changes at one time the largest rate holds. Messages due are counted in whole
+    millionths, whose sums come out the same in any order. The first position
+    sent at or after a change is the messages due until then, rounded up. Rates
+    of zero cover no positions.
     """
-    order = Window.partitionBy(*keys).orderBy("at_micros")
-    timed = changes.withColumn("_until", F.lead("at_micros").over(order)).withColumn(
-        "_due", F.col("rate") * (F.col("_until") - F.col("at_micros")) / F.lit(float(MICROS))
+    one = changes.groupBy(*keys, "at_micros").agg(F.max("rate").cast("double").alias("rate"))
+    timed = successor(one, keys, "at_micros", "_until", DAY)
+    due = F.round(F.col("rate") * (F.col("_until") - F.col("at_micros"))).cast("bigint")
+    timed = timed.withColumn("_due", F.coalesce(due, F.lit(0)))
+    summed = running_total(timed, keys, "at_micros", "_due", "_upto", DAY)
+
+    def whole(millionths: Column) -> Column:
+        return F.ceil(millionths / F.lit(MICROS)).cast("bigint")
+
+    segments = summed.select(
+        *keys, whole(F.col("_upto") - F.col("_due")).alias("seg_from"),
+        F.when(F.col("_until").isNotNull(), whole(F.col("_upto"))).alias("seg_to"),
+        "at_micros", "rate", (F.col("_upto") - F.col("_due")).alias("due_before"),
+    )
+    return segments.where(
+        (F.col("rate") > 0) & (F.col("seg_to").isNull() | (F.col("seg_to") > F.col("seg_from")))
     )
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    summed = timed.withColumn("_before", F.coalesce(F.sum("_due").over(before), F.lit(0.0)))
-    first = F.ceil("_before").cast("bigint")
-    next_first = F.when(F.col("_until").isNotNull(), F.ceil(F.col("_before") + F.col("_due")).cast("bigint"))
-    return summed.select(
-        *keys, first.alias("seg_from"), next_first.alias("seg_to"),
-        "at_micros", "rate", F.col("_before").alias("due_before"),
-    ).where((F.col("rate") > 0) & (F.col("seg_to").isNull() | (F.col("seg_to") > F.col("seg_from"))))
 
 
 def with_rate_schedule(
@@ -58,7 +67,7 @@ def with_rate_schedule(
         df, F.col(position), rate_segments(changes, keys), keys, width, "left", broadcast_rows,
         open_ended=True,
     )
-    inside = (F.col(position) - F.col("due_before")) * F.lit(float(MICROS)) / F.col("rate")
+    inside = (F.col(position) * F.lit(MICROS) - F.col("due_before")) / F.col("rate")
     return placed.withColumn(name, F.col("at_micros") + F.floor(inside).cast("bigint")).drop(
         "seg_from", "seg_to", "at_micros", "rate", "due_before"
     )

@@ -26,28 +26,41 @@ def number_rows(
 def running_total(
     df: DataFrame, keys: list[str], order: str, value: str, name: str, block: int = BLOCK
 ) -> DataFrame:
-    """Add ``name`` = sum of integer ``value`` up to and including each row.
+    """Add ``name`` = sum of integer ``value`` up to and including each row."""
+    def add(here: Column, before: Column) -> Column:
+        return here + F.coalesce(before, F.lit(0))
 
-    Rows are shuffled once, by (keys, block): the join with the sums of earlier
+    return _running(df, keys, order, value, name, block, F.sum, add)
+
+
+def running_max(
+    df: DataFrame, keys: list[str], order: str, value: str, name: str, block: int = BLOCK
+) -> DataFrame:
+    """Add ``name`` = largest ``value`` up to and including each row, nulls aside."""
+    return _running(df, keys, order, value, name, block, F.max, F.greatest)
+
+
+def _running(df, keys, order, value, name, block, fold, combine) -> DataFrame:
+    """Fold values in order, inside blocks and over the blocks before.
+
+    Rows are shuffled once, by (keys, block): the join with the folds of earlier
     blocks and the window inside a block share that partitioning. Which side of
     the join is broadcast, if any, is left to the adaptive planner.
     """
     blocked = _grouped(df, keys).withColumn(
         "_block", F.floor(F.col(order) / F.lit(block)).cast("bigint")
     )
-    totals = blocked.groupBy("_key", "_block").agg(F.sum(value).alias("_sum"))
+    folds = blocked.groupBy("_key", "_block").agg(fold(value).alias("_fold"))
     before = Window.partitionBy("_key").orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    carried = totals.select(
-        "_key", "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")
-    )
+    carried = folds.select("_key", "_block", fold("_fold").over(before).alias("_before"))
     inside = Window.partitionBy("_key", "_block").orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
         blocked.join(carried, ["_key", "_block"])
-        .withColumn(name, F.sum(value).over(inside) + F.col("_before"))
+        .withColumn(name, combine(fold(value).over(inside), F.col("_before")))
         .drop("_key", "_block", "_before")
     )
 

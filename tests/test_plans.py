@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from eventlab.plans.ordering import explode_count, number_rows, running_total, successor
+from eventlab.plans.ordering import explode_count, number_rows, running_max, running_total, successor
 from eventlab.plans.segments import elementary, locate
 from eventlab.plans.sizing import join_side, settle, within
 from eventlab.plans.spec import Field, fields_of, spark_schema
@@ -31,6 +31,14 @@ def test_running_total_crosses_blocks(spark):
         assert got[k, at] == sum(v for kk, a, v in rows if kk == k and a <= at)
 
 
+def test_running_max_ignores_nulls(spark):
+    rows = [(k, at, v if v % 3 else None) for k, at, v in keyed_rows()]
+    df = spark.createDataFrame(rows, "k STRING, at BIGINT, v BIGINT")
+    for r in running_max(df, ["k"], "at", "v", "m", block=50).collect():
+        past = [v for k, a, v in rows if k == r.k and a <= r.at and v is not None]
+        assert r.m == max(past, default=None)
+
+
 def test_running_total_without_broadcast(spark, no_broadcast):
     test_running_total_crosses_blocks(spark)
 
