@@ -76,16 +76,18 @@ def expand_groups(items: DataFrame, horizon: int) -> DataFrame:
     need no ordering among themselves and are exploded on the map side.
     """
     group = ["group_id"]
-    busy = command_seconds(F.col("type"), F.col("duration_seconds"))
-    known = items.withColumn("busy", busy)
-    sums = known.groupBy(*group).agg(F.sum("busy").alias("_d"), F.min("pos").alias("_first"))
-    ended = running_total(known.join(sums, group), group, "pos", "busy", "_ended")
-    # The first item also waits for its cycle to start.
-    at = F.col("at_seconds").cast("bigint")
-    due = F.when(F.col("pos") == F.col("_first"), F.greatest(at, F.lit(0))).otherwise(at)
-    timed = ended.withColumn("_p", F.col("_ended") - F.col("busy")).withColumn("_own", due - F.col("_p"))
-    most = timed.groupBy(*group).agg(F.max("_own").alias("_most"))
-    timed = running_max(timed.join(most, group), group, "pos", "_own", "_slack")
+    known = items.withColumn("busy", command_seconds(F.col("type"), F.col("duration_seconds")))
+    ended = running_total(known, group, "pos", "busy", "_ended")
+    timed = ended.withColumn("_p", F.col("_ended") - F.col("busy")).withColumn(
+        "_own", F.col("at_seconds").cast("bigint") - F.col("_p")
+    )
+    # Every cycle also waits for its own start, a slack of 0 from its first item on.
+    sums = timed.groupBy(*group).agg(
+        F.sum("busy").alias("_d"), F.greatest(F.max("_own"), F.lit(0)).alias("_most")
+    )
+    timed = running_max(timed.join(sums, group), group, "pos", "_own", "_slack").withColumn(
+        "_slack", F.greatest("_slack", F.lit(0))
+    )
     drift = F.col("interval_seconds") - F.col("_d")
     cycle = F.col("cycle")
     earlier = F.when(cycle > 0, F.col("_most") + F.greatest(F.lit(0), (cycle - 1) * drift))
@@ -94,7 +96,7 @@ def expand_groups(items: DataFrame, horizon: int) -> DataFrame:
         explode_count(timed, F.coalesce("repeat", F.lit(1)), "cycle")
         .withColumn("fire", fire.cast("bigint"))
         .where(F.col("fire") <= horizon)
-        .drop("_d", "_first", "_ended", "_p", "_own", "_most", "_slack")
+        .drop("_d", "_ended", "_p", "_own", "_most", "_slack")
     )
 
 

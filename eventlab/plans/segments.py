@@ -26,13 +26,15 @@ def locate(
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
     open_ended: bool = False,
+    settled: bool = False,
 ) -> DataFrame:
     """Join each row with its segment.
 
     ``segments`` has ``keys``, ``seg_from``, ``seg_to`` and payload columns.
     ``how`` is left, inner, left_semi or left_anti. With ``open_ended``, the
     last segment of a key may have a null ``seg_to`` and ends at the largest
-    position of ``rows``, which takes one more pass over that column.
+    position of ``rows``, which takes one more pass over that column. ``settled``
+    says that the segments are read from a stored table already.
 
     The segments are broadcast where they are proven few. Otherwise both sides
     are shuffled by (keys, bucket), and the adaptive planner splits the rows of
@@ -46,7 +48,7 @@ def locate(
         closed = segments.withColumn("_top", top.scalar()).withColumn(
             "seg_to", F.least(F.coalesce("seg_to", "_top"), "_top")
         ).drop("_top")
-    known, width, bound = _measured(closed, "segments", width)
+    known, width, bound = _measured(closed, None if settled else "segments", width)
     first = F.floor(F.col("seg_from") / F.lit(width)).cast("bigint")
     last = F.floor((F.col("seg_to") - 1) / F.lit(width)).cast("bigint")
     cut = explode_count(known, last - first + 1, "_step")
@@ -67,9 +69,10 @@ def locate(
     )
 
 
-def _measured(spans: DataFrame, label: str, width: int | None) -> tuple[DataFrame, int, int]:
-    """Settle spans; choose a bucket width and bound the rows after cutting by it."""
-    known = settle(spans.where(F.col("seg_to") > F.col("seg_from")), label)
+def _measured(spans: DataFrame, label: str | None, width: int | None) -> tuple[DataFrame, int, int]:
+    """Settle spans (given a label); choose a bucket width and bound the rows after cutting by it."""
+    known = spans.where(F.col("seg_to") > F.col("seg_from"))
+    known = settle(known, label) if label else known
     size = (F.col("seg_to") - F.col("seg_from")).cast("double")
     n, mean = known.agg(F.count(F.lit(1)), F.coalesce(F.avg(size), F.lit(1.0))).first()
     width = width or max(1, int(mean))
@@ -155,7 +158,7 @@ def count_between(
     cuts = settle(successor(marks, keys, "seg_from", "seg_to", block), "cuts")
     slim = rows.select(*keys, position.alias("_at"), *[c.alias(n) for n, c in counts.items()])
     inner = cuts.where(F.col("seg_to").isNotNull())
-    placed = locate(slim, F.col("_at"), inner, keys, None, "inner", broadcast_rows)
+    placed = locate(slim, F.col("_at"), inner, keys, None, "inner", broadcast_rows, settled=True)
     sums = placed.groupBy(*keys, "seg_from").agg(*[F.sum(n).alias(n) for n in counts])
     at_marks = cuts.drop("seg_to").join(sums, [*keys, "seg_from"], "left").select(
         *keys, "seg_from", *[F.coalesce(n, F.lit(0)).alias(n) for n in counts]
@@ -167,7 +170,9 @@ def count_between(
         )
     before = settle(at_marks.select(*keys, "seg_from", *[f"_{n}" for n in counts]), "marks")
     a = before.select(*keys, "seg_from", *[F.col(f"_{n}").alias(f"_a_{n}") for n in counts])
-    b = before.select(*keys, F.col("seg_from").alias("seg_to"), *[F.col(f"_{n}").alias(f"_b_{n}") for n in counts])
+    b = before.select(
+        *keys, F.col("seg_from").alias("seg_to"), *[F.col(f"_{n}").alias(f"_b_{n}") for n in counts]
+    )
     both = real.join(a, [*keys, "seg_from"]).join(b, [*keys, "seg_to"])
     return both.select(
         *spans.columns, *[(F.col(f"_b_{n}") - F.col(f"_a_{n}")).alias(n) for n in counts]
