@@ -75,12 +75,10 @@ def zipf_weights(spark: SparkSession, cardinality: int, exponent: float = 1.5) -
     same table.
     """
     scale = min(1 << 51, (1 << 61) // cardinality)
+    share = F.lit(float(scale)) / F.pow(F.col("id") + F.lit(1.0), F.lit(float(exponent)))
     ranks = spark.range(cardinality).select(
         F.col("id").alias("rank"),
-        F.greatest(
-            F.lit(1).cast("bigint"),
-            F.floor(F.lit(float(scale)) / F.pow(F.col("id") + F.lit(1.0), F.lit(float(exponent)))).cast("bigint"),
-        ).alias("w"),
+        F.greatest(F.lit(1).cast("bigint"), F.floor(share).cast("bigint")).alias("w"),
     )
     block = 4_096
     blocked = ranks.withColumn("b", F.floor(F.col("rank") / F.lit(block)))
