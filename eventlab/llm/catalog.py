@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces
+from . import fmindex, pieces
 from .common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as pieces and back."""
     done = pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_file(), with_ids=False)
     return done.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query("op10_substrings")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 20-word windows that start earlier too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = fmindex.without(docs, fmindex.repeated(docs))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
