@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, pieces
+from . import fmindex, pieces, sketch
 from .common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,12 @@ def piece_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query("op7_near_copies")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of five-word shingles agree to 85 in 100."""
+    return sketch.classes(table(spark, sf_dir, "documents"), percent=85)
+
+
 @query("op8_pieces")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as pieces and back."""
