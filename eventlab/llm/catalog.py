@@ -9,8 +9,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, pieces, sketch
-from .common import prepared
+from . import fmindex, langid, pieces, sketch, toxicity
+from .common import held_out, prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +44,20 @@ def piece_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with labels, without the fold that is held out."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(labels, "doc_id").where(~held_out())
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = toxicity.scored(docs, toxicity.fit(labelled(spark, sf_dir)))
+    return done.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op7_near_copies")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose sets of five-word shingles agree to 85 in 100."""
@@ -63,3 +77,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = fmindex.without(docs, fmindex.repeated(docs))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op1_language")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; counts, limits and sharpness from folds that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = langid.fit(docs.where(fold > 1), docs.where(fold == 1))
+    done = langid.identified(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "entropy", "rejected")
