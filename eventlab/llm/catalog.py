@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, langid, pieces, sketch, toxicity
+from . import fmindex, langid, mincut, pieces, sketch, toxicity
 from .common import held_out, prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(fold > 1), docs.where(fold == 1))
     done = langid.identified(docs.select("doc_id", "text"), model)
     return done.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
+@query("op4_main_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return mincut.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
