@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, langid, mincut, pieces, sketch, toxicity
+from . import crf, fmindex, langid, mincut, pieces, sketch, toxicity
 from .common import held_out, prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,22 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def span_text(spans: str) -> str:
+    """SQL for kind:start:end of an array of spans, joined by commas."""
+    return f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+
+
+@query("op5_personal_data")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and a digest of the fixed patterns, and all spans."""
+    found = crf.spans_of(table(spark, sf_dir, "documents").select("doc_id", "text"), crf.default_model(spark))
+    return found.select(
+        "doc_id",
+        *[F.expr(f"CAST(size(filter(base, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in crf.KINDS],
+        F.sha2(F.expr(span_text("base")), 256).alias("base_sha256"), F.expr(span_text("spans")).alias("spans"),
+    )
+
+
 @query("op7_near_copies")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose sets of five-word shingles agree to 85 in 100."""
