@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, fmindex, langid, mincut, pieces, sketch, toxicity
+from . import crf, fmindex, langid, mincut, pieces, rules, sketch, toxicity
 from .common import held_out, prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,55 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return mincut.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+RISK = rules.Risk()
+
+_SHARE = {
+    "marks": "(n_symbols + n_shouts) / nullif(word_chars, 0)", "capitals": "n_capitals / nullif(word_chars, 0)",
+    "repeats": "n_repeat_words / nullif(n_words, 0)", "lines": "n_dup_lines / nullif(n_lines, 0)",
+}
+RULES_SQL = f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+split AS (
+  SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM texts),
+windows AS (
+  SELECT r, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g FROM split, unnest(range(1, len(w) - 1)) AS u(i)),
+repeated AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+words_in AS (SELECT r, count(DISTINCT i + d) AS n FROM repeated, range(3) AS k(d) GROUP BY r),
+metrics AS (
+  SELECT s.r, doc_id, stratum, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(t, '[^!]', '', 'g'))::BIGINT AS n_shouts,
+         length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals, len(ls)::BIGINT AS n_lines,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM split s LEFT JOIN words_in USING (r)),
+shares AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         {", ".join(f"coalesce({sql}, 0)::DOUBLE AS {name}" for name, sql in _SHARE.items())} FROM metrics),
+clear AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)),
+pool AS (
+  UNPIVOT (SELECT stratum, q, marks, capitals, repeats, lines FROM shares JOIN clear USING (doc_id) WHERE NOT base_failed)
+  ON marks, capitals, repeats, lines INTO NAME rule VALUE share),
+counts AS (
+  SELECT stratum, rule, c, sum(q)::BIGINT AS n, coalesce(sum(q) FILTER (share > c), 0)::BIGINT AS k, coalesce(sum(1 - q) FILTER (share > c), 0)::BIGINT AS caught
+  FROM pool, unnest([{", ".join(map(str, rules.CUTOFFS))}]::DOUBLE[]) AS u(c) GROUP BY ALL HAVING sum(q) > 0),
+tests AS (
+  SELECT *, CASE WHEN k >= n * {RISK.alpha / 4!r} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(
+    lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK.alpha / 4!r}) + (n - i) * ln({1 - RISK.alpha / 4!r})))) END AS p FROM counts),
+ok AS (SELECT *, p <= {RISK.delta!r} / (SELECT count(*) FROM (SELECT DISTINCT stratum, rule FROM tests)) AS valid FROM tests),
+valid AS (SELECT *, max(c) FILTER (NOT valid) OVER (PARTITION BY stratum, rule) AS failed FROM ok),
+best AS (
+  SELECT stratum, rule, c FROM valid WHERE valid AND (failed IS NULL OR c > failed) AND caught > 0
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY caught DESC, c DESC) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR EXISTS (SELECT 1 FROM best b WHERE b.stratum = s.stratum AND
+            CASE rule {" ".join(f"WHEN '{r}' THEN {r}" for r in rules.RULES)} END > c)) AS kept
+FROM shares s"""
+
+
+@query("op6_quality_rules", RULES_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; cutoffs by language from the labelled ones."""
+    done = rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality"), RISK)
+    return done.drop("stratum")
