@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, fmindex, langid, mincut, pieces, rules, sketch, toxicity
+from . import containment, crf, fmindex, langid, mincut, pieces, rules, sketch, toxicity
 from .common import held_out, prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,17 +44,12 @@ def piece_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with labels, without the fold that is held out."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(labels, "doc_id").where(~held_out())
-
-
 @query("op2_toxicity")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = toxicity.scored(docs, toxicity.fit(labelled(spark, sf_dir)))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
+    done = toxicity.scored(docs, toxicity.fit(docs, labels))
     return done.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -161,3 +156,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document; cutoffs by language from the labelled ones."""
     done = rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality"), RISK)
     return done.drop("stratum")
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LEAKS_SQL = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+v AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark),
+d AS (SELECT DISTINCT r, doc_id, array_to_string(w[i:i + 4], chr(10)) AS s FROM w, unnest(range(1, len(w) - 3)) AS u(i)),
+b AS (SELECT DISTINCT q, item_id, array_to_string(w[i:i + 4], chr(10)) AS s FROM v, unnest(range(1, len(w) - 3)) AS u(i)),
+n AS (SELECT q, item_id, count(*) AS n FROM b GROUP BY ALL)
+SELECT doc_id, n.item_id, count(*)::BIGINT AS shared, n::BIGINT AS n_shingles
+FROM d JOIN b USING (s) JOIN n USING (q) GROUP BY r, doc_id, q, n.item_id, n HAVING 100 * count(*) >= {containment.PERCENT} * n"""
+
+
+@query("op9_contamination", LEAKS_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document contains."""
+    return containment.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
