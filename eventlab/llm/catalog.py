@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, crf, fmindex, langid, mincut, pieces, rules, sketch, toxicity
+from . import containment, crf, fmindex, langid, mincut, pieces, rules, sketch, toxicity, warc
 from .common import held_out, prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,71 @@ FROM d JOIN b USING (s) JOIN n USING (q) GROUP BY r, doc_id, q, n.item_id, n HAV
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document contains."""
     return containment.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive made from the pages: each page fetched once and asked for twice more, at times and with validators drawn from its id.
+
+    Some pages have no full response, some answers another tag, a weak tag, only a date or nothing to compare.
+    """
+    draw = lambda salt: F.conv(F.substring(F.md5(F.concat(F.col("page_id").cast("string"), F.lit(salt))), 1, 8), 16, 10).cast("long")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.md5("html").alias("tag"), draw("t").alias("t"), draw("k").alias("k"), draw("v").alias("v"))
+    visit = F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("visit")
+    rows = pages.where("page_id IS NOT NULL").select("*", visit).where("visit > 0 OR k % 5 > 0")
+    full = F.col("visit") == 0
+    pair = lambda n, v: F.struct(F.lit(n).alias("name"), v.cast("string").alias("value"))
+    case = (F.col("v") + F.col("visit")) % 6
+    tag = F.when(full, F.concat(F.lit('"'), "tag", F.lit('"'))).when(case == 0, F.lit('"other"')).when(case == 1, F.concat(F.lit('W/"'), "tag", F.lit('"'))).when(
+        case > 3, F.concat(F.lit('"'), "tag", F.lit('"')))
+    changed = F.when(full | (case == 2), F.concat(F.lit("day "), F.col("page_id") % 50))
+    headers = F.filter(F.array(
+        pair("Date", F.col("t") % 1000 + F.col("visit")), pair("ETag", tag), pair("Last-Modified", changed),
+        pair("Content-Length", F.when(full, F.lit("1000")).otherwise(F.lit("0"))), pair("cache-control", F.concat(F.lit("max-age="), F.col("visit")))),
+        lambda h: h["value"].isNotNull())
+    return rows.select(
+        (F.col("page_id") * 3 + F.col("visit")).alias("record_id"), "url", F.timestamp_seconds(1_700_000_000 + F.col("t") % 500_000 + F.col("visit") * 90_000).alias("captured_at"),
+        F.when(full, "response").otherwise("revisit").alias("kind"), headers.alias("headers"))
+
+
+REVISITS_SQL = f"""
+WITH p AS (SELECT page_id, url, html, md5(html) AS tag, {", ".join(f"('0x' || substr(md5(page_id || '{x}'), 1, 8))::BIGINT AS {x}" for x in "tkv")} FROM pages WHERE page_id IS NOT NULL),
+r AS (
+  SELECT *, page_id * 3 + visit AS record_id, 1700000000 + t % 500000 + visit * 90000 AS moment, visit = 0 AS is_full, (v + visit) % 6 AS c
+  FROM p, unnest([0, 1, 2]) AS u(visit) WHERE visit > 0 OR k % 5 > 0),
+h AS (
+  SELECT *, CASE WHEN is_full OR c > 3 THEN '"' || tag || '"' WHEN c = 0 THEN '"other"' WHEN c = 1 THEN 'W/"' || tag || '"' END AS etag,
+         CASE WHEN is_full OR c = 2 THEN 'day ' || (page_id % 50) END AS changed, (t % 1000 + visit)::VARCHAR AS day,
+         regexp_replace(trim(url), '#.*$', '') AS plain FROM r),
+parts AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(plain, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^.*@', ''), ':(80|443)?$', ''), '^www[0-9]*[.]', '') AS host,
+         regexp_extract(plain, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(.*)$', 1) AS rest FROM h),
+query AS (
+  SELECT *, regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '{warc.TRACKING}'))) AS qs FROM parts),
+keyed AS (
+  SELECT *, nullif(CASE WHEN regexp_matches(plain, '^[A-Za-z][A-Za-z0-9+.-]*://')
+    THEN host || (CASE WHEN path = '' THEN '/' ELSE path END) || (CASE WHEN len(qs) > 0 THEN '?' || array_to_string(qs, '&') ELSE '' END) ELSE plain END, '') AS url_key FROM query),
+seen AS (
+  SELECT *, last_value(CASE WHEN is_full THEN record_id END IGNORE NULLS) OVER (PARTITION BY url_key ORDER BY moment, record_id) AS found FROM keyed),
+judged AS (
+  SELECT a.*, CASE WHEN a.url_key IS NOT NULL THEN a.found END AS response_id, f.html AS body, f.changed AS old_changed,
+    coalesce(CASE WHEN a.etag IS NOT NULL THEN regexp_replace(a.etag, '^W/', '') = f.etag
+                  WHEN a.changed IS NOT NULL THEN a.changed = f.changed ELSE f.etag IS NULL AND f.changed IS NULL END, false) AS good, f.etag AS old_etag
+  FROM seen a LEFT JOIN keyed f ON f.record_id = a.found AND a.url_key IS NOT NULL WHERE NOT a.is_full),
+told AS (SELECT *, CASE WHEN response_id IS NULL THEN 'none' WHEN good THEN 'resolved' ELSE 'mismatch' END AS outcome FROM judged)
+SELECT record_id, url_key, outcome, response_id,
+  CASE WHEN outcome = 'resolved' THEN concat_ws(chr(10), CASE WHEN etag IS NULL THEN 'ETag: ' || old_etag END, CASE WHEN changed IS NULL THEN 'Last-Modified: ' || old_changed END,
+         'Content-Length: 1000', 'Date: ' || day, 'ETag: ' || etag, 'Last-Modified: ' || changed, 'cache-control: max-age=' || visit)
+       ELSE concat_ws(chr(10), 'Date: ' || day, 'ETag: ' || etag, 'Last-Modified: ' || changed, 'Content-Length: 0', 'cache-control: max-age=' || visit) END AS headers,
+  CASE WHEN outcome = 'resolved' THEN md5(body) END AS body_md5, CASE WHEN outcome = 'resolved' THEN length(body) END::BIGINT AS body_chars
+FROM told"""
+
+
+@query("op3_revisits", REVISITS_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of the archive made from the pages, with the body its response had."""
+    found = warc.resolved(captures(spark, sf_dir))
+    bodies = table(spark, sf_dir, "pages").where("page_id IS NOT NULL").select((F.col("page_id") * 3).alias("response_id"), F.md5("html").alias("body_md5"), F.char_length("html").alias("body_chars"))
+    done = warc.with_payload(found, bodies)
+    flat = F.array_join(F.transform("headers", lambda h: F.concat_ws(": ", h["name"], h["value"])), "\n")
+    return done.select("record_id", "url_key", "outcome", "response_id", flat.alias("headers"), "body_md5", F.col("body_chars").cast("long").alias("body_chars"))
