@@ -168,32 +168,37 @@ def scores(column: pa.Array, model: Model) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def sample(labelled: DataFrame, text: str, label: str, texts: int, most_bytes: int) -> tuple[list, list]:
-    """At most ``texts`` rows of each label and ``most_bytes`` of text in all, by the order of a hash of the text.
+def sample(docs: DataFrame, labels: DataFrame, text: str, label: str, texts: int, most_bytes: int) -> tuple[list, list]:
+    """At most ``texts`` texts of each label and ``most_bytes`` of text in all, by the order of a hash of the id.
 
-    Texts that are longer than all that is left of the bytes are passed over.
+    Ids are drawn from the labels first, so of the texts only the drawn ones move (by a
+    broadcast of at most four times ``texts`` ids). Ids with both labels are left out, texts longer than a
+    twentieth of ``most_bytes`` passed over.
     """
-    rows = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
-    rows = rows.where(F.octet_length("text") <= most_bytes // 20)
+    clear = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("other"))
+    clear = clear.where("label = other").select("doc_id", "label")
     got: tuple[list, list] = ([], [])
     for value in (0, 1):
-        some = rows.where(F.col("label") == value).orderBy(F.xxhash64("text"), "text").limit(texts)
+        drawn = clear.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * texts)
+        some = docs.select("doc_id", F.col(text).alias("text")).where(F.octet_length("text") <= most_bytes // 20)
+        some = some.join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(texts)
         left = most_bytes // 2
-        for row in some.toLocalIterator():
+        for row in some.select("text").collect():
             left -= len(row.text.encode())
             if left < 0:
                 break
             got[0].append(row.text)
-            got[1].append(row.label)
+            got[1].append(value)
     return got
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", texts: int = SAMPLE_TEXTS, most_bytes: int = SAMPLE_BYTES) -> Model:
-    """Train on a bounded sample (see ``sample``) of rows with a text and a label of 0 or 1.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", texts: int = SAMPLE_TEXTS, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """Train on a bounded sample (see ``sample``) of texts with a label of 0 or 1; both tables have ``doc_id``.
 
     Without a label of each kind the model scores every text alike, as the share of label 1.
     """
-    x, y = sample(labelled, text, label, texts, most_bytes)
+    x, y = sample(docs, labels, text, label, texts, most_bytes)
     if len(set(y)) < 2:
         share = (sum(y) + 0.5) / (len(y) + 1) if y else 0.0
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))) if y else -10.0, len(y), sum(y))

@@ -50,9 +50,12 @@ def test_odd_rows(spark, model):
 
 
 def test_no_labels_to_learn_from(spark):
-    df = prepared(spark).createDataFrame([("a", 0), ("b", None), (None, 1)], "text string, toxic int")
-    assert toxicity.fit(df).bias < 0
-    assert toxicity.fit(df.limit(0)).bias < 0
+    spark = prepared(spark)
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "c"), (4, "c")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, None), (3, 1), (4, 0), (4, 1), (9, 1), (None, 1)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.bias < 0 and (model.texts, model.toxic) == (1, 0)
+    assert toxicity.fit(docs.limit(0), labels).bias < 0 and toxicity.fit(docs, labels.limit(0)).bias < 0
 
 
 def test_held_out_rows(spark):
