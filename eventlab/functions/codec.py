@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.spec import Field, spark_schema
+from .stored import avro_record, fields_of_record, proto_message, spark_of
 
 NAMESPACE = "eventlab.generated"
 
@@ -30,6 +31,43 @@ def parse_json(
     )
 
 
+# --- names of the types that a schema needs ------------------------------------
+
+
+class _Names:
+    """Names for the types of a schema: from the whole path of the field, and none twice."""
+
+    def __init__(self):
+        self.taken: set[str] = set()
+
+    def of(self, path: tuple[str, ...], what: str) -> str:
+        words = re.findall(r"[A-Za-z0-9]+", " ".join(path))
+        stem = "".join(w[0].upper() + w[1:] for w in words)
+        stem = stem if stem[:1].isalpha() else f"T{stem}"
+        name, n = stem + what, 1
+        while name in self.taken:
+            n += 1
+            name = f"{stem}{what}{n}"
+        self.taken.add(name)
+        return name
+
+
+# A name as Avro and Protobuf both allow it.
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+
+
+def _checked(name: str) -> str:
+    if not _NAME.fullmatch(name):
+        raise ValueError(f"'{name}' is no name that a schema can hold")
+    return name
+
+
+def _symbols(field: Field) -> list[str]:
+    """The values of an enum field if a schema can hold them as symbols, else none (it is text then)."""
+    values = list(dict.fromkeys(field.values or ()))
+    return values if all(_NAME.fullmatch(v) for v in values) else []
+
+
 # --- Avro --------------------------------------------------------------------
 
 # Avro type of each declared scalar type.
@@ -44,33 +82,37 @@ AVRO_TYPES = {
 }
 
 
-def _type_name(name: str) -> str:
-    return name.title().replace("-", "").replace("_", "")
+def avro_schema(fields: list[Field], name: str) -> str:
+    """Avro record schema (JSON text) of declared fields.
 
+    Types are named by the whole path of their field. Enums with values that are no
+    symbols are text; objects without declared fields are maps of text.
+    """
+    names = _Names()
+    names.taken.add(_checked(name))
 
-def _avro_type(field: Field) -> dict:
-    if field.type == "enum":
-        symbols = list(dict.fromkeys(field.values))
-        return {"type": "enum", "name": _type_name(field.name) + "Enum", "symbols": symbols}
-    if field.type == "object":
-        inner = [{"name": f.name, "type": _avro_type(f)} for f in field.fields]
-        return {"type": "record", "name": _type_name(field.name) + "Record", "fields": inner}
-    if field.type == "array":
-        return {"type": "array", "items": _avro_type(field.items)}
-    return dict(AVRO_TYPES[field.type])
+    def record(of: str, members, path: tuple[str, ...]) -> dict:
+        return {"type": "record", "name": of, "fields": [{"name": _checked(f.name), "type": kind(f, (*path, f.name))} for f in members]}
 
+    def kind(field: Field, path: tuple[str, ...]) -> dict:
+        if field.type == "array":
+            return {"type": "array", "items": kind(field.items, path)}
+        if field.type == "object" and not field.fields:
+            return {"type": "map", "values": "string"}
+        if field.type == "object":
+            return record(names.of(path, "Record"), field.fields, path)
+        if field.type == "enum" and _symbols(field):
+            return {"type": "enum", "name": names.of(path, "Enum"), "symbols": _symbols(field)}
+        return dict(AVRO_TYPES[field.type if field.type != "enum" else "string"])
 
-def avro_schema(fields: list[Field], name: str) -> str:
-    """Avro record schema (JSON text) of declared fields."""
-    body = [{"name": f.name, "type": _avro_type(f)} for f in fields]
-    return json.dumps({"type": "record", "name": name, "namespace": NAMESPACE, "fields": body})
+    return json.dumps({"namespace": NAMESPACE, **record(name, fields, ())})
 
 
 def _avro_ready(field: Field, value: Column) -> Column:
     """timestamp-millis columns are written from TIMESTAMP, not from BIGINT."""
     if field.type == "timestamp":
         return F.timestamp_millis(value)
-    if field.type == "object":
+    if field.type == "object" and field.fields:
         return F.struct(*[_avro_ready(f, value[f.name]).alias(f.name) for f in field.fields])
     if field.type == "array":
         return F.transform(value, lambda x: _avro_ready(field.items, x))
@@ -93,120 +135,17 @@ def from_avro_value(value: Column | str, fields: list[Field], name: str) -> Colu
     return from_avro(value, avro_schema(fields, name))
 
 
-# Spark type of each Avro primitive and logical type.
-AVRO_PRIMITIVES = {
-    "string": T.StringType(),
-    "long": T.LongType(),
-    "int": T.IntegerType(),
-    "double": T.DoubleType(),
-    "float": T.FloatType(),
-    "boolean": T.BooleanType(),
-    "bytes": T.BinaryType(),
-    "null": T.NullType(),
-}
-AVRO_LOGICAL = {
-    "uuid": T.StringType(),
-    "timestamp-millis": T.TimestampType(),
-    "timestamp-micros": T.TimestampType(),
-    "date": T.DateType(),
-    "time-millis": T.IntegerType(),
-}
-
-
 def schema_from_avro(text: str | dict) -> T.StructType:
     """StructType of a stored Avro record schema."""
-    record = json.loads(text) if isinstance(text, str) else text
-    if record.get("type") != "record":
-        raise ValueError(f"expected an Avro record, got {record.get('type')}")
-    return _from_avro(record, {})[0]
-
-
-def _from_avro(kind, named: dict) -> tuple[T.DataType, bool]:
-    """(Spark type, nullable) of an Avro type; ``named`` holds types defined so far."""
-    if isinstance(kind, list):
-        options = [k for k in kind if k != "null"]
-        if not options:
-            return T.NullType(), True
-        return _from_avro(options[0], named)[0], "null" in kind
-    if isinstance(kind, str):
-        if kind in named:
-            return named[kind], False
-        if kind not in AVRO_PRIMITIVES:
-            raise ValueError(f"unknown Avro type '{kind}'")
-        return AVRO_PRIMITIVES[kind], kind == "null"
-    base = kind["type"]
-    logical = kind.get("logicalType")
-    if logical == "decimal":
-        return T.DecimalType(kind["precision"], kind.get("scale", 0)), False
-    if logical in AVRO_LOGICAL:
-        return AVRO_LOGICAL[logical], False
-    if base == "record":
-        out = T.StructType()
-        for f in kind.get("fields", []):
-            inner, nullable = _from_avro(f["type"], named)
-            out = out.add(f["name"], inner, nullable)
-        named[kind["name"]] = out
-        return out, False
-    if base == "enum":
-        named[kind["name"]] = T.StringType()
-        return T.StringType(), False
-    if base == "array":
-        inner, nullable = _from_avro(kind["items"], named)
-        return T.ArrayType(inner, nullable), False
-    if base == "map":
-        inner, nullable = _from_avro(kind["values"], named)
-        return T.MapType(T.StringType(), inner, nullable), False
-    if base == "fixed":
-        return T.BinaryType(), False
-    return _from_avro(base, named)
+    return spark_of(avro_record(text))
 
 
-# --- Protobuf ----------------------------------------------------------------
-
-# Spark type of each Protobuf scalar.
-PROTO_SCALARS = {
-    "string": T.StringType(),
-    "int32": T.IntegerType(),
-    "sint32": T.IntegerType(),
-    "sfixed32": T.IntegerType(),
-    "uint32": T.LongType(),
-    "fixed32": T.LongType(),
-    "int64": T.LongType(),
-    "sint64": T.LongType(),
-    "sfixed64": T.LongType(),
-    "uint64": T.DecimalType(20, 0),
-    "fixed64": T.DecimalType(20, 0),
-    "double": T.DoubleType(),
-    "float": T.FloatType(),
-    "bool": T.BooleanType(),
-    "bytes": T.BinaryType(),
-}
-
-PROTO_LABELS = ("repeated", "optional", "required")
-
+def fields_from_avro(text: str | dict) -> list[Field]:
+    """Declared fields that generate records of a stored Avro schema; fields that can only be null are left out."""
+    return fields_of_record(avro_record(text))
 
-def schema_from_proto(text: str) -> T.StructType:
-    """StructType of the first message in a .proto text (scalar and repeated fields).
-
-    Custom message types become empty structs, repeated ones arrays of text; text
-    without a message gives an empty struct.
-    """
-    out = T.StructType()
-    code = re.sub(r"//[^\n]*", "", text)
-    _, word, rest = code.partition("message ")
-    body = rest.partition("{")[2].partition("}")[0] if word else ""
-    for statement in body.split(";"):
-        words = statement.partition("=")[0].split()
-        label = words.pop(0) if words and words[0] in PROTO_LABELS else ""
-        if len(words) != 2 or "=" not in statement:
-            continue
-        kind, name = words
-        if label == "repeated":
-            out = out.add(name, T.ArrayType(PROTO_SCALARS.get(kind, T.StringType())))
-        else:
-            out = out.add(name, PROTO_SCALARS.get(kind, T.StructType()))
-    return out
 
+# --- Protobuf ----------------------------------------------------------------
 
 # Protobuf type (by its descriptor name) of each declared scalar type.
 PROTO_TYPES = {
@@ -220,35 +159,88 @@ PROTO_TYPES = {
 }
 
 
+def schema_from_proto(text: str, message: str | None = None) -> T.StructType:
+    """StructType of a message in a .proto text (the first, unless named); text without one gives an empty struct."""
+    return spark_of(proto_message(text, message))
+
+
+def fields_from_proto(text: str, message: str | None = None) -> list[Field]:
+    """Declared fields that generate a message of a .proto text."""
+    return fields_of_record(proto_message(text, message))
+
+
+def proto_layout(fields: list[Field], name: str) -> dict:
+    """What a descriptor of declared fields holds, as plain dicts: name, fields, messages and enums inside.
+
+    Protobuf's enum values share the names around them, so an enum with a value that is taken
+    stands in a message of its own. Enums whose values are no names are text; objects without declared
+    fields are maps of text. An array of arrays has no Protobuf type and raises.
+    """
+    names = _Names()
+
+    def message(of: str, members, path: tuple[str, ...]) -> dict:
+        out: dict = {"name": of, "fields": [], "messages": [], "enums": []}
+        taken = {f.name for f in members}
+        for number, f in enumerate(members, 1):
+            below = (*path, f.name)
+            many, shape = f.type == "array", f.items if f.type == "array" else f
+            if shape.type == "array":
+                raise ValueError(f"field '{'.'.join(below)}': Protobuf has no arrays of arrays")
+            slot = {"name": _checked(f.name), "number": number, "many": many}
+            if shape.type == "enum" and _symbols(shape):
+                enum = {"name": names.of(below, "Enum"), "values": _symbols(shape)}
+                slot |= {"type": "TYPE_ENUM", "of": enum["name"]}
+                if taken.isdisjoint(enum["values"]):
+                    taken |= set(enum["values"])
+                    out["enums"].append(enum)
+                else:
+                    scope = names.of(below, "Scope")
+                    out["messages"].append({"name": scope, "fields": [], "messages": [], "enums": [enum]})
+                    slot["of"] = f"{scope}.{enum['name']}"
+            elif shape.type == "object":
+                entry = not shape.fields
+                if entry and many:
+                    raise ValueError(f"field '{'.'.join(below)}': Protobuf has no arrays of maps")
+                # A map is a repeated message of this very name with a key and a value.
+                if entry:
+                    inner = "".join(w[:1].upper() + w[1:] for w in f.name.split("_")) + "Entry"
+                    text = [{"name": n, "number": k, "many": False, "type": "TYPE_STRING"} for k, n in enumerate(("key", "value"), 1)]
+                    out["messages"].append({"name": inner, "fields": text, "messages": [], "enums": [], "map_entry": True})
+                else:
+                    inner = names.of(below, "Message")
+                    out["messages"].append(message(inner, shape.fields, below))
+                slot |= {"type": "TYPE_MESSAGE", "of": inner, "many": many or entry}
+            else:
+                slot["type"] = PROTO_TYPES[shape.type if shape.type != "enum" else "string"]
+            out["fields"].append(slot)
+        return out
+
+    return message(_checked(name), fields, ())
+
+
 def proto_descriptor(fields: list[Field], name: str) -> bytes:
     """Serialized FileDescriptorSet of declared fields (needs the protobuf package)."""
     from google.protobuf import descriptor_pb2 as pb
 
-    kinds = pb.FieldDescriptorProto
-
-    def fill(message, members) -> None:
-        for number, f in enumerate(members, start=1):
-            many = f.type == "array"
-            shape = f.items if many else f
-            slot = message.field.add(
-                name=f.name, number=number,
-                label=kinds.LABEL_REPEATED if many else kinds.LABEL_OPTIONAL,
-            )
-            if shape.type == "object":
-                slot.type = kinds.TYPE_MESSAGE
-                slot.type_name = _type_name(f.name) + ("Item" if many else "Type")
-                fill(message.nested_type.add(name=slot.type_name), shape.fields)
-            elif shape.type == "enum" and not many:
-                slot.type = kinds.TYPE_ENUM
-                slot.type_name = _type_name(f.name) + "Enum"
-                values = message.enum_type.add(name=slot.type_name)
-                for i, v in enumerate(dict.fromkeys(shape.values)):
-                    values.value.add(name=v, number=i)
-            else:
-                slot.type = getattr(kinds, PROTO_TYPES.get(shape.type, "TYPE_STRING"))
+    def write(plan: dict, into, scope: str) -> None:
+        into.name = plan["name"]
+        here = f"{scope}.{plan['name']}"
+        into.options.map_entry = plan.get("map_entry", False)
+        for slot in plan["fields"]:
+            kinds = pb.FieldDescriptorProto
+            made = into.field.add(name=slot["name"], number=slot["number"], type=getattr(kinds, slot["type"]))
+            made.label = kinds.LABEL_REPEATED if slot["many"] else kinds.LABEL_OPTIONAL
+            if "of" in slot:
+                made.type_name = f"{here}.{slot['of']}"
+        for inner in plan["messages"]:
+            write(inner, into.nested_type.add(), here)
+        for enum in plan["enums"]:
+            values = into.enum_type.add(name=enum["name"])
+            for number, symbol in enumerate(enum["values"]):
+                values.value.add(name=symbol, number=number)
 
     file = pb.FileDescriptorProto(name=f"{name.lower()}.proto", package=NAMESPACE, syntax="proto3")
-    fill(file.message_type.add(name=name), fields)
+    write(proto_layout(fields, name), file.message_type.add(), f".{NAMESPACE}")
     return pb.FileDescriptorSet(file=[file]).SerializeToString()
 
 
@@ -256,9 +248,9 @@ def _proto_ready(field: Field, value: Column) -> Column:
     """Enum text outside the declared values becomes the first value (number 0)."""
     if field.type == "enum":
         return F.when(value.isin(*field.values), value).otherwise(F.lit(field.values[0]))
-    if field.type == "object":
+    if field.type == "object" and field.fields:
         return F.struct(*[_proto_ready(f, value[f.name]).alias(f.name) for f in field.fields])
-    if field.type == "array" and field.items.type == "object":
+    if field.type == "array":
         return F.transform(value, lambda x: _proto_ready(field.items, x))
     return value
 

@@ -168,6 +168,8 @@ class Context(NamedTuple):
 
 
 def object_col(seed: int, path, idx: Column, fields, context: Context = Context()) -> Column:
+    if not fields:
+        return F.create_map().cast("map<string,string>")
     return F.struct(*[
         field_col(f, seed, _below(path, "." + f.name), idx, _inside(context, "." + f.name)).alias(f.name)
         for f in fields

@@ -42,38 +42,34 @@ def _rules(field: Field, value: Column, path) -> list[Column]:
     return []
 
 
-def _checks(field: Field, value: Column, path: str) -> Column:
-    """Array of violations of a field and everything below it."""
+def _joined(path: Column | str, *parts: Column | str) -> Column | str:
+    if all(isinstance(p, str) for p in (path, *parts)):
+        return "".join((path, *parts))
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in (path, *parts)])
+
+
+def _checks(field: Field, value: Column, path: Column | str) -> Column:
+    """Array of violations of a field and everything below it, at any depth; ``path`` is a column inside array items."""
     missing = _violation(value.isNull(), path, "missing")
-    parts = [F.array(missing, *_rules(field, value, path))]
     if field.type == "object":
+        parts = [F.array(missing)]
         for f in field.fields:
-            below = _checks(f, value[f.name], f"{path}.{f.name}")
+            below = _checks(f, value[f.name], _joined(path, f".{f.name}"))
             parts.append(F.when(value.isNotNull(), below).otherwise(F.slice(below, 1, 0)))
+        return F.concat(*parts)
     if field.type == "array":
         size = F.size(value)
-        parts[0] = F.array(
+        own = F.array(
             missing,
             _violation(size.between(0, field.min_items - 1), path, "fewer than min_items"),
             _violation(size > field.max_items, path, "more than max_items"),
         )
-        item = field.items
 
         def each(x: Column, i: Column) -> Column:
-            at = F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]"))
-            if item.type != "object":
-                return F.array(_violation(x.isNull(), at, "missing"), *_rules(item, x, at))
-            return F.array(*[
-                v for f in item.fields if f.type not in ("object", "array")
-                for v in (
-                    _violation(x[f.name].isNull(), F.concat(at, F.lit(f".{f.name}")), "missing"),
-                    *_rules(f, x[f.name], F.concat(at, F.lit(f".{f.name}"))),
-                )
-            ])
-
-        inner = F.flatten(F.transform(value, each))
-        parts.append(F.coalesce(inner, F.slice(parts[0], 1, 0)))
-    return F.concat(*parts)
+            return _checks(field.items, x, _joined(path, "[", i.cast("string"), "]"))
+
+        return F.concat(own, F.coalesce(F.flatten(F.transform(value, each)), F.slice(own, 1, 0)))
+    return F.array(missing, *_rules(field, value, path))
 
 
 def violations(df: DataFrame, fields: list[Field], keys: list[str]) -> DataFrame:

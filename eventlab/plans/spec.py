@@ -23,7 +23,10 @@ NESTED = ("object", "array")
 
 @dataclass(frozen=True)
 class Field:
-    """One declared field. Defaults apply when a bound is left out (None)."""
+    """One declared field. Defaults apply when a bound is left out (None).
+
+    An object with an empty list of fields is a free map of text, which generators leave empty.
+    """
 
     name: str
     type: str
@@ -46,7 +49,7 @@ class Field:
             raise ValueError(f"{where}: unknown type '{self.type}'")
         if self.type == "enum" and not self.values:
             raise ValueError(f"{where}: enum needs values")
-        if self.type == "object" and not self.fields:
+        if self.type == "object" and self.fields is None:
             raise ValueError(f"{where}: object needs fields")
         if self.type == "array" and self.items is None:
             raise ValueError(f"{where}: array needs items")
@@ -80,7 +83,7 @@ class Field:
     def of(cls, data: dict[str, Any]) -> Field:
         """Build from plain dicts and lists; unknown settings are rejected."""
         known = dict(data)
-        if known.get("fields"):
+        if known.get("fields") is not None:
             known["fields"] = tuple(cls.of(f) for f in known["fields"])
         if known.get("items"):
             known["items"] = cls.of({"name": "item", **known["items"]})
@@ -101,7 +104,7 @@ def fields_of(data: list[dict[str, Any]]) -> list[Field]:
 
 def spark_type(field: Field) -> T.DataType:
     if field.type == "object":
-        return spark_schema(field.fields)
+        return spark_schema(field.fields) if field.fields else T.MapType(T.StringType(), T.StringType())
     if field.type == "array":
         return T.ArrayType(spark_type(field.items))
     return SCALARS[field.type]

@@ -203,3 +203,19 @@ def test_violations_of_nested_values(spark):
     ]
     summary = {(r.path, r.severity): (r.n, r.valid) for r in violation_summary(found).collect()}
     assert summary["at", "warning"] == (1, True) and summary["id", "error"] == (2, False)
+
+
+def test_violations_at_any_depth(spark):
+    fields = fields_of([
+        {"name": "lines", "type": "array", "items": {"type": "object", "fields": [
+            {"name": "geo", "type": "object", "fields": [{"name": "lat", "type": "int", "max": 9}]},
+            {"name": "tags", "type": "array", "max_items": 1, "items": {"type": "string", "min_length": 2}}]}},
+        {"name": "m", "type": "array", "items": {"type": "array", "items": {"type": "int", "max": 3}}},
+    ])
+    df = spark.createDataFrame(
+        [(1, [((99,), ["ab"]), ((1,), ["a", "bc"]), (None, None)], [[99], None, [1, 4]])],
+        "k int, lines array<struct<geo:struct<lat:bigint>,tags:array<string>>>, m array<array<bigint>>")
+    found = sorted((r.path, r.message) for r in violations(df, fields, ["k"]).collect())
+    assert found == sorted([
+        ("lines[0].geo.lat", "above max"), ("lines[1].tags", "more than max_items"), ("lines[1].tags[0]", "shorter than min_length"),
+        ("lines[2].geo", "missing"), ("lines[2].tags", "missing"), ("m[0][0]", "above max"), ("m[1]", "missing"), ("m[2][1]", "above max")])
