@@ -15,8 +15,11 @@ from .common import in_arrow, least_ids, mixed, powers, signed, words_of, writte
 WORDS = 5  # of a shingle
 # Coordinates of a sketch. They are cut into bands; two sets meet where a whole band agrees.
 COORDINATES = 384
-# The low bit of each coordinate, packed, estimates a similarity before texts are fetched.
+# Two low bits of each coordinate, packed, estimate a similarity before texts are fetched.
 LANES = COORDINATES // 64
+ESTIMATE = [f"bits{b}" for b in range(2 * LANES)]
+# A pair is ruled out where the estimate is so many standard deviations below the threshold (at it: less than 4e-6).
+DEVIATIONS = 4.5
 
 
 def shape(percent: int) -> tuple[int, int]:
@@ -84,34 +87,40 @@ def sketches(df: DataFrame, percent: int, k: int = WORDS) -> DataFrame:
                 keys.append([int(mixed(members).sum(dtype=np.uint64)) - 2**63, int(mixed(members + np.uint64(77)).sum(dtype=np.uint64)) - 2**63])
                 if len(members):
                     sketch = _rounds(members, COORDINATES)
-                    bits.append(np.packbits((sketch & np.uint64(1)).astype(bool)).view(np.int64))
+                    bits.append(np.packbits(np.concatenate([(sketch & np.uint64(b)).astype(bool) for b in (1, 2)])).view(np.int64))
                     rows = sketch.reshape(n_bands, width) * powers(0xC2B2AE3D27D4EB4F, width + 1)[1:]
                     bands.append(mixed(rows.sum(axis=1) + np.arange(n_bands, dtype=np.uint64)).view(np.int64))
                 else:
-                    bits.append(np.zeros(LANES, np.int64))
+                    bits.append(np.zeros(2 * LANES, np.int64))
                     bands.append(np.zeros(0, np.int64))
             ends = np.cumsum([0] + [len(b) for b in bands]).astype(np.int32)
             keys = np.array(keys, np.int64).reshape(-1, 2)
-            bits = np.array(bits, np.int64).reshape(-1, LANES)
+            bits = np.array(bits, np.int64).reshape(-1, 2 * LANES)
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-                 *[pa.array(bits[:, b]) for b in range(LANES)],
+                 *[pa.array(bits[:, b]) for b in range(2 * LANES)],
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))],
-                ["doc_id", "n_shingles", "key_a", "key_b", *[f"bits{b}" for b in range(LANES)], "bands"])
+                ["doc_id", "n_shingles", "key_a", "key_b", *ESTIMATE, "bands"])
 
-    lanes = ", ".join(f"bits{b} bigint" for b in range(LANES))
+    lanes = ", ".join(f"{b} bigint" for b in ESTIMATE)
     return in_arrow(df, f"doc_id bigint, n_shingles bigint, key_a bigint, key_b bigint, {lanes}, bands array<bigint>", run)
 
 
 def _close(a: str, b: str, percent: int):
-    """Sizes allow the similarity, and sketches do not rule it out by six standard deviations."""
-    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.bits{k}").bitwiseXOR(F.col(f"{b}.bits{k}"))) for k in range(LANES)))
-    odds = (1 - percent / 100) / 2
-    most = int(COORDINATES * odds + 6 * (COORDINATES * odds * (1 - odds)) ** 0.5)
+    """Sizes allow the similarity, and sketches do not rule it out."""
+    apart = lambda k: F.col(f"{a}.bits{k}").bitwiseXOR(F.col(f"{b}.bits{k}"))
+    differ = reduce(lambda x, y: x + y, (F.bit_count(apart(k).bitwiseOR(apart(k + LANES))) for k in range(LANES)))
+    odds = (1 - percent / 100) * 3 / 4
+    most = int(COORDINATES * odds + DEVIATIONS * (COORDINATES * odds * (1 - odds)) ** 0.5)
     na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ <= most)
 
 
+def _first_meeting(a: str, b: str):
+    """The two sets share no earlier band than this row's, so a pair is met in one bucket only."""
+    return ~F.arrays_overlap(F.slice(f"{a}.bands", 1, F.col(f"{a}.band")), F.slice(f"{b}.bands", 1, F.col(f"{b}.band")))
+
+
 def _shingles(text: str | None, k: int) -> set:
     words = (text or "").encode().lower().split()
     return {tuple(words[i:i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
@@ -151,18 +160,17 @@ def classes(df: DataFrame, percent: int = 85, k: int = WORDS, text: str = "text"
     threshold the chance to share none is below 1e-6. A bucket does not emit its pairs:
     its members first meet its most central one alone (each keeps one such pair), confirmed
     pairs join into classes, and only members of different classes in a bucket
-    are then compared, by sizes and packed sketches inside the join. Every
-    link is confirmed on the full texts.
+    are then compared, by sizes and packed sketches inside the join, each pair in the first
+    bucket it shares. Every link is confirmed on the full texts.
     """
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     made = written(sketches(docs, percent, k), "sketches")
-    lanes = [f"bits{b}" for b in range(LANES)]
     exact = made.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"))
     exact = written(exact, "exact")
     sets = made.join(exact.select(F.col("rep").alias("doc_id")), "doc_id")
-    sets = written(sets.select("doc_id", "n_shingles", *lanes, "bands"), "sets")
+    sets = written(sets.select("doc_id", "n_shingles", *ESTIMATE, "bands"), "sets")
     narrow = sets.drop("bands")
-    members = sets.select("doc_id", F.explode("bands").alias("bucket"))
+    members = sets.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = written(members.join(shared, "bucket"), "buckets")
     # The most central member of a bucket: the one whose buckets hold most, so copies meet what they were made from.
@@ -180,13 +188,13 @@ def classes(df: DataFrame, percent: int = 85, k: int = WORDS, text: str = "text"
     found = written(least_ids(links), "classes")
     # What still stands in different classes of one bucket.
     placed = members.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
-        "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        "band", "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed_up = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    rest = written(placed.join(mixed_up, "bucket").join(narrow, "doc_id"), "rest")
+    rest = written(placed.join(mixed_up, "bucket"), "rest").join(sets, "doc_id")
     pairs = rest.alias("x").join(
         rest.alias("y"),
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & _close("x", "y", percent),
-    ).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & _close("x", "y", percent) & _first_meeting("x", "y"),
+    ).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
     more = confirmed(pairs, reps, percent, k)
     found = least_ids(links.union(more))
     classed = exact.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
