@@ -235,7 +235,7 @@ def k1(spark, sf):
 
 
 def _zipf_sql(table_name: str, idx: str, cardinality: int) -> str:
-    scale = min(1 << 51, (1 << 61) // cardinality)
+    scale = 1 << 51
     return f"""
     WITH w AS (
       SELECT i, greatest(1, floor({scale}::DOUBLE / pow(i + 1.0::DOUBLE, 1.5::DOUBLE))::BIGINT) AS w

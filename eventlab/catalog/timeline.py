@@ -70,8 +70,8 @@ def group_items(spark, sf):
         F.element_at(kinds, (F.pmod(size, F.lit(6)) + 1).cast("int")).alias("type"),
         F.when(F.pmod(size, F.lit(4)) != 0, F.pmod(size * 3, F.lit(50))).alias("at_seconds"),
         F.pmod(size, F.lit(40)).alias("duration_seconds"),
-        (1 + F.pmod("conv_id", F.lit(5))).alias("repeat"),
-        (5 + F.pmod("conv_id", F.lit(60))).alias("interval_seconds"),
+        F.when(F.pmod("conv_id", F.lit(7)) != 0, 1 + F.pmod("conv_id", F.lit(5))).alias("repeat"),
+        F.when(F.pmod("conv_id", F.lit(11)) != 0, 5 + F.pmod("conv_id", F.lit(60))).alias("interval_seconds"),
     )
 
 
@@ -80,7 +80,8 @@ def group_items(spark, sf):
       SELECT conv_id AS group_id, turn AS pos,
              list_extract({list(KINDS)}, length(text) % 6 + 1) AS type,
              CASE WHEN length(text) % 4 <> 0 THEN (length(text) * 3) % 50 END AS at_seconds,
-             length(text) % 40 AS duration, 1 + conv_id % 5 AS repeat, 5 + conv_id % 60 AS gap
+             length(text) % 40 AS duration, CASE WHEN conv_id % 7 = 0 THEN 1 ELSE 1 + conv_id % 5 END AS repeat,
+             CASE WHEN conv_id % 11 = 0 THEN 60 ELSE 5 + conv_id % 60 END AS gap
       FROM conversations),
     ranked AS (
       SELECT *, CASE type WHEN 'pause_consumer' THEN duration WHEN 'rebalance_consumer' THEN 5 ELSE 0 END AS busy,

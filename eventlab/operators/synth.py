@@ -6,6 +6,7 @@ index, so generation needs no shuffle and runs in whole-stage codegen.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -54,9 +55,7 @@ def lookup_col(
     uniform, so the join has no hot key however large either side is.
     """
     mine = values.where((F.col("provider") == provider) & (F.col("locale") == locale))
-    last = mine.agg(F.max("pos")).first()[0]
-    if last is None:
-        raise ValueError(f"no lookup values for '{provider}' in locale '{locale}'")
+    last = _last_position(mine, provider, locale)
     text = F.col("value").cast("string").alias(name)
     side = join_side(
         mine.select(F.col("pos").alias("_pos"), text), known_rows=last + 1, limit=broadcast_rows
@@ -65,6 +64,16 @@ def lookup_col(
     return drawn.join(side, "_pos", "left").drop("_pos")
 
 
+def _last_position(mine: DataFrame, provider: str, locale: str) -> int:
+    """The largest position of a provider's values, which must be 0 to n - 1 without gaps or repeats."""
+    low, last, n, distinct = mine.agg(F.min("pos"), F.max("pos"), F.count("pos"), F.count_distinct("pos")).first()
+    if last is None:
+        raise ValueError(f"no lookup values for '{provider}' in locale '{locale}'")
+    if not (low == 0 and n == distinct == last + 1):
+        raise ValueError(f"positions of '{provider}' in locale '{locale}' have gaps or repeats")
+    return last
+
+
 # --- keys --------------------------------------------------------------------
 
 
@@ -72,9 +81,14 @@ def zipf_weights(spark: SparkSession, cardinality: int, exponent: float = 1.5) -
     """(rank, lo, hi, total): whole-number weight ranges, rank i weighing 1/(i+1)^s.
 
     Whole numbers add up the same in any order, so a retried task rebuilds the
-    same table.
+    same table. The largest weight is 2^51, or less where the sum would pass
+    2^62; a weight is off by less than one, so its share of the law is kept to
+    1 in 1,000 up to some 10^8 keys at exponent 1.5.
     """
-    scale = min(1 << 51, (1 << 61) // cardinality)
+    # Bounds the sum of 1/i^s by its integral.
+    s, c = float(exponent), float(cardinality)
+    sum_bound = 1 + (math.log(c) if s == 1 else (c ** (1 - s) - 1) / (1 - s))
+    scale = min(1 << 51, int((1 << 61) / sum_bound))
     share = F.lit(float(scale)) / F.pow(F.col("id") + F.lit(1.0), F.lit(float(exponent)))
     ranks = spark.range(cardinality).select(
         F.col("id").alias("rank"),

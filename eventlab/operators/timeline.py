@@ -68,7 +68,7 @@ def expand_groups(items: DataFrame, horizon: int) -> DataFrame:
     """Firings of repeating groups, whose items run one after another.
 
     ``items`` has group_id, pos (unique per group), type, at_seconds (may be
-    null), duration_seconds, repeat and interval_seconds. An item fires when the
+    null), duration_seconds, repeat (once if null) and interval_seconds (60 if null). An item fires when the
     one before it has ended and its own time has come. With P the summed length
     of earlier items of the cycle and D that of a whole cycle, the slack an item
     imposes is at - P, shifted by interval - D per cycle; the largest slack so far
@@ -88,12 +88,17 @@ def expand_groups(items: DataFrame, horizon: int) -> DataFrame:
     timed = running_max(timed.join(sums, group), group, "pos", "_own", "_slack").withColumn(
         "_slack", F.greatest("_slack", F.lit(0))
     )
-    drift = F.col("interval_seconds") - F.col("_d")
+    interval = F.coalesce("interval_seconds", F.lit(60))
+    drift = interval - F.col("_d")
+    # A cycle starts after as many intervals, and as many whole cycles, as went before it: later ones are past the horizon.
+    step = F.greatest(interval, F.col("_d"))
+    cycles = F.coalesce("repeat", F.lit(1)).cast("bigint")
+    cycles = F.when(step > 0, F.least(cycles, F.floor(F.lit(horizon) / step).cast("bigint") + 1)).otherwise(cycles)
     cycle = F.col("cycle")
     earlier = F.when(cycle > 0, F.col("_most") + F.greatest(F.lit(0), (cycle - 1) * drift))
     fire = cycle * F.col("_d") + F.col("_p") + F.greatest(F.col("_slack") + cycle * drift, earlier)
     return (
-        explode_count(timed, F.coalesce("repeat", F.lit(1)), "cycle")
+        explode_count(timed, cycles, "cycle")
         .withColumn("fire", fire.cast("bigint"))
         .where(F.col("fire") <= horizon)
         .drop("_d", "_ended", "_p", "_own", "_most", "_slack")
@@ -137,10 +142,6 @@ def on_clock(intervals: DataFrame, start_micros: Column) -> DataFrame:
     )
 
 
-# Up to this many members are taken by a sort-limit, which ends in one task.
-TOP_ROWS = 10_000
-
-
 def check_target(target: dict) -> dict:
     unknown = set(target) - set(TARGET_KEYS)
     if unknown:
@@ -152,8 +153,7 @@ def select_target(members: DataFrame, target: dict, seed: int = 0, path: str = "
     """Members hit by an incident: by topic and group, then a drawn count or share.
 
     ``members`` has member_id (whole number), topic and group_id. Members are
-    ordered by a hash and the first k taken (sort-limit keeps k rows per task);
-    a percentage means at least one member, and a count wins over a percentage.
+    ordered by a hash and the first k taken; a percentage means at least one member, and a count wins over a percentage.
     """
     check_target(target)
     hit = members
@@ -165,8 +165,6 @@ def select_target(members: DataFrame, target: dict, seed: int = 0, path: str = "
     if count is None and share is None:
         return hit
     draw = digest(seed, path, F.col("member_id"))
-    if count is not None and count <= TOP_ROWS:
-        return hit.orderBy(draw, "member_id").limit(count)
     if count is not None:
         return _first_by_hash(hit, draw, F.lit(count))
     size = hit.agg(F.count(F.lit(1)).alias("n"))
@@ -185,11 +183,12 @@ def _first_by_hash(members: DataFrame, draw: Column, k: Column) -> DataFrame:
     upto = Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
     # At most 65,536 digit groups exist, so this window and broadcast stay small.
     before = digits.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
-    ranked = hashed.join(F.broadcast(before.select("_d", "_before")), "_d").where(F.col("_before") < k)
+    placed = hashed.join(F.broadcast(before.select("_d", "_n", "_before")), "_d").where(F.col("_before") < k)
+    whole = placed.where(F.col("_before") + F.col("_n") <= k)
     rank = F.row_number().over(Window.partitionBy("_d").orderBy("_h", "member_id"))
-    return ranked.withColumn("_rank", rank + F.col("_before")).where(F.col("_rank") <= k).drop(
-        "_h", "_d", "_before", "_rank"
-    )
+    border = placed.where(F.col("_before") + F.col("_n") > k).withColumn("_rank", rank + F.col("_before"))
+    border = border.where(F.col("_rank") <= k).drop("_rank")
+    return whole.unionByName(border).drop("_h", "_d", "_n", "_before")
 
 
 def pick_one(selected: DataFrame, seed: int = 0, path: str = "rebalance") -> DataFrame:

@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Sessions merge per task before their shuffle, so all rows of a hot key do not meet in one task.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
@@ -42,14 +44,18 @@ def local_session(cores: str = "8", app: str = "eventlab") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    ``spark.checkpoint.dir`` wins. Only where the cluster names none (tests on
-    one machine) is a temporary folder made and set as the checkpoint folder.
+    ``spark.checkpoint.dir`` wins. Only on one machine (a ``local`` master) is a
+    temporary folder made and set as the checkpoint folder; a cluster that names
+    none is an error, as its machines do not see each other's folders.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        master = context.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of '{master}' share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="eventlab-"))
     return context.getCheckpointDir()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import epoch_micros
@@ -11,41 +11,35 @@ from .monitors import event_time
 
 OUTPUT = "correlation_id STRING, status STRING, seen BIGINT, missing STRING"
 
-# State of one open flow: a bit per step seen, and the time it gives up.
-STATE = "bits BIGINT, deadline BIGINT"
+# State of one open flow: the steps seen, as the bits of a hexadecimal number, and the time it gives up.
+STATE = "bits STRING, deadline BIGINT"
 
-MAX_STEPS = 62
-
-
-def _bit() -> Column:
-    return F.expr("shiftleft(1L, step)")
-
-
-def _check(flow: Flow) -> int:
-    if len(flow.steps) > MAX_STEPS:
-        raise ValueError(f"flows of more than {MAX_STEPS} steps are not supported")
-    return len(flow.steps)
+# Steps of one BIGINT in the folded session state; a flow takes as many as it needs.
+WORD = 62
 
 
 def stream_flow_status(msgs: DataFrame, flow: Flow, timeout: str, late: str) -> DataFrame:
     """One row per flow instance, once nothing arrived for ``timeout``.
 
     ``status`` is complete where every step was seen, else expired. Built-in
-    session windows keep one small row of state per instance and fold messages
-    before the shuffle, so an id shared by many messages stays cheap. A complete
+    session windows keep one small row of state per instance; ``configure`` makes
+    them merge per task before the shuffle, so an id shared by many messages stays cheap. A complete
     flow, too, is reported only when its session closes; where that is too late
     use ``prompt_flow_status``.
     """
-    steps = _check(flow)
-    sessions = event_time(msgs, late).groupBy(
-        "correlation_id", F.session_window("ts", timeout)
-    ).agg(F.bit_or(_bit()).alias("_bits"))
+    steps = len(flow.steps)
+    words = -(-steps // WORD)
+    bit = F.expr(f"shiftleft(1L, CAST(step % {WORD} AS INT))")
+    sessions = event_time(msgs, late).groupBy("correlation_id", F.session_window("ts", timeout)).agg(*[
+        F.bit_or(F.when(F.floor(F.col("step") / WORD) == w, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"_w{w}") for w in range(words)
+    ])
     numbers = F.array(*[F.lit(s) for s in range(steps)])
-    missing = F.filter(numbers, lambda s: F.getbit(F.col("_bits"), s) == 0)
+    held = F.array(*[F.col(f"_w{w}") for w in range(words)])
+    missing = F.filter(numbers, lambda s: F.getbit(F.get(held, F.floor(s / WORD).cast("int")), s % WORD) == 0)
     return sessions.select(
         "correlation_id",
         F.when(F.size(missing) == 0, "complete").otherwise("expired").alias("status"),
-        F.bit_count("_bits").cast("bigint").alias("seen"),
+        sum((F.bit_count(f"_w{w}") for w in range(words)), F.lit(0)).cast("bigint").alias("seen"),
         F.array_join(missing.cast("array<string>"), ",").alias("missing"),
     )
 
@@ -57,11 +51,11 @@ def prompt_flow_status(msgs: DataFrame, flow: Flow, timeout_seconds: int, late:
     Python function per id and batch; messages reach it as three narrow columns.
     """
     slim = event_time(msgs, late).select(
-        "correlation_id", "ts", _bit().alias("bit"),
+        "correlation_id", "ts", "step",
         F.floor(epoch_micros(F.col("ts")) / F.lit(1000)).alias("at"),
     )
     return slim.groupBy("correlation_id").applyInPandasWithState(
-        _tracker(_check(flow), timeout_seconds * 1000), OUTPUT, STATE, "append", "EventTimeTimeout"
+        _tracker(len(flow.steps), timeout_seconds * 1000), OUTPUT, STATE, "append", "EventTimeTimeout"
     )
 
 
@@ -79,22 +73,22 @@ def _tracker(steps: int, timeout_millis: int):
 
     def track(key, batches, state):
         if state.hasTimedOut:
-            bits, _ = state.get
+            bits = int(state.get[0], 16)
             state.remove()
             if bits != whole:
                 yield report(key, "expired", bits)
             return
-        before, deadline = state.get if state.exists else (0, None)
+        before, deadline = (int(state.get[0], 16), state.get[1]) if state.exists else (0, None)
         bits, first = before, None
         for pdf in batches:
-            for bit in pdf["bit"].unique():
-                bits |= int(bit)
+            for step in pdf["step"].unique():
+                bits |= 1 << int(step)
             low = int(pdf["at"].min())
             first = low if first is None else min(first, low)
         if deadline is None:
             deadline = first + timeout_millis
         # A complete flow stays known until its deadline, so repeats are ignored.
-        state.update((bits, deadline))
+        state.update((f"{bits:x}", deadline))
         state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
         if bits == whole and before != whole:
             yield report(key, "complete", bits)

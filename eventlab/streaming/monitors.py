@@ -6,8 +6,11 @@ keys reach the state store as one row per task and batch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import threading
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.routing import value_size
 
@@ -100,13 +103,57 @@ def stream_lag(produced: DataFrame, consumed: DataFrame, within: str, late: str)
     )
 
 
-def late_report(query) -> dict[str, int]:
-    """Rows read, and rows dropped as later than the watermark, in a query's recent batches."""
+class ProgressTotals(StreamingQueryListener):
+    """Adds up the progress of every batch of the queries that run while it is attached.
+
+    Attach it (``spark.streams.addListener``) before a query starts: a query itself remembers its last batches only.
+    """
+
+    def __init__(self):
+        self.totals: dict[str, dict[str, int]] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def _of(self, run) -> dict[str, int]:
+        self.ended.setdefault(str(run), threading.Event())
+        return self.totals.setdefault(str(run), {"batches": 0, "input_rows": 0, "late_rows": 0})
+
+    def onQueryStarted(self, event) -> None:
+        self._of(event.runId)
+
+    def onQueryProgress(self, event) -> None:
+        total, p = self._of(event.progress.runId), event.progress
+        total["batches"] += 1
+        total["input_rows"] += p.numInputRows
+        total["late_rows"] += sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._of(event.runId)
+        self.ended[str(event.runId)].set()
+
+
+def late_report(query, totals: ProgressTotals | None = None) -> dict[str, int]:
+    """Batches, rows read, and rows dropped as later than the watermark, over all batches of a query.
+
+    With ``totals`` the figures of the attached listener, once it has heard of the query's
+    end. Without, those the query remembers; raises where its first batches are forgotten. Of
+    windowed aggregates Spark counts dropped rows after folding them per task.
+    """
+    if totals is not None:
+        run = str(query.runId)
+        totals._of(run)
+        if not query.isActive:
+            totals.ended[run].wait(60)
+        return dict(totals.totals[run])
     progress = query.recentProgress
+    kept = int(SparkSession.active().conf.get("spark.sql.streaming.numRecentProgressUpdates", "100"))
+    # Spark drops the oldest when it holds as many as that.
+    if progress and progress[0]["batchId"] > 0 and len(progress) >= kept - 1:
+        raise ValueError("the query no longer remembers its first batches; attach ProgressTotals before it starts")
     return {
         "batches": len(progress),
         "input_rows": sum(p["numInputRows"] for p in progress),
-        "late_rows": sum(
-            s["numRowsDroppedByWatermark"] for p in progress for s in p["stateOperators"]
-        ),
+        "late_rows": sum(s["numRowsDroppedByWatermark"] for p in progress for s in p["stateOperators"]),
     }

@@ -40,7 +40,10 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run a stream over everything available now and return its result as a table.
 
     Results go to files in the shared folder, never through the driver. In
-    complete mode each batch overwrites the table.
+    append mode windows, sessions and matches that are still open at the end of the input
+    stay out, as they do on a stream that goes on. In complete mode each batch overwrites the
+    table, and what is open at the end is part of it: for aggregates
+    (windows and sessions too) that is the whole result.
     """
     spark = stream.sparkSession
     path, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")

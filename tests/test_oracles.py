@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from eventlab.catalog import ORACLES, QUERIES
 from tools.check_oracle import TABLES, compare
 
 
@@ -17,7 +18,7 @@ def con(data):
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, data, name):
     verdict, rows, _, types = compare(spark, con, name, data)
     assert verdict == "ok", verdict
@@ -25,7 +26,8 @@ def test_query_matches_sql(spark, con, data, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_flagship_query(spark):

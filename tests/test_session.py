@@ -1,8 +1,11 @@
+import pytest
+
 from eventlab import session
 
 
 class FakeContext:
     folder = None
+    master = "local[4]"
 
     def setCheckpointDir(self, folder):
         self.folder = f"file:{folder}/app"
@@ -33,6 +36,15 @@ def test_temporary_folder_only_where_none_is_named():
     assert "eventlab-" in first and session.shared_dir(spark) == first
 
 
+def test_a_cluster_must_name_its_folder():
+    spark = FakeSpark()
+    for master in ("local-cluster[2,1,1024]", "yarn", "spark://host:7077"):
+        spark.sparkContext.master = master
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_dir(spark)
+    assert spark.sparkContext.folder is None
+
+
 def test_runtime_settings(spark):
     session.configure(spark)
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"

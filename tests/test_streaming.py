@@ -62,6 +62,26 @@ def test_late_rows_are_dropped_and_counted(spark, late_path):
     assert report["late_rows"] == 1 and report["input_rows"] == 7
 
 
+def test_long_runs_are_counted_whole(spark):
+    base = spark.range(106).select(
+        F.lit("t").alias("topic"), F.lit("k").alias("key"), F.col("id").cast("string").alias("value"), F.col("id").alias("row_index"),
+        F.timestamp_seconds(F.lit(10_000) + F.col("id")).alias("ts"))
+    path = scratch_path(spark, "many")
+    base.repartitionByRange(106, "row_index").write.parquet(path)
+    totals = mon.ProgressTotals()
+    spark.streams.addListener(totals)
+    query = (
+        mon.stream_topic_stats(stream_of(spark, path)).writeStream.outputMode("complete").format("noop")
+        .option("checkpointLocation", scratch_path(spark, "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    report = mon.late_report(query, totals)
+    spark.streams.removeListener(totals)
+    assert report["input_rows"] == 106 and report["batches"] > 100
+    with pytest.raises(ValueError):
+        mon.late_report(query)
+
+
 def test_update_mode_counts_grow(spark, late_path):
     seen = []
     query = (
@@ -113,8 +133,19 @@ def test_session_flow_status(spark, flow_path):
         ("end", "expired", 1, "1,2"), ("lost", "expired", 2, "1"),
         ("split", "complete", 3, ""), ("whole", "complete", 3, ""),
     ]
-    with pytest.raises(ValueError):
-        stream_flow_status(stream_of(spark, flow_path), Flow("g", FLOW.steps * 21), "1 minute", "1 minute")
+
+
+@pytest.mark.parametrize("make", [
+    lambda s, f: drain(stream_flow_status(s, f, "60 seconds", "10 seconds"), "long", "complete"),
+    lambda s, f: drain(prompt_flow_status(s, f, 60, "10 seconds"), "long-prompt"),
+])
+def test_flows_of_many_steps(spark, make):
+    long = Flow("g", tuple(Step("a", f"e{k}") for k in range(70)))
+    path = write_batches(spark, [
+        [("whole", k, k % 5) for k in range(70)] + [("part", k, 0) for k in range(70) if k not in (3, 61, 62, 69)], [("late", 1, 900)], [("late", 1, 1000)],
+    ], "correlation_id STRING, step INT, ts TIMESTAMP")
+    got = {r.correlation_id: (r.status, r.seen, r.missing) for r in make(stream_of(spark, path), long).collect()}
+    assert got["whole"] == ("complete", 70, "") and got["part"] == ("expired", 66, "3,61,62,69")
 
 
 def test_route_writes_each_batch_once(spark):

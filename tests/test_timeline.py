@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from eventlab.functions.draw import digest
 from eventlab.operators import timeline as tl
 
 INCIDENT = (
@@ -98,10 +99,20 @@ def test_target_sizes(members, target, size):
         assert got.where(F.col("topic") != target["topic"]).count() == 0
 
 
-def test_large_counts_take_the_same_members(members, monkeypatch):
-    few = tl.select_target(members, {"topic": "a", "count": 20}, 4).collect()
-    monkeypatch.setattr(tl, "TOP_ROWS", 5)
-    assert sorted(tl.select_target(members, {"topic": "a", "count": 20}, 4).collect()) == sorted(few)
+def test_the_first_members_by_hash_are_taken(members):
+    for k in (0, 1, 20, 10_000):
+        by_hash = members.where("topic = 'a'").orderBy(digest(4, "target", F.col("member_id")), "member_id").limit(k).collect()
+        assert sorted(tl.select_target(members, {"topic": "a", "count": k}, 4).collect()) == sorted(by_hash)
+
+
+def test_group_defaults_and_endless_repeats(spark):
+    items = spark.createDataFrame(
+        [(1, 0, "stop_broker", 5, None, None, None), (2, 0, "stop_broker", 5, None, 3, None), (3, 0, "stop_broker", None, None, 10**9, 20)],
+        "group_id long, pos long, type string, at_seconds long, duration_seconds long, repeat long, interval_seconds long")
+    got = tl.expand_groups(items, 400).collect()
+    assert sorted(r.fire for r in got if r.group_id == 1) == [5]
+    assert sorted(r.fire for r in got if r.group_id == 2) == [5, 65, 125]
+    assert sorted(r.fire for r in got if r.group_id == 3) == list(range(0, 401, 20))
 
 
 def test_targets_are_drawn_and_checked(members):
