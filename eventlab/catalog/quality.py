@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.codec import parse_json, schema_from_avro, schema_from_proto
+from ..functions.codec import fields_from_avro, fields_from_proto, parse_json, schema_from_avro, schema_from_proto
 from ..functions.fields import uuid_col
 from ..operators.quality import violation_summary, violations
+from ..operators.synth import synth_table
 from ..plans.spec import fields_of
-from .base import SEED, hash_sql, messages, query, table, uuid_sql
+from ..sources.tables import spread
+from .base import SEED, hash_sql, messages, pick_sql, query, table, u_sql, uuid_sql
 
 PROPS = fields_of([{"name": "k", "type": "int"}])
 
@@ -115,3 +117,86 @@ def v6_array(spark, sf):
     SELECT path, 'error' AS severity, count(*)::BIGINT AS n, false AS valid FROM found GROUP BY path""")
 def v7(spark, sf):
     return violation_summary(checked_events(spark, sf))
+
+
+NESTED_RULES = fields_of([
+    {"name": "lines", "type": "array", "min_items": 1, "max_items": 5, "items": {"type": "object", "fields": [
+        {"name": "part", "type": "int", "min": 1, "max": 150},
+        {"name": "price", "type": "object", "fields": [
+            {"name": "discount", "type": "float", "min": 0, "max": 0.08},
+            {"name": "steps", "type": "array", "min_items": 1, "max_items": 3, "items": {"type": "int", "min": 0, "max": 40}}]}]}},
+])
+
+
+@query("v6_nested_items", """
+    WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i,
+                      count(*) OVER (PARTITION BY l_orderkey) AS n, l_partkey, l_discount, l_quantity FROM lineitem)
+    SELECT DISTINCT l_orderkey, 'lines' AS path, 'more than max_items' AS message, 'error' AS severity FROM l WHERE n > 5
+    UNION ALL SELECT l_orderkey, 'lines[' || i || '].part', 'above max', 'error' FROM l WHERE l_partkey > 150
+    UNION ALL SELECT l_orderkey, 'lines[' || i || '].part', 'below min', 'error' FROM l WHERE l_partkey < 1
+    UNION ALL SELECT l_orderkey, 'lines[' || i || '].price.discount', 'above max', 'error' FROM l WHERE l_discount > 0.08
+    UNION ALL SELECT l_orderkey, 'lines[' || i || '].price.steps[1]', 'above max', 'error' FROM l WHERE l_quantity > 40""")
+def v6_nested(spark, sf):
+    step = F.col("l_quantity").cast("bigint")
+    line = F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+        F.col("l_partkey").alias("part"), F.struct(F.col("l_discount").alias("discount"), F.array(F.lit(0).cast("bigint"), step).alias("steps")).alias("price"))
+    orders = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return violations(orders, NESTED_RULES, ["l_orderkey"])
+
+
+STORED_AVRO = """{"type": "record", "name": "Order", "namespace": "shop", "fields": [
+    {"name": "order_id", "type": {"type": "string", "logicalType": "uuid"}},
+    {"name": "units", "type": ["null", "int"]},
+    {"name": "state", "type": {"type": "enum", "name": "State", "symbols": ["NEW", "PAID", "SENT"]}},
+    {"name": "ship_to", "type": {"type": "record", "name": "Place", "fields": [
+        {"name": "weight", "type": "double"}, {"name": "express", "type": "boolean"}, {"name": "state", "type": "State"}]}},
+    {"name": "created_at", "type": {"type": "long", "logicalType": "timestamp-millis"}}]}"""
+
+
+def _stored_sql(number: str) -> str:
+    return f"""
+    SELECT o_orderkey, {uuid_sql(hash_sql("'order_id'", 'o_orderkey'))} AS order_id, {pick_sql(u_sql("'units'", 'o_orderkey'), 0, 1000)} AS units,
+           list_extract(['NEW', 'PAID', 'SENT'], {pick_sql(u_sql("'state'", 'o_orderkey'), 1, 3)}) AS state,
+           round({u_sql("'ship_to.weight'", 'o_orderkey')} * 1000, 2) AS weight, {u_sql("'ship_to.express'", 'o_orderkey')} < 0.5 AS express,
+           list_extract(['NEW', 'PAID', 'SENT'], {pick_sql(u_sql("'ship_to.state'", 'o_orderkey'), 1, 3)}) AS place_state{number}
+    FROM orders"""
+
+
+def generated(spark, sf, fields):
+    return synth_table(spread(table(spark, sf, "orders")), fields, SEED, "o_orderkey", "o_orderdate", keep=["o_orderkey"])
+
+
+@query("v4_generated_from_avro", _stored_sql(", epoch_us(o_orderdate) // 1000 AS created_at"))
+def v4_generated(spark, sf):
+    made = generated(spark, sf, fields_from_avro(STORED_AVRO))
+    return made.select("o_orderkey", "order_id", "units", "state", "ship_to.weight", "ship_to.express", F.col("ship_to.state").alias("place_state"), "created_at")
+
+
+STORED_PROTO = """
+syntax = "proto3";
+package shop;
+message Order {
+  /* states of an order */
+  enum State { NEW = 0; PAID = 1; SENT = 2; }
+  message Place { double weight = 1; bool express = 2; State state = 3; }
+  string order_id = 1;  // text here
+  int32 units = 2;
+  State state = 3;
+  Place ship_to = 4;
+  repeated int64 marks = 5;
+  map<string, string> notes = 6;
+}"""
+
+
+@query("v5_generated_from_proto", f"""
+    WITH m AS (SELECT o_orderkey, {pick_sql(u_sql("'marks'", 'o_orderkey'), 1, 5)} AS n FROM orders),
+    e AS (SELECT o_orderkey, unnest(range(n)) AS j FROM m),
+    s AS (SELECT o_orderkey, count(*) AS marks, sum({pick_sql(u_sql("'marks[' || j || ']'", 'o_orderkey'), 0, 1000)})::BIGINT AS mark_sum FROM e GROUP BY ALL)
+    SELECT g.* EXCLUDE (order_id), marks, mark_sum, 0::BIGINT AS notes FROM ({_stored_sql("")}) g JOIN s USING (o_orderkey)""")
+def v5_generated(spark, sf):
+    made = generated(spark, sf, fields_from_proto(STORED_PROTO))
+    return made.select(
+        "o_orderkey", "units", "state", "ship_to.weight", "ship_to.express", F.col("ship_to.state").alias("place_state"),
+        F.size("marks").cast("bigint").alias("marks"), F.aggregate("marks", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mark_sum"),
+        F.size("notes").cast("bigint").alias("notes"))

@@ -214,6 +214,27 @@ def g13(spark, sf):
     )
 
 
+CART_FIELDS = fields_of([
+    {"name": "lines", "type": "array", "min_items": 0, "max_items": 4, "items": {"type": "object", "fields": [
+        {"name": "part", "type": "faker", "provider": "part"}, {"name": "quantity", "type": "int", "min": 1, "max": 9}]}},
+])
+
+
+@query("g13_array_lookup", f"""
+    WITH v AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_name FROM part),
+    n AS (SELECT o_orderkey, {pick_sql(u_sql("'lines'", 'o_orderkey'), 0, 4)} AS size, (SELECT count(*) FROM part)::DOUBLE AS parts FROM orders),
+    e AS (SELECT *, unnest(range(size)) AS j FROM n)
+    SELECT o_orderkey, j, p_name AS part, {pick_sql(u_sql("'lines[' || j || '].quantity'", 'o_orderkey'), 1, 9)} AS quantity
+    FROM e JOIN v ON pos = floor({u_sql("'lines[' || j || '].part'", 'o_orderkey')} * parts)::BIGINT""")
+def g13_array(spark, sf):
+    values = lookup_values(table(spark, sf, "part"), F.col("p_name"), "p_partkey", "part")
+    made = synth_table(
+        spread(table(spark, sf, "orders").select("o_orderkey")), CART_FIELDS, SEED, "o_orderkey", lookups=values, keep=["o_orderkey"],
+    )
+    out = made.select("o_orderkey", F.posexplode("lines").alias("j", "x"))
+    return out.select("o_orderkey", F.col("j").cast("bigint").alias("j"), "x.part", "x.quantity")
+
+
 @query("g14_spark_schema", f"""
     SELECT o_orderkey, order_id, customer_id, amount, status, created_at FROM (SELECT o_orderkey, {ORDER_SQL} FROM orders)""")
 def g14(spark, sf):

@@ -20,7 +20,8 @@ from ..plans.ordering import explode_count, number_rows
 from ..plans.sizing import BROADCAST_ROWS, join_side, settle
 from ..plans.spec import Field
 
-# Most values of a provider that may be written into a plan as a literal.
+# On a stream, where rows cannot be put together again by their index, values for array
+# items are written into the plan, and may be so many.
 LITERAL_VALUES = 1_000
 
 
@@ -163,39 +164,71 @@ def with_lookups(
 ):
     """Prepare lookup fields: (df with their values joined on, lookup for ``field_col``).
 
-    Fields outside arrays are joined, one column each. Inside arrays the values
-    of a provider become an array literal, which needs them to be few.
+    Fields outside arrays are joined, one column each. For those inside arrays
+    the items of a row are listed by their paths, each draws its position and joins its value, and
+    a map from path to value comes back to the row by its index, whatever the
+    number of values. (On a stream they become an array literal instead.)
     """
-    joined, literals = {}, {}
+    joined, literals, listed = {}, {}, {}
+    row = F.col(idx)
 
-    def visit(field: Field, path: str, in_array: bool) -> None:
+    def items_of(field: Field, path: Column) -> Column:
+        size = pick(u(seed, path, row), field.min_items, field.max_items)
+        filled = F.transform(F.sequence(F.lit(0).cast("bigint"), size - 1), lambda j: F.concat(path, F.lit("["), j.cast("string"), F.lit("]")))
+        return F.when(size > 0, filled).otherwise(F.array().cast("array<string>"))
+
+    def visit(field: Field, path: str, paths: Column | None) -> None:
+        """``paths`` are those of the field in all items of a row, inside arrays."""
         nonlocal df
         if field.type == "faker":
             if lookups is None:
                 raise ValueError(f"field '{field.name}' needs a table of lookup values")
             key = (field.provider, field.locale or "")
-            if in_array and key not in literals:
-                literals[key] = _few_values(lookups, *key)
-            elif not in_array:
+            if paths is not None and df.isStreaming:
+                if key not in literals:
+                    literals[key] = _few_values(lookups, *key)
+            elif paths is not None:
+                listed.setdefault(key, []).append(paths)
+            else:
                 joined[path] = f"_lookup_{prefix}{len(joined)}"
                 df = lookup_col(df, joined[path], lookups, *key, seed, path, idx)
         for f in field.fields or ():
-            visit(f, f"{path}.{f.name}", in_array)
+            end = F.lit(f".{f.name}")
+            visit(f, f"{path}.{f.name}", None if paths is None else F.transform(paths, lambda p: F.concat(p, end)))  # noqa: B023 - built at once
         if field.items is not None:
-            visit(field.items, path, True)
+            below = items_of(field, F.lit(path)) if paths is None else F.flatten(F.transform(paths, lambda p: items_of(field, p)))
+            visit(field.items, path, below)
 
     for f in fields:
-        visit(f, prefix + f.name, False)
+        visit(f, prefix + f.name, None)
+    maps = {}
+    for key, paths in listed.items():
+        maps[key] = f"_lookup_{prefix}{len(joined) + len(maps)}"
+        df = _item_values(df, maps[key], F.concat(*paths), lookups, *key, seed, idx)
 
     def lookup(field: Field, path) -> Column:
+        key = (field.provider, field.locale or "")
         if isinstance(path, str):
             return F.col(f"`{joined[path]}`")
-        values = literals[field.provider, field.locale or ""]
-        return enum_col(seed, path, F.col(idx), values)
+        if key in maps:
+            return F.col(f"`{maps[key]}`")[path]
+        return enum_col(seed, path, row, literals[key])
 
     return df, lookup
 
 
+def _item_values(df: DataFrame, name: str, paths: Column, lookups: DataFrame, provider: str, locale: str, seed: int, idx: str) -> DataFrame:
+    """Add a map from each path of a row's items to the value that it draws."""
+    mine = lookups.where((F.col("provider") == provider) & (F.col("locale") == locale))
+    last = _last_position(mine, provider, locale)
+    items = df.select(F.col(idx).alias("_row"), F.explode(paths).alias("_path"))
+    drawn = items.withColumn("_pos", pick(u(seed, F.col("_path"), F.col("_row")), 0, last))
+    side = join_side(mine.select(F.col("pos").alias("_pos"), F.col("value").cast("string").alias("_value")), known_rows=last + 1)
+    entries = F.map_from_entries(F.collect_list(F.struct("_path", "_value"))).alias(name)
+    found = drawn.join(side, "_pos").groupBy("_row").agg(entries)
+    return df.join(found, df[idx] == found["_row"], "left").drop("_row")
+
+
 def _few_values(lookups: DataFrame, provider: str, locale: str) -> list[str]:
     mine = lookups.where((F.col("provider") == provider) & (F.col("locale") == locale))
     rows = mine.orderBy("pos").select(F.col("value").cast("string")).limit(LITERAL_VALUES + 1).collect()

@@ -9,7 +9,7 @@ from eventlab.functions.draw import u
 from eventlab.functions.keys import key_col, partition_col
 from eventlab.functions.payloads import fixed_payload, json_payload, random_payload
 from eventlab.operators.synth import (
-    TopicSpec, inject_duplicates, lookup_col, lookup_values, rows, send_position, synth_messages, synth_table,
+    TopicSpec, inject_duplicates, lookup_col, lookup_values, rows, send_position, synth_messages, synth_table, zipf_weights,
     with_key, with_offsets, zipf_key,
 )
 from eventlab.operators.timing import event_micros, with_event_time, with_rate_schedule
@@ -283,5 +283,36 @@ def test_lookups_and_pools_inside_nested_values(spark, base):
     with pytest.raises(ValueError):
         synth_table(base, fields, 3)
     many = lookup_values(spark.range(1001), F.col("id").cast("string"), "id", "name")
-    with pytest.raises(ValueError):
-        synth_table(base, fields, 3, lookups=many)
+    assert {x.who for r in synth_table(base.limit(400), fields, 3, lookups=many).collect() for x in r.lines} <= {str(i) for i in range(1001)}
+
+
+def test_lookup_positions_must_be_dense(spark):
+    df = rows(spark, 5)
+    for positions in ([0, 3], [0, 1, 1], [1, 2]):
+        values = spark.createDataFrame([("p", "", k, f"v{k}") for k in positions], "provider string, locale string, pos long, value string")
+        with pytest.raises(ValueError, match="gaps or repeats"):
+            lookup_col(df, "x", values, "p")
+
+
+def test_lookups_in_nested_arrays_of_any_size(spark):
+    values = spark.createDataFrame([("p", "", k, f"v{k}") for k in range(3000)], "provider string, locale string, pos long, value string")
+    fields = fields_of([
+        {"name": "a", "type": "array", "min_items": 0, "max_items": 3, "items": {"type": "array", "min_items": 1, "max_items": 2, "items": {
+            "type": "object", "fields": [{"name": "who", "type": "faker", "provider": "p"}]}}},
+        {"name": "b", "type": "array", "items": {"type": "faker", "provider": "p"}},
+    ])
+    got = synth_table(rows(spark, 300), fields, 3, lookups=values, keep=["row_index"]).collect()
+    assert len(got) == 300
+    seen = set()
+    for r in got:
+        inner = [x.who for row in r.a for x in row] + list(r.b)
+        assert all(x is not None for x in inner)
+        seen.update(inner)
+    assert len(seen) > 700
+
+
+def test_zipf_keeps_its_law_in_the_tail(spark):
+    w = zipf_weights(spark, 200_000, 1.5)
+    share = w.where("rank >= 100000").agg(F.sum((F.col("hi") - F.col("lo")) / F.col("total"))).first()[0]
+    law = sum((i + 1) ** -1.5 for i in range(100_000, 200_000)) / sum((i + 1) ** -1.5 for i in range(200_000))
+    assert abs(share / law - 1) < 1e-3
