@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draw import digest, draw_from
-from ..plans.sizing import BROADCAST_ROWS, join_side
+from ..plans.sizing import BROADCAST_ROWS, join_side, settle
 
 POLICIES = ("skip", "retry", "dlq")
 
@@ -211,11 +211,11 @@ def visible_to(
 ) -> DataFrame:
     """Messages each group reads: all (earliest), or those since it joined (latest).
 
-    ``group_start`` has topic, group_id and joined_at.
+    ``group_start`` has topic, group_id and joined_at; it is written once, as its size is checked before it is joined.
     """
     if reset not in ("earliest", "latest"):
         raise ValueError("auto_offset_reset must be 'earliest' or 'latest'")
-    side = join_side(group_start, limit=broadcast_rows)
+    side = join_side(settle(group_start, "groups"), limit=broadcast_rows)
     joined = msgs.join(side, "topic")
     if reset == "latest":
         joined = joined.where(F.col("ts") >= F.col("joined_at"))

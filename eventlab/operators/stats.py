@@ -232,8 +232,9 @@ def duplicate_report(msgs: DataFrame) -> DataFrame:
 def dedup(msgs: DataFrame, order: str = "row_index") -> DataFrame:
     """Keep the first of equal (topic, key, value) rows, by ``order``.
 
-    An aggregate, not a ranking window: copies fold on the map side, so a group
-    holding a large share of all rows never meets in one task.
+    An aggregate, not a ranking window: copies fold on the map side (by sorting, as whole
+    rows have no fixed width), so a group holding a large share of all rows never meets in
+    one task. Of copies with one ``order`` the least row stays.
     """
     keys = ["topic", "key", "value"]
     rest = [c for c in msgs.columns if c not in keys and c != order]

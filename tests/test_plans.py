@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from eventlab.plans.ordering import explode_count, number_rows, running_max, running_total, successor
 from eventlab.plans.segments import elementary, locate
-from eventlab.plans.sizing import join_side, settle, within
+from eventlab.plans.sizing import join_side, settle, small, within
 from eventlab.plans.spec import Field, fields_of, spark_schema
 
 
@@ -113,6 +113,16 @@ def test_size_checks(spark):
     assert "SortMergeJoin" in plan
 
 
+def test_wide_sides_are_not_broadcast(spark):
+    texts = spark.range(100).select("id", F.repeat(F.lit("x"), 20_000).alias("t"))
+    lists = spark.range(10).select(F.array(F.struct("id", F.lit("abc").alias("s"))).alias("a"), F.create_map(F.lit("k"), "id").alias("m"))
+    assert small(texts, 1_000) and not small(texts, 1_000, 1_000_000) and not small(texts, 50)
+    assert small(lists, 10, 10_000) and not small(lists, 10, 300)
+    assert small(spark.range(5), 10, known_rows=5) and not small(spark.range(5), 10, known_rows=11)
+    plan = spark.range(5).join(join_side(texts.withColumn("t", F.repeat("t", 40))), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+
+
 def test_settle_keeps_rows_and_schema(spark):
     df = spark.range(10).withColumn("t", F.lit("x"))
     back = settle(df, "t")
