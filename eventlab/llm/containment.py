@@ -24,7 +24,7 @@ BLOCK_SHINGLES = 2_000_000
 class Block:
     """An index of some items: of each size class (its largest size) the sorted signature values and whose they are, and all shingles."""
 
-    items: np.ndarray
+    items: list[int | None]
     sets: list[np.ndarray]
     classes: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]
 
@@ -44,7 +44,7 @@ def _item_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def index(items: np.ndarray, sets: list[np.ndarray]) -> Block:
+def index(items: list[int | None], sets: list[np.ndarray]) -> Block:
     """Items dealt into classes by size (powers of two), each item with a signature of HASHES least products."""
     factors = _factors()
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -126,7 +126,7 @@ def blocks(benchmark: DataFrame, k: int = WORDS, text: str = "text", item_id: st
         some = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == b).toArrow().combine_chunks()
         if some.num_rows:
             column = some["text"].chunk(0) if some["text"].num_chunks else pa.array([], pa.string())
-            yield index(some["item_id"].to_numpy(), _item_sets(column.cast(pa.string()), k))
+            yield index(some["item_id"].to_pylist(), _item_sets(column.cast(pa.string()), k))
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, percent: int = PERCENT, k: int = WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -147,7 +147,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, percent: int = PERCENT, k: int =
     for block in blocks(benchmark, k):
         def run(batch: pa.RecordBatch, block: Block = block) -> Iterator[pa.RecordBatch]:
             got = found_in(batch.column("text"), block, percent, k)
-            items = pa.array(block.items, from_pandas=True).cast(pa.int64())
+            items = pa.array(block.items, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(got[:, 0])), items.take(pa.array(got[:, 1])), pa.array(got[:, 2]), pa.array(got[:, 3])],
                 ["doc_id", "item_id", "shared", "n_shingles"])

@@ -14,7 +14,7 @@ from .common import Words, in_arrow, mixed, runs_hash, signed, words_of, written
 # Words of an anchor: the least hash of the anchors in a window says which shard the window goes to.
 ANCHOR = 6
 # Words of a shard, about; memory of a task is some 150 bytes a word.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 100_000
 # Different pieces of one anchor beyond which its windows go by their own hash instead of into one shard.
 HOT_PIECES = 2_000
 
@@ -196,6 +196,8 @@ def _contents(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
             raw = words.hash[words.first[r - i]:words.first[r - i + 1]]
             for p in lists[r].as_py():
                 a, n = p["start"], p["n"]
+                if a + n + size - 1 > len(raw):
+                    continue  # of another row with this id
                 out["shard"].append(p["shard"])
                 out["hot"].append(p["hot"])
                 out["doc_id"].append(int(docs[r]))
@@ -222,6 +224,9 @@ def _search(table: pa.Table, size: int) -> pa.Table:
     """Windows of a shard that also start earlier, by an FM-index of the shard."""
     order = np.lexsort((table["start"].to_numpy(), table["doc_id"].to_numpy()))
     table = table.take(pa.array(order))
+    doc, start = table["doc_id"].to_numpy(), table["start"].to_numpy()
+    # Rows that share an id count as one document.
+    table = table.filter(pa.array(np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))))
     doc, start, n = (table[c].to_numpy() for c in ("doc_id", "start", "n"))
     raw = np.frombuffer(b"".join(table["words"].to_pylist()), np.uint64)
     length = n + size - 1
@@ -244,7 +249,7 @@ def repeated(df: DataFrame, size: int = 20, text: str = "text", doc_id: str = "d
 
     Earlier means in a document with a smaller id, or in the same one
     further in front. Words are runs of anything but ASCII white space. Ids
-    are whole numbers, unique and not null. Null, empty and short texts have
+    are whole numbers and unique; repeated rows count as one document, rows without an id are left out. Null, empty and short texts have
     no interval; an empty table gives an empty one; other columns are not looked at.
 
     A window belongs to the least hash of the word sextuples (anchors) in it, so equal
@@ -327,8 +332,8 @@ def without(df: DataFrame, intervals: DataFrame, text: str = "text", doc_id: str
             if cut:
                 stay = np.zeros(len(words) + 1, np.int64)
                 for c in cut:
-                    stay[c["from"]] += 1
-                    stay[c["to"]] -= 1
+                    stay[min(c["from"], len(words))] += 1
+                    stay[min(c["to"], len(words))] -= 1
                 words = [words[k] for k in np.flatnonzero(np.cumsum(stay[:-1]) == 0)]
             n_removed.append(n_words[-1] - len(words))
             kept.append(b" ".join(words).decode())

@@ -185,8 +185,9 @@ def cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Nodes on the source's side of a minimum cut.
 
     ``gain`` is a node's capacity from the source less that to the sink (what both share flows
-    straight through). Edges have one capacity both ways. Augmenting paths,
-    shortest first, from any node with something left to give to any that can take.
+    straight through). Edges have one capacity both ways. Flow goes over single edges
+    first, then along augmenting paths, shortest first, from any node with something left to
+    give to any that can take.
     """
     n = len(gain)
     left = list(gain)
@@ -195,6 +196,16 @@ def cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
         near[a][b] = near[a].get(b, 0.0) + c
         near[b][a] = near[b].get(a, 0.0) + c
     tiny = 1e-9
+    for i in range(n):
+        for j, c in near[i].items():
+            if left[i] <= tiny:
+                break
+            if left[j] < -tiny:
+                flow = min(left[i], -left[j], c)
+                left[i] -= flow
+                left[j] += flow
+                near[i][j] -= flow
+                near[j][i] += flow
     while True:
         from_: dict[int, int] = {i: -1 for i in range(n) if left[i] > tiny}
         queue, goal = deque(from_), -1

@@ -53,6 +53,16 @@ def test_matches_brute_force(spark, monkeypatch, seed, hot):
     assert sorted(map(tuple, got.collect())) == brute(rows, 20)
 
 
+def test_repeated_rows_and_ids(spark):
+    rows = passages(4)
+    spark = prepared(spark)
+    twice = spark.createDataFrame(rows + [rows[0], rows[9], (None, rows[3][1])], "doc_id bigint, text string")
+    got = fmindex.without(twice, fmindex.repeated(twice)).where("doc_id IS NOT NULL").distinct()
+    assert sorted(map(tuple, got.collect())) == brute(rows, 20)
+    clash = spark.createDataFrame([(1, "a b c " * 30), (1, "short"), (2, "a b c " * 12)], "doc_id bigint, text string")
+    assert fmindex.without(clash, fmindex.repeated(clash)).count() == 3
+
+
 def test_empty_table_and_other_columns(spark):
     df = prepared(spark).createDataFrame([], "doc_id bigint, text string, start string, anchor int, pieces int")
     assert fmindex.without(df, fmindex.repeated(df)).count() == 0
