@@ -15,7 +15,7 @@ from ..session import configure
 # Rows of a batch between the JVM and Python: texts may be long, so few.
 BATCH_ROWS = 1_000
 # Bytes of text that one numpy pass takes, unless a single text is longer.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64

@@ -17,7 +17,7 @@ MARK = "▁"  # stands for a space in a vocabulary
 # Longer stretches without a place to cut go through a heap, one at a time.
 LOCKSTEP = 64
 # Stretches whose ids a task remembers; it starts afresh when they are more.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 _NONE = np.int64(1 << 40)
 
 

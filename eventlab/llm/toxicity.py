@@ -16,8 +16,8 @@ BUCKETS = 1 << 18  # subword vectors
 WIDTH = 8  # numbers of a vector
 SPAN = 5  # words that are averaged; a text scores as its worst span
 # The training sample: at most so many labelled texts of each label, and so many bytes of text in all.
-SAMPLE_TEXTS = 2_500
-SAMPLE_BYTES = 14_000_000
+SAMPLE_TEXTS = 2_000
+SAMPLE_BYTES = 10_000_000
 
 
 def subwords(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +99,9 @@ def train(texts: list[str], toxic: list[int], epochs: int = 14, seed: int = 11)
     for i, j, words in words_of(column, lower=True):
         _, one, back = np.unique(words.hash, return_index=True, return_inverse=True)
         number, begin = subwords(words, one)
-        parts.append((i, words, back, number, np.append(begin, len(number)), *_spans(words)))
+        first, length = _spans(words)
+        words.data = words.hash = words.start = words.end = words.start[:0]  # no longer needed
+        parts.append((i, words, back.astype(np.int32), number.astype(np.int32), np.append(begin, len(number)), first, length.astype(np.int32)))
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     out = rng.normal(0, 0.1, (WIDTH, 2)).astype(np.float32)
     bias = np.log(np.bincount(label, minlength=2) + 1.0)
