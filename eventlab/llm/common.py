@@ -154,7 +154,6 @@ def least_ids(links: DataFrame, label: str = "components") -> DataFrame:
     (as in alternating star contractions), on the links alone and written after each round,
     until nothing changes. Rounds grow with the logarithm of a component.
     """
-    spark = links.sparkSession
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(edges, label)
     before = None
@@ -172,6 +171,5 @@ def least_ids(links: DataFrame, label: str = "components") -> DataFrame:
         if now == before:
             break
         before = now
-    del spark
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, least_ids, mixed, powers, signed, words_of, written
+from .common import in_arrow, least_ids, mixed, powers, words_of, written
 
 WORDS = 5  # of a shingle
 # Coordinates of a sketch. They are cut into bands; two sets meet where a whole band agrees.
