@@ -131,7 +131,7 @@ def tokens(text: str) -> list[tuple[int, int]]:
 
 
 def _shape(token: str) -> str:
-    if token.isdigit():
+    if token.isdecimal():  # what int() reads; superscripts and circled digits are none of these
         return f"9{min(len(token), 9)}"
     if token.isalpha():
         low = token.lower()

@@ -97,3 +97,11 @@ def test_weights_follow_the_data():
     m = crf.train(rows, steps=60)
     text = "b 1"
     assert np.array_equal(crf.viterbi(m, [crf.features(text, crf.tokens(text))])[0], [0, crf.LABELS.index("B-ip")])
+
+
+def test_digits_that_are_no_decimals(spark, model):
+    texts = ["in 2019¹ and 10² of", "12 ① 13 ⑳ x", "5 ²³ m", "٣ 12 १२३ and ３", "call (555) 123-4567 ¹ now ②"]
+    df = prepared(spark).createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = crf.spans_of(df, model).orderBy("doc_id").collect()
+    assert [[s["kind"] for s in r["spans"]] for r in got] == [[], [], [], [], ["phone"]]
+    assert [r["text"] for r in crf.masked(df, model).orderBy("doc_id").collect()] == [*texts[:4], "call [PHONE] ¹ now ②"]
