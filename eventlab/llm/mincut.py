@@ -20,7 +20,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset(
-    "script style noscript template head title svg math iframe object canvas audio video select option button textarea datalist map".split()
+    "script style noscript template head title svg iframe object canvas audio video select option button textarea datalist map".split()
 )
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -34,7 +34,9 @@ REMARKS = re.compile(r"comment|disqus|replies|\breply\b|respond|discussion|guest
 OWN = re.compile(r"article|\bmain\b|content|\bpost\b|\bentry\b|story|\bprose\b|body text")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[-_\d]+")
 _NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+_HIDING = re.compile(r"hidden|style", re.I)
+_NO_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*none(?![\w-])", re.I)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 
 # Blocks whose part is known, to train the classifier from: (where it stands, tag, characters, share of them
@@ -87,6 +89,15 @@ def classifier() -> list[float]:
     return w.tolist()
 
 
+def _hidden(attrs: str) -> bool:
+    """Whether the attributes of an element, read by name (the first of each counts), keep it from being shown."""
+    named: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(attrs):
+        quoted = len(value) > 1 and value[0] in "\"'" and value[-1] == value[0]
+        named.setdefault(name.lower(), unescape(value[1:-1] if quoted else value))
+    return "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(named.get("style", "")))
+
+
 def blocks(html: str) -> list[tuple]:
     """(text, tag, where, share of characters in links, number of the parent) of each block of a page, in order."""
     out: list[tuple] = []
@@ -171,7 +182,7 @@ def blocks(html: str) -> list[tuple]:
                     where += "h" if "a" in where and "header" in named else "f"
                 elif OWN.search(named):
                     where += "o"
-            unseen = unseen or bool(_HIDDEN.search(attrs))
+            unseen = unseen or bool(_HIDING.search(attrs)) and _hidden(attrs)
         if tag in BLOCKS:
             number += 1
             block = (tag, where, number, block[2])

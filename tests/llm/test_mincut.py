@@ -74,3 +74,18 @@ def test_every_page_of_the_table(spark, data):
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in catalog.QUERIES["op4_main_text"](spark, data).collect()}
     pages = catalog.table(spark, data, "pages").collect()
     assert got == {r["page_id"]: (want(r["html"]), len(want(r["html"]))) for r in pages}
+
+
+@pytest.mark.parametrize("attrs,seen", [
+    ('class="mobile hidden lg:block"', True), ('data-title="The hidden valley"', True), ("title='aria-hidden=true or display:none'", True), ("data-hidden=1", True),
+    ("href=/a/hidden class=x", True), ('aria-hidden="false"', True), ('style="--display:none"', True), ('aria-label=" hidden "', True),
+    ("hidden", False), ('class="x"hidden', False), ("HIDDEN=''", False), ("hidden=until-found", False), ("aria-hidden=true", False), ("Aria-Hidden = 'True'", False),
+    ('style="color:red; display : none"', False), ("style=display:none", False)])
+def test_hidden_by_its_attributes_alone(attrs, seen):
+    for tag in ("article", "div", "p"):
+        assert [b[0] for b in mincut.blocks(f"<body><{tag} {attrs}>Words of it.</{tag}><p>After</p></body>")] == ["Words of it."] * seen + ["After"]
+
+
+def test_formulas_stay():
+    html = "<article><p>So <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds, as is shown in the text above.</p></article>"
+    assert mincut.main_blocks(html, WEIGHTS) == ["So a=2 holds, as is shown in the text above."]
