@@ -11,15 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, in_arrow, mixed, words_of, written
+from .common import Words, in_arrow, mixed, signed, words_of, written
 
 ORDER = 5
 BITS = 12  # of a symbol: 0 before a word, 1 behind it, else a hash of the letter
 SYMBOLS = 1 << BITS
-# Cells (grams times languages) of the largest table of a model, and grams of a language, at most: rarer grams
-# go first, as is usual with these models. This bounds what is sent to executors.
+# Cells (grams times languages) of the largest table of a model, and counted grams, that are held as arrays on the
+# driver and in tasks. A model with more of them stays in Spark's tables, whole.
 CELLS = 32_000_000
-GRAMS = 200_000
+RUNS = 4_000_000
+# Commonest words or grams that are joined by broadcast in that case.
+COMMON = 1_000
 # Grams that a task gathers before it folds them.
 GATHERED = 2_000_000
 SHARPNESS = tuple(float(2**k) for k in range(-2, 9))
@@ -226,42 +228,158 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     return Model(langs, grams, contexts, float(-np.log(alphabet)))
 
 
-def _bounded(counted: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Counts on the driver; of a language with more grams than the bound, those above the least power of two that fits."""
-    levels: dict[str, dict[int, int]] = {}
-    for row in counted.groupBy("lang", F.floor(F.log2("n")).alias("level")).count().collect():
-        levels.setdefault(row["lang"], {})[row["level"]] = row["count"]
-    most = min(GRAMS, max(1_000, CELLS // max(1, len(levels)) ** 2))
-    least = {}
-    for lang, by in levels.items():
-        kept = 0
-        for level in sorted(by, reverse=True):
-            kept += by[level]
-            if kept > most:
-                least[lang] = 2 ** (level + 1)
-                break
-    keep = F.lit(True)
-    for lang, n in least.items():
-        keep = keep & ((F.col("lang") != lang) | (F.col("n") >= n))
-    table = counted.where(keep).select("lang", "gram", "n").toArrow()
+def _collected(counted: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """All counts on the driver."""
+    table = counted.select("lang", "gram", "n").toArrow()
     names = table["lang"].to_pandas().to_numpy()
     gram, n = table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    return {lang: (gram[names == lang], n[names == lang]) for lang in levels if (names == lang).any()}
+    return {lang: (gram[names == lang], n[names == lang]) for lang in set(names)}
 
 
-def fit(learn: DataFrame, calibrate: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+@dataclass
+class Tables:
+    """The same models as tables of each order, low to high: (key, parts: language and discounted share) and (head, lefts: language and weight left to shorter ones)."""
+
+    langs: list[str]
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+    floor: float
+    sharpness: float = 16.0
+    limits: tuple[float, ...] = ()
+
+
+def tables(counted: DataFrame, langs: list[str]) -> Tables:
+    """What ``build`` makes, from any number of counted runs: nothing but a few numbers a language comes to the driver."""
+    spark = counted.sparkSession
+    numbers = spark.createDataFrame(list(enumerate(langs)), "k int, lang string")
+    level = written(counted.join(F.broadcast(numbers), "lang").select("k", F.col("gram").alias("key"), "n"), "level")
+    grams, contexts = [], []
+    for order in range(ORDER, 0, -1):
+        counts = level.groupBy("k").agg(F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum((F.col("n") == 2).cast("long")).alias("twice")).collect()
+        discounts = spark.createDataFrame([(r["k"], min(0.95, max(0.1, r["once"] / max(1, r["once"] + 2 * r["twice"])))) for r in counts], "k int, d double")
+        level = level.withColumn("head", F.shiftright("key", BITS))
+        heads = written(level.groupBy("k", "head").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).join(F.broadcast(discounts), "k"), "heads")
+        parts = level.join(heads, ["k", "head"]).select("key", F.struct("k", ((F.col("n") - F.col("d")) / F.col("total")).alias("v")).alias("part"))
+        grams.append(written(parts.groupBy("key").agg(F.collect_list("part").alias("parts")), "parts"))
+        lefts = heads.select("head", F.struct("k", (F.col("d") * F.col("kinds") / F.col("total")).alias("v")).alias("left"))
+        contexts.append(written(lefts.groupBy("head").agg(F.collect_list("left").alias("lefts")), "lefts"))
+        if order > 1:
+            shorter = F.col("key").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
+            level = written(level.groupBy("k", shorter.alias("key")).agg(F.count("*").alias("n")), "level")
+    alphabet = max(2, grams[-1].count() + 1)
+    return Tables(langs, grams[::-1], contexts[::-1], float(-np.log(alphabet)))
+
+
+def log_probs(grams: DataFrame, model: Tables) -> DataFrame:
+    """(gram, p): log probability by language of each distinct run of ``grams``, from the lowest order up."""
+    many, floor, below = len(model.langs), model.floor, None
+
+    def mix(batch: pa.RecordBatch, last: bool) -> Iterator[pa.RecordBatch]:
+        n = batch.num_rows
+        part, left = np.zeros((n, many)), np.ones((n, many))
+        for name, into in (("parts", part), ("lefts", left)):
+            column = batch.column(name)
+            row = np.repeat(np.arange(n), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            k, v = column.flatten().flatten()
+            into[row, k.to_numpy(zero_copy_only=False)] = v.to_numpy(zero_copy_only=False)
+        short = _dense(batch.column("below"), many) if "below" in batch.schema.names else np.exp(floor)
+        p = part + left * short
+        p = np.log(p) if last else p
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * many, p.ravel())], ["key", "p"])
+
+    for order in range(1, ORDER + 1):
+        key = F.col("gram").bitwiseAND(F.lit((1 << (BITS * order)) - 1))
+        keys = grams.select(key.alias("key")).distinct().withColumn("head", F.shiftright("key", BITS))
+        keys = keys.join(model.grams[order - 1], "key", "left").join(model.contexts[order - 1], "head", "left")
+        if below is not None:
+            keys = keys.withColumn("tail", F.col("key").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1)))
+            keys = keys.join(below.select(F.col("key").alias("tail"), F.col("p").alias("below")), "tail")
+        keys = keys.drop("head", "tail")
+        below = written(in_arrow(keys, "key bigint, p array<double>", lambda b, last=order == ORDER: mix(b, last)), "probs")
+    return below.withColumnRenamed("key", "gram")
+
+
+def _dense(column: pa.Array, many: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), many)
+
+
+def _meet(rows: DataFrame, one: DataFrame, on: str) -> DataFrame:
+    """Rows joined to the one row of their key; the commonest keys by broadcast, so that none goes to one task."""
+    common = rows.groupBy(on).count().orderBy(F.desc("count"), on).limit(COMMON).select(on)
+    common = written(common.join(one, on), "common")
+    rest = rows.join(F.broadcast(common.select(on)), on, "left_anti").join(one, on)
+    return rows.join(F.broadcast(common), on).unionByName(rest)
+
+
+def with_sums(df: DataFrame, model: Tables, text: str = "text") -> DataFrame:
+    """``df`` with ``_sums`` (log probability of the text by language) and ``_symbols``, by its distinct words and their distinct runs."""
+    base = written(df, "texts").withColumn("_row", F.monotonically_increasing_id())  # of a written table
+    texts = base.select("_row", F.col(f"`{text}`").alias("text"))
+
+    def words_in(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        number = batch.column("_row").to_numpy()
+        for i, _, words in words_of(batch.column("text")):
+            key = words.hash ^ mixed(words.row.astype(np.uint64) + np.uint64(1))
+            _, one, times = np.unique(key, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(number[i + words.row[one]]), signed(words.hash[one]), pa.array(times)], ["_row", "word", "times"])
+
+    def grams_in(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for _, _, words in words_of(batch.column("text")):
+            value, one = np.unique(words.hash, return_index=True)
+            gram, count = grams_of(words, one)
+            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(count)).astype(np.int32), pa.array(gram.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([signed(value), lists], ["word", "grams"]).filter(pa.array(count > 0))
+
+    vocabulary = in_arrow(texts.select("text"), "word bigint, grams array<bigint>", grams_in)
+    vocabulary = written(vocabulary.groupBy("word").agg(F.first("grams").alias("grams")), "vocabulary")
+    grams = vocabulary.select("word", F.explode("grams").alias("gram"))
+    span = range(len(model.langs))
+    by_word = _meet(grams, log_probs(grams.select("gram").distinct(), model), "gram").groupBy("word").agg(
+        F.array(*[F.sum(F.col("p")[k]) for k in span]).alias("p"), F.count("*").alias("symbols"))
+    rows = in_arrow(texts, "_row bigint, word bigint, times bigint", words_in)
+    sums = _meet(rows, written(by_word, "words"), "word").groupBy("_row").agg(
+        F.array(*[F.sum(F.col("p")[k] * F.col("times")) for k in span]).alias("_sums"), F.sum(F.col("symbols") * F.col("times")).alias("_symbols"))
+    return base.join(sums, "_row", "left").drop("_row")
+
+
+def _scored(df: DataFrame, model: Model | Tables, text: str):
+    """Rows to go over, and what tells the cross-entropies and symbols of a batch of them."""
+    if isinstance(model, Model):
+        return df, lambda batch: model.entropies(batch.column(text))
+    many = len(model.langs)
+
+    def told(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        symbols = batch.column("_symbols").fill_null(0).to_numpy(zero_copy_only=False)
+        entropy = np.zeros((batch.num_rows, many))
+        entropy[symbols > 0] = -_dense(batch.column("_sums").drop_null(), many) / symbols[symbols > 0][:, None]
+        return entropy, symbols
+
+    return with_sums(df, model, text), told
+
+
+def fit(learn: DataFrame, calibrate: DataFrame, text: str = "text", lang: str = "lang") -> Model | Tables:
     """Models from all rows of ``learn``, with sharpness and limits from all rows of ``calibrate``.
 
-    Rows without text or language teach nothing. Limits are the cross-entropy that
+    Rows without text or language teach nothing. All counted runs are kept: models that fit
+    ``CELLS`` and ``RUNS`` are arrays, larger ones stay tables that distinct runs are joined to.
+    Limits are the cross-entropy that
     ``TOLERATED`` of a language's own texts stay below; sharpness is the power
     of two by which the posteriors of ``calibrate`` are likeliest.
     """
-    model = build(_bounded(written(gram_counts(learn, text, lang), "grams")))
+    counted = written(gram_counts(learn, text, lang), "grams")
+    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    runs = counted.count()
+    small = runs <= RUNS and (runs * len(langs) <= CELLS or counted.select("gram").distinct().count() * len(langs) <= CELLS)
+    model = build(_collected(counted)) if small else tables(counted, langs)
     rows = calibrate.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    if not langs:
+        return model
+    rows, told = _scored(rows, model, "text")
+    number = {x: k for k, x in enumerate(langs)}
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        own = np.array([model.langs.index(x) if x in model.langs else -1 for x in batch.column("lang").to_pylist()], np.int64)
-        entropy, symbols = model.entropies(batch.column("text"))
+        own = np.array([number.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
+        entropy, symbols = told(batch)
         good = (own >= 0) & (symbols > 0)
         entropy, own = entropy[good], own[good]
         here = entropy[np.arange(len(own)), own] if len(own) else np.zeros(0)
@@ -269,8 +387,6 @@ def fit(learn: DataFrame, calibrate: DataFrame, text: str = "text", lang: str =
         yield pa.RecordBatch.from_arrays(
             [pa.array(own), pa.array(here), *[pa.array(c) for c in cost]], ["own", "entropy", *[f"cost{k}" for k in range(len(cost))]])
 
-    if not model.langs:
-        return model
     costs = ", ".join(f"cost{k} double" for k in range(len(SHARPNESS)))
     scored = in_arrow(rows, f"own bigint, entropy double, {costs}", run)
     by_lang = scored.groupBy("own").agg(
@@ -291,35 +407,37 @@ def _cost(entropy: np.ndarray, own: np.ndarray, sharpness: float) -> np.ndarray:
     return np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(own)), own]
 
 
-def identified(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def identified(df: DataFrame, model: Model | Tables, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred``, ``score`` (calibrated posterior, 0 to 1), ``entropy`` and ``rejected``; columns of these names are replaced.
 
     The language with the lowest cross-entropy a symbol wins, the first in
     alphabetical order among equals. Texts that are null or have no letter are
     ``und`` with score 0 and no entropy, and rejected; others keep their
     language and are marked ``rejected`` where the entropy is above the language's limit. Without
-    a learned language every text is ``und``. Rows stay as they are, no shuffle.
+    a learned language every text is ``und``. Rows stay as they are; only a model
+    of tables takes shuffles.
     """
     added = ["lang_pred", "score", "entropy", "rejected"]
     kept = [c for c in df.columns if c not in added]
     base = df.select(*[f"`{c}`" for c in kept])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "lang_pred string, score double, entropy double, rejected boolean"])
+    langs, sharpness, limits = model.langs, model.sharpness, np.array(model.limits or [np.inf] * len(model.langs))
+    base, told = _scored(base, model, text) if langs else (base, None)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         pred, score, best, far = np.full(n, "und", object), np.zeros(n), np.full(n, np.nan), np.ones(n, bool)
-        if model.langs and n:
-            entropy, symbols = model.entropies(batch.column(kept.index(text)))
+        if langs and n:
+            entropy, symbols = told(batch)
             has = np.flatnonzero(symbols > 0)
             win = entropy[has].argmin(axis=1)
             least = entropy[has, win]
-            weight = np.exp(-model.sharpness * (entropy[has] - least[:, None]))
-            pred[has] = np.array(model.langs, object)[win]
+            weight = np.exp(-sharpness * (entropy[has] - least[:, None]))
+            pred[has] = np.array(langs, object)[win]
             score[has] = 1 / weight.sum(axis=1)
             best[has] = least
-            limits = np.array(model.limits or [np.inf] * len(model.langs))
             far[has] = least > limits[win]
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(best, from_pandas=True), pa.array(far)], [*kept, *added])
+            [*batch.columns[:len(kept)], pa.array(pred, pa.string()), pa.array(score), pa.array(best, from_pandas=True), pa.array(far)], [*kept, *added])
 
     return in_arrow(base, schema, run)

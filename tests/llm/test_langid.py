@@ -83,6 +83,40 @@ def test_odd_rows(spark):
     assert langid.identified(df.limit(0), m).count() == 0
 
 
+def random_texts(seed, langs=3, n=40):
+    rng = np.random.default_rng(seed)
+    letters = [list("abcdefghijklmnop"), list("efghijklmnopqrst"), list("ijklmnopqrstuvwé")]
+    rows = [(d, " ".join("".join(rng.choice(letters[d % langs], rng.integers(1, 8))) for _ in range(60)), f"l{d % langs}") for d in range(n)]
+    return rows + [(None, "tara 12 !! tara", "l1"), (90, None, "l0"), (91, "", "l0"), (92, "12 !", "l0"), (93, "tara tara", None), (94, rows[0][1], "l0")]
+
+
+def test_all_runs_are_kept_at_any_size(spark, monkeypatch):
+    spark = prepared(spark)
+    df = spark.createDataFrame(random_texts(1), "doc_id bigint, text string, lang string").repartition(3)
+    whole = langid.fit(df, df)
+    want = langid.identified(df, whole).collect()
+    for name, value in (("CELLS", 50), ("GRAMS", 30), ("RUNS", 30), ("COMMON", 7)):
+        monkeypatch.setattr(langid, name, value, raising=False)
+    model = langid.fit(df, df)
+    assert model.sharpness == whole.sharpness and np.allclose(model.limits, whole.limits, atol=1e-4)
+    got = langid.identified(df, model).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert a[:4] == b[:4] and a["rejected"] == b["rejected"] and abs(a["score"] - b["score"]) < 1e-3
+        assert a["entropy"] == b["entropy"] or abs(a["entropy"] - b["entropy"]) < 1e-4
+
+
+def test_no_cap_on_the_runs_of_a_language(spark):
+    rng = np.random.default_rng(2)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows = [(" ".join("".join(w) for w in letters[rng.integers(0, 26, (3_000, 8))]), "l") for _ in range(12)]
+    df = prepared(spark).createDataFrame(rows, "text string, lang string")
+    want = langid.gram_counts(df).count()
+    assert want > 200_000
+    assert len(langid.fit(df, df.limit(1)).grams[-1][0]) == want + 1
+
+
 def test_nothing_to_learn_from(spark):
     df = prepared(spark).createDataFrame([(None, "aa"), ("x", None)], "text string, lang string")
     m = langid.fit(df, df)
