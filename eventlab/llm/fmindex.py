@@ -17,6 +17,12 @@ ANCHOR = 6
 SHARD_WORDS = 100_000
 # Different pieces of one anchor beyond which its windows go by their own hash instead of into one shard.
 HOT_PIECES = 2_000
+# And their words: with shards of whole anchors below this, no shard is much larger than SHARD_WORDS.
+HOT_WORDS = 50_000
+# Windows of a part that pieces of hot anchors are cut into; parts overlap, so that each window is in one.
+PART_WINDOWS = 1_000
+# Words of the parts that one Arrow batch holds, about.
+BATCH_WORDS = 500_000
 
 
 class WaveletMatrix:
@@ -186,27 +192,40 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - count, count) + np.repeat(first, count)
 
 
-def _contents(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    """The words (as hashes) of the pieces that a document's row lists."""
+def _contents(batch: pa.RecordBatch, size: int, part: int) -> Iterator[pa.RecordBatch]:
+    """The words (as hashes) of the pieces that a document's row lists; hot ones in parts of ``part`` windows."""
     docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
     lists = batch.column("pieces")
+    out: dict[str, list] = {k: [] for k in ("shard", "hot", "doc_id", "start", "n", "words")}
+    held = 0
+
+    def done() -> pa.RecordBatch:
+        arrays = [pa.array(out[k], t) for k, t in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+        for column in out.values():
+            column.clear()
+        return pa.RecordBatch.from_arrays(arrays, list(out))
+
     for i, j, words in words_of(batch.column("text")):
-        out: dict[str, list] = {k: [] for k in ("shard", "hot", "doc_id", "start", "n", "words")}
         for r in range(i, j):
             raw = words.hash[words.first[r - i]:words.first[r - i + 1]]
             for p in lists[r].as_py():
                 a, n = p["start"], p["n"]
                 if a + n + size - 1 > len(raw):
                     continue  # of another row with this id
-                out["shard"].append(p["shard"])
-                out["hot"].append(p["hot"])
-                out["doc_id"].append(int(docs[r]))
-                out["start"].append(a)
-                out["n"].append(n)
-                out["words"].append(raw[a:a + n + size - 1].tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out["shard"], pa.int64()), pa.array(out["hot"], pa.bool_()), pa.array(out["doc_id"], pa.int64()),
-             pa.array(out["start"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["words"], pa.binary())], list(out))
+                for at in range(a, a + n, part if p["hot"] else n):
+                    many = min(part, a + n - at) if p["hot"] else n
+                    out["shard"].append(p["shard"])
+                    out["hot"].append(p["hot"])
+                    out["doc_id"].append(int(docs[r]))
+                    out["start"].append(at)
+                    out["n"].append(many)
+                    out["words"].append(raw[at:at + many + size - 1].tobytes())
+                    held += many + size - 1
+                    if held >= BATCH_WORDS:
+                        yield done()
+                        held = 0
+    if held:
+        yield done()
 
 
 def _merged(doc: np.ndarray, first: np.ndarray, size: int):
@@ -258,8 +277,9 @@ def repeated(df: DataFrame, size: int = 20, text: str = "text", doc_id: str = "d
     first. Equal pieces fold to their first; later ones are repeats as a
     whole. Only anchors with several different pieces go on, to shards of
     about ``SHARD_WORDS`` words, each with an FM-index that its pieces are
-    streamed against. Windows of anchors with very many different pieces go by
-    the hash of the whole window instead, so no shard grows with a hot passage.
+    streamed against. Windows of anchors with very many different pieces, or more
+    than ``HOT_WORDS`` words in them, go by the hash of the whole window instead, cut into
+    parts of bounded length, so no shard grows with a hot passage or a long stretch.
     """
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
     counted = in_arrow(docs.select("text"), "anchor bigint, n bigint", lambda b: _anchors(b, size))
@@ -276,17 +296,19 @@ def repeated(df: DataFrame, size: int = 20, text: str = "text", doc_id: str = "d
         .where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
         .select("doc_id", F.col("start").alias("from"), (F.col("start") + F.col("n") + size - 1).alias("to"))
     )
-    several = firsts.groupBy("anchor").agg(F.count("*").alias("different"), F.max("inside").alias("any")).where("different > 1 OR any")
+    several = firsts.groupBy("anchor").agg(
+        F.count("*").alias("different"), F.sum(F.col("n") + size - 1).alias("words"), F.max("inside").alias("any")).where("different > 1 OR any")
     known = written(firsts.join(several, "anchor").select(
         "anchor", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "n",
-        (F.col("different") > HOT_PIECES).alias("hot")), "searched")
+        ((F.col("different") > HOT_PIECES) | (F.col("words") > HOT_WORDS)).alias("hot")), "searched")
+    part = PART_WINDOWS
     total = known.agg(F.sum(F.col("n") + size)).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
     by_doc = known.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("doc_id").agg(
         F.collect_list(F.struct("shard", "hot", "start", "n")).alias("pieces"))
     contents = written(in_arrow(
         docs.join(by_doc, "doc_id"), "shard bigint, hot boolean, doc_id bigint, start bigint, n bigint, words binary",
-        lambda b: _contents(b, size)), "contents")
+        lambda b: _contents(b, size, part)), "contents")
     searched = (
         contents.where("NOT hot").groupBy("shard")
         .applyInArrow(lambda t: _search(t, size), "doc_id bigint, from bigint, to bigint")

@@ -53,6 +53,27 @@ def test_matches_brute_force(spark, monkeypatch, seed, hot):
     assert sorted(map(tuple, got.collect())) == brute(rows, 20)
 
 
+def test_long_stretches_stay_out_of_shards(spark, monkeypatch):
+    real, rng = fmindex._search, random.Random(6)
+
+    def bounded(table, size):
+        words = sum(len(w) // 8 for w in table["words"].to_pylist())
+        assert words <= 2_000, words
+        return real(table, size)
+
+    monkeypatch.setattr(fmindex, "_search", bounded)
+    monkeypatch.setattr(fmindex, "SHARD_WORDS", 300)
+    monkeypatch.setattr(fmindex, "HOT_WORDS", 400, raising=False)
+    monkeypatch.setattr(fmindex, "PART_WINDOWS", 64, raising=False)
+    words = [f"w{k}" for k in range(30)]
+    line = " ".join(words[:7]) + " "
+    rows = [(d, " ".join(rng.choice(words) for _ in range(15)) + " " + line * rng.randint(20, 60) + " ".join(rng.choice(words) for _ in range(15))) for d in range(20)]
+    rows.append((50, "x y z " * 2_000))
+    df = prepared(spark).createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = fmindex.without(df, fmindex.repeated(df))
+    assert sorted(map(tuple, got.collect())) == brute(rows, 20)
+
+
 def test_repeated_rows_and_ids(spark):
     rows = passages(4)
     spark = prepared(spark)
