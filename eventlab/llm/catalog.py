@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, crf, fmindex, langid, mincut, pieces, rules, sketch, toxicity, warc
+from . import containment, crf, fim, fmindex, langid, lines, mincut, pieces, rules, sketch, spelling, toxicity, warc
 from .common import held_out, prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,3 +241,68 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = warc.with_payload(found, bodies)
     flat = F.array_join(F.transform("headers", lambda h: F.concat_ws(": ", h["name"], h["value"])), "\n")
     return done.select("record_id", "url_key", "outcome", "response_id", flat.alias("headers"), "body_md5", F.col("body_chars").cast("long").alias("body_chars"))
+
+
+def slipped(runs: DataFrame, one_in: int = 199) -> DataFrame:
+    """(word) of (doc_id, run): where the crc32 of ``doc_id:run`` is a multiple of ``one_in``, one of the run's code points is missing.
+
+    A null id counts as an empty one.
+    """
+    draw = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
+    at = runs.select("run", draw.alias("h"))
+    gap = F.expr("CAST(h % char_length(run) AS INT)")
+    short = F.concat(F.substring("run", F.lit(1), gap), F.substring("run", gap + 2, F.char_length("run")))
+    return at.select(F.when(F.col("h") % one_in == 0, short).otherwise(F.col("run")).alias("word"))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of the documents with the word it may be a misspelling of; crc32 is not in DuckDB's SQL."""
+    runs = spelling.runs_of(table(spark, sf_dir, "documents"))
+    return spelling.variants(spelling.counted(slipped(runs), "word"))
+
+
+_KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LINES_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, i, ls[i] AS line FROM d, unnest(range(1, len(ls) + 1)) AS u(i)),
+k AS (SELECT *, {_KEY} AS k FROM l),
+often AS (
+  SELECT k, max(doc_id) AS last FROM (SELECT DISTINCT r, doc_id, k FROM k WHERE length(k) >= 20 AND doc_id IS NOT NULL)
+  GROUP BY k HAVING count(*) >= 3),
+judged AS (SELECT k.*, coalesce(doc_id < last, false) AS dropped FROM k LEFT JOIN often USING (k))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY r, doc_id"""
+
+
+@query("op12_lines", LINES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its lines that three documents or more hold, but for the last of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = lines.LineIndex(spark).insert(docs).without(docs)
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+_GROUPS = ", ".join(f"('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+_JOIN = lambda a, b: f"array_to_string(u[{a} + 1:{b}], '')"
+MIDDLE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, {_GROUPS} FROM documents),
+n AS (SELECT *, len(u)::BIGINT AS n FROM d),
+cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n),
+parts AS (SELECT *, {_JOIN("0", "a")} AS prefix, {_JOIN("a", "b")} AS middle, {_JOIN("b", "n")} AS suffix FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts"""
+
+
+@query("op13_fill_middle", MIDDLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a middle of whole lines put last, and what is rebuilt from that."""
+    made = fim.restored(fim.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"), units="lines", seed=7, rate=100, spm=50))
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256).alias(f"{c}_sha256")
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", sha("output"), sha("restored"))
