@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from ..functions.draw import u
 from ..operators.flows import flow_messages
 from ..operators.routing import FailurePolicy
+from ..operators.sessions import sessions
 from ..operators.synth import inject_duplicates
 from ..session import scratch_path
 from ..sources.tables import read_messages, write_messages
 from ..streaming import monitors as mon
-from ..streaming.flow_state import prompt_flow_status, stream_flow_status
+from ..streaming.flow_state import open_flow_status, open_prompt_flow_status, prompt_flow_status, stream_flow_status
 from ..streaming.sinks import drain, stream_route
 from ..streaming.sources import stream_messages
+from ..streaming.tails import drained
 from .base import ADDRESSED, MSGS, SEED, addressed, as_messages, messages, processed, processed_sql, query, table, u_sql
 from .flows import CHECKOUT, FLOW_SQL
 from .stats import COPIES
@@ -41,7 +43,7 @@ def r1(spark, sf):
     return drain(mon.stream_topic_stats(message_stream(spark, sf)), "topic-stats", "complete")
 
 
-# Drained in complete mode, so windows that are open when the input ends are part of the result.
+# Closed windows come from the stream, those that are open when the input ends from its state.
 @query("r2_throughput", f"""
     WITH {MSGS}, w AS (
       SELECT topic, epoch_us(ts) // 3600000000 AS slot, count(*) AS messages, sum(strlen(value))::BIGINT AS bytes
@@ -49,8 +51,23 @@ def r1(spark, sf):
     SELECT topic, slot * 3600000000 AS "start", (slot + 1) * 3600000000 AS "end", messages, bytes
     FROM w""")
 def r2(spark, sf):
-    out = drain(mon.stream_throughput(message_stream(spark, sf), "1 hour", "10 minutes"), "throughput", "complete")
-    return out.select("topic", micros("start"), micros("end"), "messages", "bytes")
+    return throughput(spark, sf).select("topic", micros("start"), micros("end"), "messages", "bytes")
+
+
+def throughput(spark, sf):
+    done = drained(mon.stream_throughput(message_stream(spark, sf), "1 hour", "10 minutes"), "throughput")
+    return done.whole(mon.open_throughput(spark, done.checkpoint))
+
+
+@query("r2_open_windows", f"""
+    WITH {MSGS}, w AS (
+      SELECT topic, epoch_us(ts) // 3600000000 AS slot, count(*) AS messages, sum(strlen(value))::BIGINT AS bytes
+      FROM msgs GROUP BY ALL)
+    SELECT topic, slot * 3600000000 AS "start", (slot + 1) * 3600000000 AS "end", messages, bytes,
+           (slot + 1) * 3600000 <= (SELECT max(epoch_us(ts)) // 1000 - 600000 FROM msgs) AS closed
+    FROM w""")
+def r2_open(spark, sf):
+    return throughput(spark, sf).select("topic", micros("start"), micros("end"), "messages", "bytes", "closed")
 
 
 RETRY = FailurePolicy(failure_rate=0.3, on_failure="retry", max_retries=2)
@@ -66,7 +83,8 @@ RETRY = FailurePolicy(failure_rate=0.3, on_failure="retry", max_retries=2)
     FROM w""")
 def r3(spark, sf):
     routed = processed(message_stream(spark, sf), RETRY, 1)
-    out = drain(mon.stream_failure_rate(routed, "24 hours", "6 hours", "10 minutes"), "failure-rate", "complete")
+    done = drained(mon.stream_failure_rate(routed, "24 hours", "6 hours", "10 minutes"), "failure-rate")
+    out = done.whole(mon.open_failure_rate(spark, done.checkpoint))
     return out.select("topic", "group_id", micros("start"), micros("end"), "messages", "failed", "failure_rate")
 
 
@@ -82,14 +100,15 @@ SESSIONS = f"""{MSGS}, g AS (
 @query("r4_sessions", f"""
     WITH {SESSIONS} SELECT * FROM sessions""")
 def r4(spark, sf):
-    out = drain(mon.stream_sessions(message_stream(spark, sf), "4 hours", "10 minutes"), "sessions", "complete")
+    done = drained(mon.stream_sessions(message_stream(spark, sf), "4 hours", "10 minutes"), "sessions")
+    out = done.whole(mon.open_sessions(spark, done.checkpoint))
     return out.select("key", micros("start"), micros("end"), "messages")
 
 
 @query("r4_sessions_batch", f"WITH {SESSIONS} SELECT * FROM sessions")
 def r4_batch(spark, sf):
-    out = mon.stream_sessions(messages(spark, sf), "4 hours", "10 minutes")
-    return out.select("key", micros("start"), micros("end"), "messages")
+    out = sessions(messages(spark, sf), ["key"], 4 * 3600)
+    return out.select("key", F.col("start_micros").alias("start"), F.col("end_micros").alias("end"), "messages")
 
 
 @query("r5_dedup", f"""
@@ -107,8 +126,7 @@ def r5(spark, sf):
       SELECT *, epoch_us(ts) AS us, {u_sql("'consumed'", 'row_index')} * 7 AS wait FROM addressed)
     SELECT topic, "partition", "offset", us AS ts,
            CASE WHEN wait >= 2 THEN us + 2000000 * floor(wait)::BIGINT END AS consumed_at, wait < 2 AS lagging
-    FROM p
-    WHERE wait >= 2 OR us // 1000 + 30000 < (SELECT max(us) // 1000 - 60000 FROM p WHERE wait >= 1)""")
+    FROM p""")
 def r6(spark, sf):
     # Offsets need the whole table, so the addressed messages are written first and streamed from there.
     path = scratch_path(spark, "addressed")
@@ -119,7 +137,8 @@ def r6(spark, sf):
     consumed = read_messages(spark, path, streaming=True).where(wait >= 1).withColumn(
         "ts", F.col("ts") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
     )
-    out = drain(mon.stream_lag(produced, consumed, "30 seconds", "60 seconds"), "lag")
+    done = drained(mon.stream_lag(produced, consumed, "30 seconds", "60 seconds"), "lag")
+    out = done.whole(mon.open_lag(done))
     return out.select("topic", "partition", "offset", micros("ts"), micros("consumed_at"), "lagging")
 
 
@@ -143,15 +162,16 @@ LOSSY = f"""{FLOW_SQL}, kept AS (
     WITH {LOSSY}
     SELECT correlation_id, status, seen, missing FROM status""")
 def r7(spark, sf):
-    return drain(stream_flow_status(lossy_flows(spark, sf), CHECKOUT, "60 seconds", "1 minute"), "flow-status", "complete")
+    done = drained(stream_flow_status(lossy_flows(spark, sf), CHECKOUT, "60 seconds", "1 minute"), "flow-status")
+    return done.whole(open_flow_status(spark, done.checkpoint, CHECKOUT)).drop("closed")
 
 
 @query("r7_flow_status_prompt", f"""
     WITH {LOSSY}
-    SELECT correlation_id, status, seen, missing FROM status
-    WHERE status = 'complete' OR first + 60000 < (SELECT max(ms) - 60000 FROM kept)""")
+    SELECT correlation_id, status, seen, missing FROM status""")
 def r7_prompt(spark, sf):
-    return drain(prompt_flow_status(lossy_flows(spark, sf), CHECKOUT, 60, "1 minute"), "flow-prompt")
+    done = drained(prompt_flow_status(lossy_flows(spark, sf), CHECKOUT, 60, "1 minute"), "flow-prompt")
+    return done.whole(open_prompt_flow_status(spark, done.checkpoint, CHECKOUT)).drop("closed")
 
 
 DLQ = FailurePolicy(failure_rate=0.15, on_failure="dlq")

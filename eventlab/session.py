@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Sessions merge per task before their shuffle, so all rows of a hot key do not meet in one task.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # State lies outside the JVM's heap, and processors with timers need this store.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.fields import epoch_micros
 from ..operators.flows import Flow
 from .monitors import event_time
+from .tails import state_of
 
 OUTPUT = "correlation_id STRING, status STRING, seen BIGINT, missing STRING"
 
-# State of one open flow: the steps seen, as the bits of a hexadecimal number, and the time it gives up.
-STATE = "bits STRING, deadline BIGINT"
+# State of one flow: the steps seen, as the bits of a hexadecimal number, and the time it gives up (milliseconds).
+STATE_NAME, STATE = "flow", "bits STRING, deadline BIGINT"
 
 # Steps of one BIGINT in the folded session state; a flow takes as many as it needs.
 WORD = 62
@@ -27,70 +31,98 @@ def stream_flow_status(msgs: DataFrame, flow: Flow, timeout: str, late: str) ->
     flow, too, is reported only when its session closes; where that is too late
     use ``prompt_flow_status``.
     """
-    steps = len(flow.steps)
-    words = -(-steps // WORD)
     bit = F.expr(f"shiftleft(1L, CAST(step % {WORD} AS INT))")
-    sessions = event_time(msgs, late).groupBy("correlation_id", F.session_window("ts", timeout)).agg(*[
-        F.bit_or(F.when(F.floor(F.col("step") / WORD) == w, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"_w{w}") for w in range(words)
-    ])
-    numbers = F.array(*[F.lit(s) for s in range(steps)])
-    held = F.array(*[F.col(f"_w{w}") for w in range(words)])
+    return _flow_rows(event_time(msgs, late).groupBy("correlation_id", F.session_window("ts", timeout)).agg(*[
+        F.bit_or(F.when(F.floor(F.col("step") / WORD) == w, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"_w{w}") for w in range(_words(flow))
+    ]), flow)
+
+
+def _words(flow: Flow) -> int:
+    return -(-len(flow.steps) // WORD)
+
+
+def _flow_rows(sessions: DataFrame, flow: Flow) -> DataFrame:
+    numbers = F.array(*[F.lit(s) for s in range(len(flow.steps))])
+    held = F.array(*[F.col(f"_w{w}") for w in range(_words(flow))])
     missing = F.filter(numbers, lambda s: F.getbit(F.get(held, F.floor(s / WORD).cast("int")), s % WORD) == 0)
     return sessions.select(
         "correlation_id",
         F.when(F.size(missing) == 0, "complete").otherwise("expired").alias("status"),
-        sum((F.bit_count(f"_w{w}") for w in range(words)), F.lit(0)).cast("bigint").alias("seen"),
+        sum((F.bit_count(f"_w{w}") for w in range(_words(flow))), F.lit(0)).cast("bigint").alias("seen"),
         F.array_join(missing.cast("array<string>"), ",").alias("missing"),
     )
 
 
+def open_flow_status(spark: SparkSession, checkpoint: str, flow: Flow) -> DataFrame:
+    """Rows of ``stream_flow_status`` for instances that may still get messages, as if they got none."""
+    words = ", ".join(f"_w{w}: bigint" for w in range(_words(flow)))
+    rows = state_of(spark, checkpoint, f"_id: string, session_window: struct<start: timestamp, end: timestamp>, {words}")
+    return _flow_rows(rows, flow)
+
+
 def prompt_flow_status(msgs: DataFrame, flow: Flow, timeout_seconds: int, late: str) -> DataFrame:
     """One row per flow instance: complete in the batch that completes it, else expired.
 
-    An instance expires ``timeout_seconds`` after its first message. Runs a
-    Python function per id and batch; messages reach it as three narrow columns.
+    An instance expires ``timeout_seconds`` after its first message. One value of state and
+    one timer per instance; messages reach Python as three narrow columns. Needs the state store that ``configure`` sets.
     """
     slim = event_time(msgs, late).select(
         "correlation_id", "ts", "step",
         F.floor(epoch_micros(F.col("ts")) / F.lit(1000)).alias("at"),
     )
-    return slim.groupBy("correlation_id").applyInPandasWithState(
-        _tracker(len(flow.steps), timeout_seconds * 1000), OUTPUT, STATE, "append", "EventTimeTimeout"
-    )
+    return slim.groupBy("correlation_id").transformWithState(
+        FlowTracker(len(flow.steps), timeout_seconds * 1000), OUTPUT, "append", "eventTime")
+
+
+def open_prompt_flow_status(spark: SparkSession, checkpoint: str, flow: Flow) -> DataFrame:
+    """Rows of ``prompt_flow_status`` for instances that have neither completed nor run out of time, as expired ones."""
+    state = state_of(spark, checkpoint, "bits: string, deadline: bigint", stateVarName=STATE_NAME)
+    # Four steps a digit, the lowest at the end.
+    steps = F.array(*[F.lit(s) for s in range(len(flow.steps))])
+    digit = lambda s: F.conv(F.substring(F.reverse("bits"), F.floor(s / 4).cast("int") + 1, F.lit(1)), 16, 10).cast("int")
+    missing = F.filter(steps, lambda s: F.coalesce(F.getbit(digit(s), s % 4), F.lit(0)) == 0)
+    # The key of such state is its grouping column, by any name.
+    rows = state.withColumnRenamed(state.columns[0], "correlation_id").withColumn("_missing", missing)
+    return rows.where(F.size("_missing") > 0).select(
+        "correlation_id", F.lit("expired").alias("status"), (len(flow.steps) - F.size("_missing")).cast("bigint").alias("seen"),
+        F.array_join(F.col("_missing").cast("array<string>"), ",").alias("missing"))
+
 
+class FlowTracker(StatefulProcessor):
+    """Steps seen of each flow instance, until its time is up."""
 
-def _tracker(steps: int, timeout_millis: int):
-    import pandas as pd
+    def __init__(self, steps: int, timeout_millis: int):
+        self.steps, self.timeout, self.all = steps, timeout_millis, (1 << steps) - 1
 
-    whole = (1 << steps) - 1
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.flow = handle.getValueState(STATE_NAME, STATE)
 
-    def report(key, status: str, bits: int):
-        missing = ",".join(str(s) for s in range(steps) if not bits >> s & 1)
-        return pd.DataFrame({
-            "correlation_id": [key[0]], "status": [status],
-            "seen": [bits.bit_count()], "missing": [missing],
-        })
+    def _row(self, key, status: str, bits: int) -> Row:
+        missing = ",".join(str(s) for s in range(self.steps) if not bits >> s & 1)
+        return Row(correlation_id=key[0], status=status, seen=bits.bit_count(), missing=missing)
 
-    def track(key, batches, state):
-        if state.hasTimedOut:
-            bits = int(state.get[0], 16)
-            state.remove()
-            if bits != whole:
-                yield report(key, "expired", bits)
-            return
-        before, deadline = (int(state.get[0], 16), state.get[1]) if state.exists else (0, None)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.flow.get()
+        before = int(held[0], 16) if held else 0
         bits, first = before, None
-        for pdf in batches:
-            for step in pdf["step"].unique():
-                bits |= 1 << int(step)
-            low = int(pdf["at"].min())
-            first = low if first is None else min(first, low)
-        if deadline is None:
-            deadline = first + timeout_millis
-        # A complete flow stays known until its deadline, so repeats are ignored.
-        state.update((f"{bits:x}", deadline))
-        state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-        if bits == whole and before != whole:
-            yield report(key, "complete", bits)
-
-    return track
+        for row in rows:
+            bits |= 1 << row["step"]
+            first = row["at"] if first is None else min(first, row["at"])
+        if held is None or bits != before:
+            # A complete flow stays known until its deadline, so repeats are ignored.
+            deadline = held[1] if held else first + self.timeout
+            self.flow.update((f"{bits:x}", deadline))
+            if held is None:
+                self.handle.registerTimer(max(deadline, timerValues.getCurrentWatermarkInMs() + 1))
+        if bits == self.all and before != self.all:
+            yield self._row(key, "complete", bits)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        bits = int(self.flow.get()[0], 16)
+        self.flow.clear()
+        if bits != self.all:
+            yield self._row(key, "expired", bits)
+
+    def close(self) -> None:
+        pass

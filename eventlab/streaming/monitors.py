@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.routing import value_size
+from .tails import Drained, state_of
 
 
 def event_time(msgs: DataFrame, late: str) -> DataFrame:
@@ -28,39 +29,59 @@ def stream_topic_stats(msgs: DataFrame) -> DataFrame:
 
 
 def stream_throughput(msgs: DataFrame, width: str, late: str) -> DataFrame:
-    """Messages and bytes per topic and tumbling window; rows later than ``late`` are dropped."""
-    return (
+    """Messages and bytes per topic and tumbling window; in append mode rows later than ``late`` are dropped."""
+    return _throughput(
         event_time(msgs, late)
         .groupBy("topic", F.window("ts", width))
         .agg(F.count(F.lit(1)).alias("messages"), F.sum(value_size(F.col("value"))).alias("bytes"))
-        .select("topic", F.col("window.start").alias("start"), F.col("window.end").alias("end"),
-                "messages", "bytes")
     )
 
 
+def _throughput(windows: DataFrame) -> DataFrame:
+    return windows.select("topic", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "messages", "bytes")
+
+
+def open_throughput(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Rows of ``stream_throughput`` whose windows are still open."""
+    return _throughput(state_of(spark, checkpoint, "messages: bigint, bytes: bigint"))
+
+
 def stream_failure_rate(processed: DataFrame, width: str, slide: str, late: str) -> DataFrame:
     """Share of failed messages per group and sliding window."""
-    per_window = event_time(processed, late).groupBy(
+    return _failure_rate(event_time(processed, late).groupBy(
         "topic", "group_id", F.window("ts", width, slide)
     ).agg(
         F.count(F.lit(1)).alias("messages"),
         F.count_if(F.col("failures") > 0).alias("failed"),
-    )
-    return per_window.select(
+    ))
+
+
+def _failure_rate(windows: DataFrame) -> DataFrame:
+    return windows.select(
         "topic", "group_id", F.col("window.start").alias("start"), F.col("window.end").alias("end"),
         "messages", "failed", F.round(F.col("failed") / F.col("messages"), 6).alias("failure_rate"),
     )
 
 
+def open_failure_rate(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Rows of ``stream_failure_rate`` whose windows are still open."""
+    return _failure_rate(state_of(spark, checkpoint, "messages: bigint, failed: bigint"))
+
+
 def stream_sessions(msgs: DataFrame, gap: str, late: str) -> DataFrame:
-    """Activity per key, split where nothing arrives for ``gap``."""
-    return (
-        event_time(msgs, late)
-        .groupBy("key", F.session_window("ts", gap))
-        .agg(F.count(F.lit(1)).alias("messages"))
-        .select("key", F.col("session_window.start").alias("start"),
-                F.col("session_window.end").alias("end"), "messages")
-    )
+    """Activity per key, split where nothing arrives for ``gap``. Tables take ``operators.sessions`` instead."""
+    return _sessions(event_time(msgs, late).groupBy("key", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("messages")))
+
+
+def _sessions(folded: DataFrame) -> DataFrame:
+    return folded.select(
+        "key", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "messages")
+
+
+def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Rows of ``stream_sessions`` whose sessions may still grow."""
+    window = "struct<start: timestamp, end: timestamp>"
+    return _sessions(state_of(spark, checkpoint, f"_key: string, session_window: {window}, messages: bigint"))
 
 
 def stream_dedup(msgs: DataFrame, late: str, salts: int = 8, idx: str = "row_index") -> DataFrame:
@@ -103,6 +124,18 @@ def stream_lag(produced: DataFrame, consumed: DataFrame, within: str, late: str)
     )
 
 
+def open_lag(done: Drained) -> DataFrame:
+    """Rows of ``stream_lag`` for messages that still wait: no consumption came, and one in time still could.
+
+    The join keeps a message until the watermark has passed its bound, matched
+    or not; those matched are in the output already.
+    """
+    waiting = state_of(done.closed.sparkSession, done.checkpoint, "topic: string, partition: int, offset: bigint, ts: timestamp", joinSide="left")
+    address = ["topic", "partition", "offset"]
+    return waiting.join(done.closed.select(*address), address, "left_anti").select(
+        *address, "ts", F.lit(None).cast("timestamp").alias("consumed_at"), F.lit(True).alias("lagging"))
+
+
 class ProgressTotals(StreamingQueryListener):
     """Adds up the progress of every batch of the queries that run while it is attached.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.routing import FailurePolicy, dlq_envelope, process
 from ..session import scratch_path
+from .tails import drained
 
 
 def stream_route(
@@ -41,22 +42,23 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
 
     Results go to files in the shared folder, never through the driver. In
     append mode windows, sessions and matches that are still open at the end of the input
-    stay out, as they do on a stream that goes on. In complete mode each batch overwrites the
-    table, and what is open at the end is part of it: for aggregates
-    (windows and sessions too) that is the whole result.
+    stay out, as they do on a stream that goes on; ``tails`` reads them. Complete mode is for running totals,
+    whose groups are few and never end: each batch writes its own folder and the last one counts, so a batch
+    that is lost leaves the one before it.
     """
-    spark = stream.sparkSession
-    path, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True
-    )
     if mode == "append":
-        query = writer.format("parquet").option("path", path).start()
-    elif mode == "complete":
-        query = writer.foreachBatch(
-            lambda batch, _: batch.write.mode("overwrite").parquet(path)
-        ).start()
-    else:
+        return drained(stream, label).closed
+    if mode != "complete":
         raise ValueError("mode must be 'append' or 'complete'")
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    spark, done = stream.sparkSession, []
+    path, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        done[:] = [batch_id]
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).foreachBatch(write).start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch={done[0]}")
