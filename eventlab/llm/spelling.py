@@ -35,7 +35,7 @@ def rotations(words: DataFrame) -> DataFrame:
     ``first`` marks a letter that does not follow an equal one, as inserting any letter of
     a run of equal ones gives the same word. 2 L + 1 rows for a word of L letters.
     """
-    at = words.where((F.char_length("word") > 0) & (F.instr("word", END) == 0)).select(
+    at = words.where(F.instr("word", END) == 0).select(
         "word", "n", F.explode(F.sequence(F.lit(0), F.char_length("word"))).alias("i"))
     turned = lambda drop: F.concat(F.expr("substring(word, i + 1)"), F.lit(END), F.expr(f"substring(word, 1, i - {drop})"))
     whole = F.struct(turned(0).alias("prefix"), F.lit(None).cast("string").alias("skipped"), F.lit(False).alias("first"))
