@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame
 from .common import in_arrow
 
 MARK = "▁"  # stands for a space in a vocabulary
-# Longer stretches without a place to cut go through a heap, one at a time.
-LOCKSTEP = 64
-# Stretches whose ids a task remembers; it starts afresh when they are more.
+# Longer stretches without a place to cut have an agenda of their own, a heap.
+LONG = 64
+# Stretches whose ids a task remembers in each of two generations; the older one goes when the younger is full.
 REMEMBERED = 250_000
-_NONE = np.int64(1 << 40)
+# Stretches whose agendas are worked off side by side.
+SIDE_BY_SIDE = 20_000
+_NONE = np.int64(1 << 62)
 
 
 class Vocabulary:
@@ -45,7 +47,6 @@ class Vocabulary:
         self.symbol = np.arange(0x110000, dtype=np.int64) + size
         for c, i in self.chars.items():
             self.symbol[ord(c)] = i
-        self.number = list(range(size))  # one object for each id
         # The order of merges: higher score first; equal scores share a place, the leftmost goes first.
         scores = np.array([lib.get_score(i) for i in range(size)])
         order = np.unique(-scores, return_inverse=True)[1]
@@ -58,12 +59,25 @@ class Vocabulary:
                     right.append(b)
                     made.append(i)
         keys = np.array(left, np.int64) * size + np.array(right, np.int64)
-        sort = np.argsort(keys)
-        self.keys = keys[sort]
-        self.made = np.array(made, np.int64)[sort]
-        self.rank = order[self.made].astype(np.int64)
-        self.merge = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist())))
-        self.known: dict[str, np.ndarray] = {}
+        made = np.array(made, np.int64)
+        rank = order[made].astype(np.int64)
+        self.merge = dict(zip(keys.tolist(), zip(rank.tolist(), made.tolist())))
+        # The merges as a table with open addressing, at most a quarter full.
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.slot_key = np.full(1 << self.bits, -1, np.int64)
+        self.slot_rank = np.full(1 << self.bits, _NONE)
+        self.slot_made = np.zeros(1 << self.bits, np.int64)
+        left_over, at = np.arange(len(keys)), self._slot(keys)
+        while len(left_over):
+            free = np.flatnonzero(self.slot_key[at] == -1)
+            free = free[np.unique(at[free], return_index=True)[1]]
+            put = left_over[free]
+            self.slot_key[at[free]], self.slot_rank[at[free]], self.slot_made[at[free]] = keys[put], rank[put], made[put]
+            stay = np.ones(len(at), bool)
+            stay[free] = False
+            left_over, at = left_over[stay], (at[stay] + 1) & ((1 << self.bits) - 1)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def stretches(self, text: str) -> list[str]:
         """The text with marks, cut before each mark that follows another character; without the mark in front."""
@@ -82,53 +96,59 @@ class Vocabulary:
             out.append(MARK * (marks - 1))
         return out
 
-    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the order of merges (or none) and outcome of adjacent symbols."""
-        key = np.where((left < self.size) & (right < self.size), left * self.size + right, -1)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return np.where(hit, self.rank[at], _NONE), self.made[at]
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def _lockstep(self, stretches: list[str]) -> list[list[int]]:
-        """Symbols of many short stretches: each round merges the best pair of each, leftmost first."""
+    def _pairs(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Agenda entry (place in the order of merges, then place ``at`` in the text; or none) and outcome of adjacent symbols."""
+        key = np.where((left < self.size) & (right < self.size), left * self.size + right, -2)
+        slot = self._slot(key)
+        held = self.slot_key[slot]
+        further = np.flatnonzero((held != key) & (held != -1) & (key != -2))
+        while len(further):
+            slot[further] = (slot[further] + 1) & (len(self.slot_key) - 1)
+            held[further] = self.slot_key[slot[further]]
+            further = further[(held[further] != key[further]) & (held[further] != -1)]
+        return np.where(held == key, self.slot_rank[slot] << 32 | at, _NONE), self.slot_made[slot]
+
+    def _agendas(self, stretches: list[str]) -> list[bytes]:
+        """Piece ids (as 32-bit integers) of many short stretches, best sorted by length.
+
+        Each stretch has an agenda of its adjacent pairs, ordered by score and
+        then from the left; in each round the first entry of every agenda is taken off, its
+        pair becomes one symbol, and the pairs with its new neighbours are entered.
+        Symbols are linked lists in flat arrays, with one more that is no symbol behind the ends.
+        """
         sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
-        sym = self.symbol[np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)]
-        out: list = [None] * len(stretches)
-        ids = np.arange(len(stretches))
-        rank = np.full(len(sym), _NONE)
-        made = np.zeros(len(sym), np.int64)
-        rank[:-1], made[:-1] = self._pairs(sym[:-1], sym[1:])
+        sym = np.append(self.symbol[np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)], self.size)
+        n = len(sym) - 1
         first = np.cumsum(sizes) - sizes
-        rank[first + sizes - 1] = _NONE  # no pair crosses an end
-        while len(ids):
-            best = np.minimum.reduceat(rank, first)
-            done = best == _NONE
-            if done.any():
-                for k in np.flatnonzero(done):
-                    out[ids[k]] = sym[first[k]:first[k] + sizes[k]].tolist()
-                stay = np.repeat(~done, sizes)
-                sym, rank, made = sym[stay], rank[stay], made[stay]
-                ids, sizes, best = ids[~done], sizes[~done], best[~done]
-                first = np.cumsum(sizes) - sizes
-                if not len(ids):
-                    break
-            owner = np.repeat(np.arange(len(ids)), sizes)
-            at = np.flatnonzero(rank == best[owner])
-            at = at[np.unique(owner[at], return_index=True)[1]]
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[first + sizes - 1] = before[first] = after[n] = before[n] = n
+        agenda, made = self._pairs(sym, sym[after], np.arange(n + 1))
+        low, begins = 0, first
+        while True:
+            best = np.minimum.reduceat(agenda[low:n], begins - low)
+            going = best != _NONE
+            if not going.any():
+                break
+            done = int(going.argmax())  # short stretches are through first
+            begins, low = begins[done:], int(begins[done])
+            at = best[going] & 0xFFFFFFFF
+            gone = after[at]
             sym[at] = made[at]
-            keep = np.ones(len(sym), bool)
-            keep[at + 1] = False
-            sizes = sizes - 1
-            at_new = at - np.arange(len(at))  # one symbol went in each stretch before
-            sym, rank, made = sym[keep], rank[keep], made[keep]
-            first = np.cumsum(sizes) - sizes
-            last = np.zeros(len(sym), bool)
-            last[first + sizes - 1] = True
-            after = np.minimum(at_new + 1, len(sym) - 1)
-            rank[at_new], made[at_new] = self._pairs(sym[at_new], sym[after])
-            has = at_new[at_new > first]
-            rank[has - 1], made[has - 1] = self._pairs(sym[has - 1], sym[has])
-            rank[last] = _NONE
+            sym[gone], agenda[gone] = -1, _NONE
+            right, left = after[gone], before[at]
+            after[at], before[right] = right, at
+            agenda[at], made[at] = self._pairs(sym[at], sym[right], at)
+            agenda[left], made[left] = self._pairs(sym[left], sym[at], left)
+        live = sym[:n] >= 0
+        ends = np.cumsum(np.add.reduceat(live, first))
+        flat = sym[:n][live]
+        ids, ends = flat.astype(np.int32).tobytes(), ends.tolist()
+        out = [ids[4 * a:4 * b] for a, b in zip([0, *ends], ends)]
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero(flat >= self.size), "right")).tolist():
+            out[k] = self._final(np.frombuffer(out[k], np.int32).tolist())
         return out
 
     def _agenda(self, stretch: str) -> list[int]:
@@ -159,35 +179,34 @@ class Vocabulary:
                 offer(before[i], i)
         return [s for s, live in zip(sym, alive) if live]
 
-    def _final(self, symbols: list[int]) -> list[int]:
+    def _final(self, symbols: list[int]) -> bytes:
         """Piece ids of symbols: characters that are no piece become bytes."""
-        number, size = self.number, self.size
-        if max(symbols) < size:
-            return [number[s] for s in symbols]
         out: list[int] = []
         for s in symbols:
-            if s < size:
-                out.append(number[s])
+            if s < self.size:
+                out.append(s)
             else:
-                out.extend(self.byte[b] for b in chr(s - size).encode())
-        return out
+                out.extend(self.byte[b] for b in chr(s - self.size).encode())
+        return np.array(out, np.int32).tobytes()
 
     def learn(self, stretches: set[str], check: bool) -> None:
-        """Encode stretches not met before; ``check`` holds them against the library."""
-        new = [s for s in stretches if s not in self.known]
+        """See that ``known`` has all of these stretches; ``check`` holds new ones against the library."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = [s for s in stretches if s not in known]
+        if older:
+            known.update((s, older[s]) for s in new if s in older)
+            new = [s for s in new if s not in older]
         if not new:
             return
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list(stretches)
-        short = [MARK + s for s in new if len(s) < LOCKSTEP]
-        for at in range(0, len(short), 10_000):
-            some = short[at:at + 10_000]
-            for s, symbols in zip(some, self._lockstep(some)):
-                self.known[s[1:]] = self._final(symbols)
-        for s in new:
-            if len(s) >= LOCKSTEP:
-                self.known[s] = self._final(self._agenda(MARK + s))
+        new.sort(key=len)
+        short = next((k for k, s in enumerate(new) if len(s) >= LONG), len(new)) if len(new[-1]) >= LONG else len(new)
+        for at in range(0, short, SIDE_BY_SIDE):
+            some = new[at:min(short, at + SIDE_BY_SIDE)]
+            known.update(zip(some, self._agendas([MARK + s for s in some])))
+        for s in new[short:]:
+            known[s] = self._final(self._agenda(MARK + s))
         if check:
             self.compare(new)
 
@@ -196,26 +215,25 @@ class Vocabulary:
 
         Stretches of marks alone would run into the next one; they are left to the tests.
         """
-        texts, want, at = [], [], 0
-        while at < len(stretches):
-            upto, chars = at, 0
-            while upto < len(stretches) and chars < 2_000:
-                chars += len(stretches[upto]) + 1
-                upto += 1
-            some = [s for s in stretches[at:upto] if s.strip(MARK)]
-            texts.append(" ".join(some).replace(MARK, " "))
-            want.append([i for s in some for i in self.known[s]])
-            at = upto
-        for text, ids, told in zip(texts, want, self.library.encode(texts, num_threads=1)):
-            if ids != told:
-                raise ValueError(f"the agenda and the library differ on {text[:200]!r}")
+        some = [s for s in stretches if s.strip(MARK)]
+        ends = np.cumsum([len(s) + 1 for s in some]) // 2_000
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(some)]
+        parts = [some[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
+        known = self.known
+        for part, told in zip(parts, self.library.encode([" ".join(p).replace(MARK, " ") for p in parts], num_threads=1)):
+            if b"".join([known[s] for s in part]) != np.array(told, np.int32).tobytes():
+                raise ValueError(f"the agenda and the library differ on {' '.join(part)[:200]!r}")
 
     def encode(self, texts: list[str], check: bool = True) -> list[list[int]]:
         """Piece ids of each text."""
+        return [np.frombuffer(x, np.int32).tolist() for x in self.packed(texts, check)]
+
+    def packed(self, texts: list[str], check: bool = True) -> list[bytes]:
+        """Piece ids of each text, as 32-bit integers."""
         cut = [self.stretches(t) for t in texts]
         self.learn(set().union(*cut), check)
         known = self.known
-        return [[i for s in c for i in known[s]] for c in cut]
+        return [b"".join([known[s] for s in c]) for c in cut]
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -237,8 +255,8 @@ def encoded(df: DataFrame, path: str, text: str = "text", check: bool = True, wi
     Rows stay as they are, repeated ones too; a text of any length is encoded
     whole. ``path`` is a vocabulary file that every executor has.
 
-    Each Arrow batch is cut into stretches; those it has not met go through
-    the agenda, and through the library as a check. No shuffle, and what a
+    Each Arrow batch is cut into stretches; those a task does not remember go through
+    agendas, short ones side by side, and through the library as a check. No shuffle, and what a
     task remembers is bounded.
     """
     added = (["ids array<int>"] if with_ids else []) + ["n_tokens bigint", "ids_sha256 string", "decoded string"]
@@ -259,18 +277,19 @@ def encoded(df: DataFrame, path: str, text: str = "text", check: bool = True, wi
             while upto < len(texts) and (upto == at or chars + len(texts[upto]) <= 2_000_000):
                 chars += len(texts[upto])
                 upto += 1
-            some = vocab.encode(texts[at:upto], check)
+            packed = [np.frombuffer(x, np.int32) for x in vocab.packed(texts[at:upto], check)]
+            some = [x.tolist() for x in packed]
             plain += vocab.library.decode(some)
             sizes += map(len, some)
             hashes += [hashlib.sha256(str(x)[1:-1].replace(" ", "").encode()).hexdigest() for x in some]
             if with_ids:
-                ids += [pa.array(x, pa.int32()) for x in some]
+                ids += packed
             at = upto
         columns = list(batch.columns)
         if with_ids:
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = pa.concat_arrays(ids) if ids else pa.array([], pa.int32())
-            columns.append(pa.ListArray.from_arrays(pa.array(ends), flat))
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
         columns += [pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(plain, pa.string())]
         yield pa.RecordBatch.from_arrays(columns, [*kept, *(a.split()[0] for a in added)])
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from eventlab.llm import catalog, pieces
@@ -21,25 +22,37 @@ def test_same_ids_as_the_library(vocab):
     rng = random.Random(3)
     made = ["".join(rng.choice("aehinorst  .,\n▁éß1") for _ in range(rng.randint(1, 300))) for _ in range(400)]
     for check in (True, False):
-        vocab.known = {}
+        vocab.known, vocab.older = {}, {}
         assert vocab.encode(ODD + made, check) == vocab.library.encode(ODD + made)
 
 
 def test_both_ways_agree(vocab):
     rng = random.Random(4)
-    words = [pieces.MARK + "".join(rng.choice("aehinorstl") for _ in range(rng.randint(1, 60))) for _ in range(500)]
-    assert vocab._lockstep(words) == [vocab._agenda(w) for w in words]
+    words = [pieces.MARK + "".join(rng.choice("aehinorstl漢") for _ in range(rng.randint(1, 60))) for _ in range(500)] + [pieces.MARK]
+    assert vocab._agendas(words) == [vocab._final(vocab._agenda(w)) for w in words]
+    words.sort(key=len)
+    assert vocab._agendas(words) == [vocab._final(vocab._agenda(w)) for w in words]
+
+
+def test_every_merge_is_found(vocab):
+    keys = np.array(list(vocab.merge), np.int64)
+    entry, made = vocab._pairs(keys // vocab.size, keys % vocab.size, np.arange(len(keys)))
+    assert [(int(e) >> 32, int(m)) for e, m in zip(entry, made)] == list(vocab.merge.values())
+    left, right = np.random.default_rng(1).integers(0, vocab.size + 9, (2, 50_000))
+    entry, _ = vocab._pairs(left, right, left)
+    known = [int(a) * vocab.size + int(b) in vocab.merge and a < vocab.size and b < vocab.size for a, b in zip(left, right)]
+    assert ((entry != pieces._NONE) == known).all()
 
 
 def test_memory_is_bounded(vocab, monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED", 50)
     texts = [f"word{k} and{k % 7}" for k in range(200)]
     assert [i for t in texts for i in vocab.encode([t])[0]] == [i for x in vocab.library.encode(texts) for i in x]
-    assert len(vocab.known) <= 52
+    assert len(vocab.known) <= 52 and len(vocab.older) <= 52
 
 
 def test_a_difference_is_not_passed_over(vocab, monkeypatch):
-    monkeypatch.setattr(pieces.Vocabulary, "_final", lambda self, symbols: [5])
+    monkeypatch.setattr(pieces.Vocabulary, "_agendas", lambda self, stretches: [bytes([5, 0, 0, 0])] * len(stretches))
     fresh = pieces.Vocabulary(catalog.piece_file())
     with pytest.raises(ValueError, match="differ"):
         fresh.encode(["some words"])
