@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -19,25 +18,39 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset(
-    "script style noscript template head title svg iframe object canvas audio video select option button textarea datalist map".split()
-)
+UNSEEN = frozenset("script style noscript template head title svg iframe select option button textarea".split())
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
+# Of these the page goes on where they are not ended, or where a tag stands that cannot be inside.
+SOFT = frozenset("title iframe noscript".split())
+PAGE = frozenset("html head body article main".split())
+IN_HEAD = frozenset("html head title base link meta script style noscript template".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 # Words of classes, ids and roles that tell a block's part on many sites.
-FOREIGN = re.compile(
-    r"navig|menu|sidebar|side bar|footer|masthead|banner|cookie|consent|gdpr|notice|advert|sponsor|promo|popup|modal|overlay|newsletter|subscri|"
-    r"sign ?up|log ?in|search|breadcrumb|paginat|pager|share|social|related|recommend|read ?more|widget|toolbar|copyright|disclaimer|complementary|"
-    r"\b(nav|ad|ads|adv|advs|header|top ?bar|skip|alert|legal|outbrain|taboola|dfp)\b"
-)
-REMARKS = re.compile(r"comment|disqus|replies|\breply\b|respond|discussion|guestbook")
+_FOREIGN = (
+    "nav navi navigation menu sidebar footer masthead banner cookie consent gdpr notice advert advertisement advertising ad adv sponsor sponsored "
+    "promo promotion popup modal overlay newsletter subscribe subscription subscriber signup login search breadcrumb paginate pagination paginator pager "
+    "share sharing social related recommend recommended recommendation readmore widget toolbar topbar copyright disclaimer complementary header skip alert legal "
+    "outbrain taboola dfp"
+).split()
+_REMARKS = "comment disqus reply replies respond discussion guestbook".split()
+
+
+def _words(names: list[str], more: str = "") -> re.Pattern:
+    """Whole words, alone or with what often stands before or behind them without a gap; not what is free of them."""
+    front = "top|main|site|sub|side|left|right|page|mobile|mega|google|text|post|article|user|reader"
+    behind = "s|es|bar|box|list|links?|form|field|wrap|wrapper|area|block|buttons?|container|unit|slot|left|right|section|thread|body|meta"
+    return re.compile(rf"\b(?:(?:{front})?(?:{'|'.join(names)})(?:{behind})?{more})\b(?! free\b)")
+
+
+FOREIGN = _words(_FOREIGN, "|side bar|sign up|log in|read more|top bar")
+REMARKS = _words(_REMARKS)
 OWN = re.compile(r"article|\bmain\b|content|\bpost\b|\bentry\b|story|\bprose\b|body text")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[-_\d]+")
 _NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _HIDING = re.compile(r"hidden|style", re.I)
 _NO_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*none(?![\w-])", re.I)
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?:"[^"]*"|'[^']*')?)*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 
 # Blocks whose part is known, to train the classifier from: (where it stands, tag, characters, share of them
 # in links, ends like a sentence, the page marks its own text elsewhere, own text).
@@ -98,6 +111,22 @@ def _hidden(attrs: str) -> bool:
     return "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(named.get("style", "")))
 
 
+def _tokens(html: str) -> Iterator[tuple[str, str, bool, str, int]]:
+    """(text, tag, whether it ends, attributes, place behind it) in order; text has no tag.
+
+    Behind the last ``>`` there is no tag to look for, so that part is text, up to a comment.
+    """
+    last, token = html.rfind(">") + 1, None
+    for token in _TOKEN.finditer(html, 0, last):
+        name, s = token[2] or token[5], token[0]
+        if name is not None:
+            yield "", name.lower(), (token[1] or token[4]) == "/", token[3] or token[6] or "", token.end()
+        elif s[0] != "<" or s == "<":
+            yield s, "", False, "", token.end()
+    if last < len(html) and (token is None or not token[0].startswith("<!--") or token[0].endswith("-->")):
+        yield html[last:len(html) if (at := html.find("<!--", last)) < 0 else at], "", False, "", len(html)
+
+
 def blocks(html: str) -> list[tuple]:
     """(text, tag, where, share of characters in links, number of the parent) of each block of a page, in order."""
     out: list[tuple] = []
@@ -108,6 +137,8 @@ def blocks(html: str) -> list[tuple]:
     linked = 0
     number = 0
     skip = ""
+    ended: dict[str, int] = {}  # where the next end tag of a soft element is, as far as looked for
+    small = ""
 
     def flush() -> None:
         nonlocal linked
@@ -126,21 +157,23 @@ def blocks(html: str) -> list[tuple]:
             if top[0] == tag:
                 break
 
-    for token in _TOKEN.finditer(html):
-        name = token[2] or token[5]
-        if name is None:
-            s = token[0]
-            if s[0] != "<" or s == "<":
-                if not skip and not stack[-1][2]:
-                    text.append(s)
-                    if stack[-1][3]:
-                        linked += len(s.strip())
+    for s, tag, end, attrs, behind in _tokens(html):
+        if not tag:
+            if skip:
+                continue
+            if stack[-1][0] == "head" and s.strip():
+                close("head")
+            if not stack[-1][2]:
+                text.append(s)
+                if stack[-1][3]:
+                    linked += len(s.strip())
             continue
-        tag, end = name.lower(), (token[1] or token[4]) == "/"
         if skip:  # inside script and the like only its own end counts
             if end and tag == skip:
                 skip = ""
-            continue
+            if end and tag not in PAGE or not (skip in SOFT and (tag in PAGE or tag == skip)):
+                continue
+            skip = ""
         if end:
             if tag in BLOCKS:
                 flush()
@@ -150,6 +183,10 @@ def blocks(html: str) -> list[tuple]:
         if tag == "br":
             text.append(" ")
             continue
+        if opened.get("head") and tag not in IN_HEAD:
+            close("head")
+        if tag == "a" and stack[-1][0] == "a":
+            close("a")
         if tag in BLOCKS:
             flush()
             if opened.get("p"):
@@ -160,9 +197,12 @@ def blocks(html: str) -> list[tuple]:
         if tag in VOID:
             continue
         if tag in RAW:
-            skip = tag
+            if tag in SOFT and 0 <= ended.get(tag, 0) < behind:
+                small = small or html.lower()
+                ended[tag] = small.find(f"</{tag}", behind)
+            if ended.get(tag, 0) >= 0:
+                skip = tag
             continue
-        attrs = token[3] or token[6] or ""
         _, where, unseen, link, block = stack[-1]
         if tag in ("article", "main"):
             where += "a"
@@ -197,8 +237,8 @@ def cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
 
     ``gain`` is a node's capacity from the source less that to the sink (what both share flows
     straight through). Edges have one capacity both ways. Flow goes over single edges
-    first, then along augmenting paths, shortest first, from any node with something left to
-    give to any that can take.
+    first, then in phases: levels by distance from nodes with something left to give, and from
+    each of them depth first along rising levels to nodes that can take, where no arc is tried twice.
     """
     n = len(gain)
     left = list(gain)
@@ -218,28 +258,48 @@ def cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
                 near[i][j] -= flow
                 near[j][i] += flow
     while True:
-        from_: dict[int, int] = {i: -1 for i in range(n) if left[i] > tiny}
-        queue, goal = deque(from_), -1
-        while queue and goal < 0:
-            i = queue.popleft()
-            for j, c in near[i].items():
-                if c > tiny and j not in from_:
-                    from_[j] = i
-                    if left[j] < -tiny:
-                        goal = j
-                        break
-                    queue.append(j)
-        if goal < 0:
-            return [i in from_ for i in range(n)]
-        path = [goal]
-        while from_[path[-1]] >= 0:
-            path.append(from_[path[-1]])
-        flow = min(left[path[-1]], -left[goal], *(near[path[k + 1]][path[k]] for k in range(len(path) - 1)))
-        left[path[-1]] -= flow
-        left[goal] += flow
-        for k in range(len(path) - 1):
-            near[path[k + 1]][path[k]] -= flow
-            near[path[k]][path[k + 1]] += flow
+        level = {i: 0 for i in range(n) if left[i] > tiny}
+        givers, front, met = list(level), list(level), False
+        while front and not met:
+            further = []
+            for i in front:
+                for j, c in near[i].items():
+                    if c > tiny and j not in level:
+                        level[j] = level[i] + 1
+                        further.append(j)
+                        met = met or left[j] < -tiny
+            front = further
+        if not met:
+            return [i in level for i in range(n)]
+        arcs: dict[int, list[int]] = {}  # those of a node that are not used up, the one in use last
+        for giver in givers:
+            path = [giver]
+            while left[giver] > tiny:
+                i = path[-1]
+                if left[i] < -tiny:
+                    flow = min(left[giver], -left[i], *(near[a][b] for a, b in zip(path, path[1:])))
+                    left[giver] -= flow
+                    left[i] += flow
+                    full = len(path)
+                    for k in range(len(path) - 2, -1, -1):
+                        a, b = path[k], path[k + 1]
+                        near[a][b] -= flow
+                        near[b][a] += flow
+                        if near[a][b] <= tiny:
+                            full = k + 1
+                    del path[full:]
+                    continue
+                if i not in arcs:
+                    arcs[i] = [j for j in near[i] if level.get(j) == level[i] + 1]
+                while arcs[i] and near[i][arcs[i][-1]] <= tiny:
+                    arcs[i].pop()
+                if arcs[i]:
+                    path.append(arcs[i][-1])
+                    continue
+                path.pop()
+                if not path:
+                    break
+                arcs[path[-1]].pop()
 
 
 def main_blocks(html: str, weights: list[float]) -> list[str]:
