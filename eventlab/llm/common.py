@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,9 +19,11 @@ BATCH_ROWS = 1_000
 CHUNK_BYTES = 1_000_000
 
 _MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(20240101).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+# The low bytes of eight, by their number; bytes of a word beyond which a digest is taken.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LONG = 256
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -55,12 +58,41 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def runs_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of ``values[start:end]`` for each pair; equal runs get equal hashes."""
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(_BASE, len(values)), out=total[1:])
-    length = (ends - starts).astype(np.uint64)
-    return mixed((total[ends] - total[starts]) * powers(_BASE_INV, len(values) + 1)[starts] + length)
+def runs_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of ``values[start:end]`` for each pair; equal runs get equal hashes, those of different seeds are independent.
+
+    Hashes of all runs of 1, 2, 4, ... values are made from two halves each,
+    mixed at every step so that no arrangement of values cancels out; a run is then the one at its start,
+    the one at its end (they may overlap) and its length.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    length = (ends - starts).astype(np.int64)
+    level, width = mixed(values ^ mixed(np.array([seed + 1], np.uint64))), 1
+    while True:
+        now = np.flatnonzero((length >= width) & (length < 2 * width))
+        if len(now):
+            out[now] = mixed(mixed(level[starts[now]] * _ODD + length[now].astype(np.uint64)) * _ODD + level[ends[now] - width])
+        if not (length >= 2 * width).any():
+            return out
+        level = mixed(level[:len(level) - width] * _ODD + level[width:])
+        width *= 2
+
+
+def bytes_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of ``data[start:end]`` (bytes) for each pair, eight bytes after eight; of long ones by a digest."""
+    length = ends - starts
+    out = mixed(length.astype(np.uint64) + np.uint64(1))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    live = np.flatnonzero(length <= _LONG)
+    at, rest = starts[live], length[live]
+    while len(live):
+        out[live] = mixed(out[live] * _ODD ^ (eight[at] & _KEEP[np.minimum(rest, 8)]))
+        more = rest > 8
+        live, at, rest = live[more], at[more] + 8, rest[more] - 8
+    for i in np.flatnonzero(length > _LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 class Words:
@@ -82,13 +114,27 @@ class Words:
         ends[:-1] &= ~solid[1:] | edge[1:-1]
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
-        self.hash = runs_hash(_BYTES[data], self.start, self.end)
+        self.hash = bytes_hash(data, self.start, self.end)
         self.first = np.searchsorted(self.start, offsets)
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
     def __len__(self) -> int:
         return len(self.start)
 
+    def digests(self) -> list[bytes]:
+        """128 bits of the words of each text, in order: a digest of the words with one space in front of each."""
+        solid = ~SPACE[self.data]
+        edge = np.zeros(len(self.data) + 1, np.int64)
+        edge[self.start] = 1
+        at = np.flatnonzero(solid)
+        flat = np.full(len(at) + len(self.start), 32, np.uint8)
+        flat[np.arange(len(at)) + np.cumsum(edge[:-1])[at]] = self.data[at]
+        raw = flat.tobytes()
+        # Letters and words before each text tell where it starts.
+        letters = np.concatenate([[0], np.cumsum(solid)])[self.offsets]
+        cuts = (letters + self.first).tolist()
+        return [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(cuts, cuts[1:])]
+
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and starting word of every run of k words inside one text."""
         n = len(self) - k + 1

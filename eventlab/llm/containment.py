@@ -26,6 +26,7 @@ class Block:
 
     items: list[int | None]
     sets: list[np.ndarray]
+    texts: list[str]
     classes: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]
 
 
@@ -44,7 +45,12 @@ def _item_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def index(items: list[int | None], sets: list[np.ndarray]) -> Block:
+def _shingles(text: bytes, k: int) -> set[tuple[bytes, ...]]:
+    words = text.lower().split()
+    return {tuple(words[i:i + k]) for i in range(len(words) - k + 1)}
+
+
+def index(items: list[int | None], sets: list[np.ndarray], texts: list[str]) -> Block:
     """Items dealt into classes by size (powers of two), each item with a signature of HASHES least products."""
     factors = _factors()
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -58,7 +64,7 @@ def index(items: list[int | None], sets: list[np.ndarray]) -> Block:
             order = np.argsort(signature[:, h], kind="stable")
             bands.append((signature[order, h], which[order]))
         classes.append((int(most), bands))
-    return Block(items, sets, classes)
+    return Block(items, sets, texts, classes)
 
 
 def found_in(column: pa.Array, block: Block, percent: int, k: int) -> np.ndarray:
@@ -104,7 +110,8 @@ def found_in(column: pa.Array, block: Block, percent: int, k: int) -> np.ndarray
                     candidates.append(np.unique(np.repeat(owner[hit], many) * n + item[places]))
         if not candidates:
             continue
-        known, whole = -1, np.zeros(0, np.uint64)
+        known, whole, data = -1, np.zeros(0, np.uint64), words.data
+        read, exact = -1, set()
         for pair in np.unique(np.concatenate(candidates)).tolist():
             r, w = divmod(pair, n)
             if r != known:
@@ -113,7 +120,12 @@ def found_in(column: pa.Array, block: Block, percent: int, k: int) -> np.ndarray
             place = np.minimum(np.searchsorted(whole, own), len(whole) - 1)
             shared = int((whole[place] == own).sum())
             if 100 * shared >= percent * len(own):
-                out.append((i + r, w, shared, len(own)))
+                # Equal hashes find it; equal words decide.
+                if r != read:
+                    read, exact = r, _shingles(data[words.offsets[r]:words.offsets[r + 1]].tobytes(), k)
+                item = _shingles(block.texts[w].encode(), k)
+                if 100 * len(item & exact) >= percent * len(item):
+                    out.append((i + r, w, len(item & exact), len(item)))
     return np.array(out, np.int64).reshape(-1, 4)
 
 
@@ -126,7 +138,7 @@ def blocks(benchmark: DataFrame, k: int = WORDS, text: str = "text", item_id: st
         some = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == b).toArrow().combine_chunks()
         if some.num_rows:
             column = some["text"].chunk(0) if some["text"].num_chunks else pa.array([], pa.string())
-            yield index(some["item_id"].to_pylist(), _item_sets(column.cast(pa.string()), k))
+            yield index(some["item_id"].to_pylist(), _item_sets(column.cast(pa.string()), k), column.to_pylist())
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, percent: int = PERCENT, k: int = WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -175,15 +175,15 @@ def _anchors(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
 
 
 def _located(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch: document, first word, windows, anchor, hash of the words, may repeat inside."""
+    """Pieces of a batch: document, first word, windows, anchor, 128 bits of the words, may repeat inside."""
     doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
     for i, _, words in words_of(batch.column("text")):
         start, count, anchor, inside = _pieces(words, size)
         row = words.row[start]
         yield pa.RecordBatch.from_arrays(
             [pa.array(doc[i + row], pa.int64()), pa.array((start - words.first[row]).astype(np.int64)), pa.array(count.astype(np.int64)),
-             signed(anchor), signed(runs_hash(words.hash, start, start + count + size - 1)), pa.array(inside)],
-            ["doc_id", "start", "n", "anchor", "content", "inside"])
+             signed(anchor), *(signed(runs_hash(words.hash, start, start + count + size - 1, seed)) for seed in (0, 1)), pa.array(inside)],
+            ["doc_id", "start", "n", "anchor", "content", "content_b", "inside"])
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -285,14 +285,15 @@ def repeated(df: DataFrame, size: int = 20, text: str = "text", doc_id: str = "d
     counted = in_arrow(docs.select("text"), "anchor bigint, n bigint", lambda b: _anchors(b, size))
     anchors = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     anchors = written(anchors, "anchors")
-    where = "doc_id bigint, start bigint, n bigint, anchor bigint, content bigint, inside boolean"
+    where = "doc_id bigint, start bigint, n bigint, anchor bigint, content bigint, content_b bigint, inside boolean"
     pieces = in_arrow(docs, where, lambda b: _located(b, size)).join(anchors, "anchor", "left_semi")
     pieces = written(pieces, "pieces")
     # The first of equal pieces.
-    firsts = written(pieces.groupBy("anchor", "content").agg(
+    same = ["anchor", "content", "content_b"]
+    firsts = written(pieces.groupBy(*same).agg(
         F.min(F.struct("doc_id", "start")).alias("first"), F.max("n").alias("n"), F.max("inside").alias("inside")), "firsts")
     later = (
-        pieces.join(firsts.select("anchor", "content", "first"), ["anchor", "content"])
+        pieces.join(firsts.select(*same, "first"), same)
         .where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
         .select("doc_id", F.col("start").alias("from"), (F.col("start") + F.col("n") + size - 1).alias("to"))
     )
@@ -326,13 +327,13 @@ def _by_window(contents: DataFrame, size: int) -> DataFrame:
         length = n + size - 1
         at = _ranges(np.cumsum(length) - length, n)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(doc, n)), pa.array(_ranges(start, n)), signed(runs_hash(raw, at, at + size))],
-            ["doc_id", "start", "window"])
+            [pa.array(np.repeat(doc, n)), pa.array(_ranges(start, n)), *(signed(runs_hash(raw, at, at + size, seed)) for seed in (0, 1))],
+            ["doc_id", "start", "window", "window_b"])
 
-    windows = in_arrow(contents.select("doc_id", "start", "n", "words"), "doc_id bigint, start bigint, window bigint", cut)
-    first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    windows = in_arrow(contents.select("doc_id", "start", "n", "words"), "doc_id bigint, start bigint, window bigint, window_b bigint", cut)
+    first = windows.groupBy("window", "window_b").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     return (
-        windows.join(first, "window")
+        windows.join(first, ["window", "window_b"])
         .where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
         .select("doc_id", F.col("start").alias("from"), (F.col("start") + size).alias("to"))
     )

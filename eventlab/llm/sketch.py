@@ -75,16 +75,15 @@ def _sets(words, k: int):
 
 
 def sketches(df: DataFrame, percent: int, k: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, key, bits, bands) of (doc_id, text): two hashes of the set, packed low bits, a hash for each band."""
+    """(doc_id, n_shingles, key, bits, bands) of (doc_id, text): a digest of the words, packed low bits, a hash for each band."""
     n_bands, width = shape(percent)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id")
         for i, j, words in words_of(batch.column("text"), lower=True):
-            sizes, keys, bits, bands = [], [], [], []
+            sizes, bits, bands = [], [], []
             for members in _sets(words, k):
                 sizes.append(len(members))
-                keys.append([int(mixed(members).sum(dtype=np.uint64)) - 2**63, int(mixed(members + np.uint64(77)).sum(dtype=np.uint64)) - 2**63])
                 if len(members):
                     sketch = _rounds(members, COORDINATES)
                     bits.append(np.packbits(np.concatenate([(sketch & np.uint64(b)).astype(bool) for b in (1, 2)])).view(np.int64))
@@ -94,7 +93,7 @@ def sketches(df: DataFrame, percent: int, k: int = WORDS) -> DataFrame:
                     bits.append(np.zeros(2 * LANES, np.int64))
                     bands.append(np.zeros(0, np.int64))
             ends = np.cumsum([0] + [len(b) for b in bands]).astype(np.int32)
-            keys = np.array(keys, np.int64).reshape(-1, 2)
+            keys = np.frombuffer(b"".join(words.digests()), np.int64).reshape(-1, 2)
             bits = np.array(bits, np.int64).reshape(-1, 2 * LANES)
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
@@ -155,8 +154,8 @@ def classes(df: DataFrame, percent: int = 85, k: int = WORDS, text: str = "text"
     Ids are whole numbers, unique and not null. Repeated texts are one class;
     an empty table gives an empty one; other columns are not looked at.
 
-    Equal sets fold first, so groups of exact copies count as one. Each distinct
-    set takes part in a bucket for each band (48 of 8 coordinates at 85): at the
+    Texts of equal words (by a digest of 128 bits) fold first, so groups of exact copies count as one. Each distinct
+    text's set takes part in a bucket for each band (48 of 8 coordinates at 85): at the
     threshold the chance to share none is below 1e-6. A bucket does not emit its pairs:
     its members first meet its most central one alone (each keeps one such pair), confirmed
     pairs join into classes, and only members of different classes in a bucket
