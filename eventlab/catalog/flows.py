@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.draw import u
 from ..operators.flows import (
-    Flow, Step, correlate, flow_messages, flow_status, flow_violations, step_latency,
+    RANK_ERROR, Flow, Step, correlate, delay_counts, flow_messages, flow_status, flow_violations, latency_quantiles, latency_sketches,
+    step_latency,
 )
+from ..plans.sizing import settle
 from ..plans.spec import fields_of
 from ..sources.tables import spread
 from .base import SEED, hash_sql, pick_sql, query, table, u_sql, uuid_sql
@@ -139,6 +141,27 @@ def l5(spark, sf):
     return step_latency(disturbed(flow_table(spark, sf)), CHECKOUT)
 
 
+SHARES = {"p50": 0.5, "p95": 0.95}
+
+
+# Quantiles of merged sketches: the share of delays up to each is off by a hundredth at most.
+@query("l5_latency_sketches", f"""
+    WITH {DISTURBED}, f AS (
+      SELECT correlation_id, step, min(seen_at) AS seen_at FROM disturbed GROUP BY correlation_id, step)
+    SELECT b.step, count(*) AS n, true AS p50_close, true AS p95_close
+    FROM f b JOIN f a ON a.correlation_id = b.correlation_id AND a.step = b.step - 1 GROUP BY b.step""")
+def l5_sketches(spark, sf):
+    msgs = disturbed(flow_table(spark, sf))
+    stored = settle(latency_sketches(msgs, CHECKOUT, 30 * 86_400), "latencies")
+    found = latency_quantiles(stored, ["step"], SHARES)
+    exact = delay_counts(msgs, CHECKOUT).join(F.broadcast(found), "step")  # one row a step
+    sums = exact.groupBy("step", found["n"].alias("n")).agg(*[
+        F.sum(F.when(cond, F.col("rows")).otherwise(0)).alias(f"{name}_{side}")
+        for name in SHARES for side, cond in (("upto", F.col("gap") <= F.col(name)), ("below", F.col("gap") < F.col(name)))])
+    close = lambda name, q: ((F.col(f"{name}_upto") >= (q - RANK_ERROR) * F.col("n")) & (F.col(f"{name}_below") <= (q + RANK_ERROR) * F.col("n"))).alias(f"{name}_close")
+    return sums.select("step", "n", *[close(name, q) for name, q in SHARES.items()])
+
+
 @query("l6_correlate", """
     WITH a AS (SELECT user_id, ts, count(*) AS a_rows FROM events WHERE event_type = 'view' GROUP BY ALL),
     m AS (

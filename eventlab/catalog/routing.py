@@ -8,6 +8,8 @@ from ..functions.draw import u
 from ..operators.routing import (
     FailurePolicy, dlq_envelope, dlq_replay, filter_incidents, visible_to, with_groups,
 )
+from ..session import scratch_path
+from ..sources.tables import ADDRESS, join_buckets, write_bucketed
 from .base import ADDRESSED, MSGS, SEED, addressed, messages, processed, processed_sql, query, table, u_sql
 
 SKIP = FailurePolicy(failure_rate=0.1)
@@ -94,6 +96,20 @@ def f6(spark, sf):
     )
 
 
+# Messages and what became of them, both kept in buckets of their addresses.
+@query("c4_bucketed_replay", f"""
+    WITH {ADDRESSED}, {processed_sql(DLQ, 1, "addressed")}
+    SELECT topic, "partition", "offset", key, value, group_id, failures FROM processed WHERE status = 'dlq'""")
+def c4_bucketed(spark, sf):
+    source = addressed(spark, sf)
+    lost = processed(source, DLQ, 1).where(F.col("status") == "dlq").select(*ADDRESS, "group_id", "failures")
+    kept = []
+    for part, rows in (("messages", source), ("lost", lost)):
+        path = scratch_path(spark, f"bucketed-{part}")
+        kept.append(write_bucketed(rows, path.rsplit("/", 1)[1].replace("-", "_"), path, 8))
+    return join_buckets(*kept).select(*ADDRESS, "key", "value", "group_id", "failures")
+
+
 KINDS = ("stop_broker", "pause_consumer", "start_broker", "change_producer_rate")
 
 

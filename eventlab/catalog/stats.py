@@ -10,6 +10,7 @@ from ..operators.synth import inject_duplicates, zipf_key
 from ..functions.draw import u
 from ..functions.fields import string_col
 from ..functions.keys import partition_col
+from ..plans.sizing import settle
 from ..session import scratch_path
 from ..sources.kafka import kafka_columns
 from ..sources.tables import read_messages, spread, topic_table, write_messages
@@ -182,6 +183,16 @@ def s8(spark, sf):
     return stats.key_skew(messages(spark, sf), 10)
 
 
+HEAVY = 0.0068
+
+
+@query("s8_heavy_keys", f"""
+    WITH {MSGS}, c AS (SELECT key, count(*) AS n FROM msgs GROUP BY key)
+    SELECT key, n, round(n / (SELECT sum(n) FROM c)::DOUBLE, 6) AS share FROM c WHERE n >= {HEAVY} * (SELECT sum(n) FROM c)""")
+def s8_heavy(spark, sf):
+    return stats.heavy_keys(messages(spark, sf), HEAVY)
+
+
 def hot_messages(spark, sf):
     """Line items spread over partitions by Zipf keys."""
     lines = spread(table(spark, sf, "lineitem").select(
@@ -310,6 +321,43 @@ def s17(spark, sf):
     return report.withColumn("close", off <= 0.1).drop("approx")
 
 
+SKETCHED = ("user_id", "props")
+
+
+def sketch_table(spark, sf):
+    """Distinct sketches by topic and day, as they would be kept."""
+    events = table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"), *SKETCHED)
+    return settle(stats.distinct_sketches(events, list(SKETCHED), ["event_type", "day"]), "sketches")
+
+
+# What the merged sketches of two weeks say, against exact counts: off by five deviations at most.
+@query("s17_sketches", """
+    WITH e AS (SELECT * FROM events WHERE ts::DATE BETWEEN DATE '2024-01-08' AND DATE '2024-01-21')
+    SELECT event_type, unnest(['user_id', 'props']) AS field, count(*) AS rows,
+           unnest([count(DISTINCT user_id), count(DISTINCT props)]) AS exact, true AS close
+    FROM e GROUP BY event_type""")
+def s17_sketches(spark, sf):
+    weeks = F.col("day").between(F.lit("2024-01-08").cast("date"), F.lit("2024-01-21").cast("date"))
+    found = stats.distinct_estimates(sketch_table(spark, sf).where(weeks), ["event_type"])
+    exact = table(spark, sf, "events").withColumn("day", F.to_date("ts")).where(weeks).groupBy("event_type").agg(
+        *[F.count_distinct(c).alias(c) for c in SKETCHED]).select("event_type", F.inline(F.array(*[
+            F.struct(F.lit(c).alias("field"), F.col(c).alias("exact")) for c in SKETCHED])))
+    off = F.abs(F.col("estimate") - F.col("exact")) / F.col("exact")
+    return found.join(exact, ["event_type", "field"]).select(
+        "event_type", "field", "rows", "exact", (off <= 5 * stats.SKETCH_ERROR).alias("close"))
+
+
+_NEAR = 5 * stats.SKETCH_ERROR
+
+
+@query("s17_declared", f"""
+    WITH c AS (SELECT unnest(['user_id', 'props']) AS field, unnest([100000, 100])::BIGINT AS declared,
+                      unnest([count(DISTINCT user_id), count(DISTINCT props)]) AS n FROM events)
+    SELECT field, declared, CASE WHEN abs(n - declared) <= {_NEAR!r} * declared THEN n END AS exact, n <= declared AS within FROM c""")
+def s17_declared(spark, sf):
+    return stats.declared_check(table(spark, sf, "events"), sketch_table(spark, sf), {"user_id": 100_000, "props": 100}).drop("estimate")
+
+
 # --- set operations ----------------------------------------------------------
 
 

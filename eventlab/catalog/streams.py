@@ -182,13 +182,35 @@ DLQ = FailurePolicy(failure_rate=0.15, on_failure="dlq")
     SELECT CASE status WHEN 'ok' THEN topic ELSE topic || '-dlq' END AS topic, count(*)::BIGINT AS n
     FROM processed GROUP BY ALL""")
 def r8(spark, sf):
+    ok, dlq = routed(spark, sf)
+    done = spark.read.parquet(ok).select("topic").unionByName(spark.read.parquet(dlq).select("topic"))
+    return done.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+
+
+def routed(spark, sf):
+    """The events as a stream, routed; folders of consumed messages and dead letters."""
     ok, dlq, checkpoint = (scratch_path(spark, f"route-{part}") for part in ("ok", "dlq", "checkpoint"))
     msgs = message_stream(spark, sf).withColumn("offset", F.col("row_index")).withColumn(
         "group_id", F.concat("topic", F.lit("-group-1"))
     )
     stream_route(msgs, DLQ, ok, dlq, checkpoint, SEED, {"availableNow": True}).awaitTermination()
-    done = spark.read.parquet(ok).select("topic").unionByName(spark.read.parquet(dlq).select("topic"))
-    return done.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    return ok, dlq
+
+
+# Whole rows: consumed ones as they are, dead letters as their envelopes.
+@query("r8_route_rows", f"""
+    WITH {MSGS}, {processed_sql(DLQ, 1)}
+    SELECT topic, key, row_index AS "offset", value FROM processed WHERE status = 'ok'
+    UNION ALL
+    SELECT topic || '-dlq', NULL, NULL,
+           '{{"original_topic":"' || topic || '","original_partition":' || "partition" || ',"original_offset":' || row_index
+           || ',"error":"simulated_processing_failure","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00","payload":'
+           || to_json(value)::VARCHAR || '}}'
+    FROM processed WHERE status = 'dlq'""")
+def r8_rows(spark, sf):
+    ok, dlq = routed(spark, sf)
+    none = F.lit(None).cast("bigint").alias("offset")
+    return spark.read.parquet(ok).select("topic", "key", "offset", "value").unionByName(spark.read.parquet(dlq).select("topic", "key", none, "value"))
 
 
 # A tenth of the events arrives after all others, behind a watermark of one day.
@@ -199,6 +221,12 @@ def r8(spark, sf):
            count(*) FILTER (NOT on_time AND epoch_us(ts) <= (SELECT mark FROM w)) AS late_rows
     FROM e""")
 def r9(spark, sf):
+    totals, _, _ = in_two_parts(spark, sf, lambda msgs: mon.stream_dedup(msgs, "1 day", salts=1))
+    return spark.createDataFrame([(totals["input_rows"], totals["late_rows"])], "input_rows BIGINT, late_rows BIGINT")
+
+
+def in_two_parts(spark, sf, make):
+    """Run a stream over the events on time, then go on with those that arrive late; its totals, output and checkpoint."""
     arrivals, out, checkpoint = (scratch_path(spark, f"late-{part}") for part in ("in", "out", "checkpoint"))
     events = as_messages(table(spark, sf, "events"))
     numbered = events.withColumn("value", F.col("row_index").cast("string"))
@@ -207,16 +235,24 @@ def r9(spark, sf):
     spark.streams.addListener(totals)
     for part in (on_time, ~on_time):
         numbered.where(part).write.mode("append").parquet(arrivals)
-        arriving = read_messages(spark, arrivals, streaming=True, schema=numbered.schema)
-        query = (
-            mon.stream_dedup(arriving, "1 day", salts=1).writeStream.format("parquet").option("path", out)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        )
+        stream = make(read_messages(spark, arrivals, streaming=True, schema=numbered.schema))
+        query = stream.writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         reports.append(mon.late_report(query, totals))
     spark.streams.removeListener(totals)
-    counts = tuple(sum(r[name] for r in reports) for name in ("input_rows", "late_rows"))
-    return spark.createDataFrame([counts], "input_rows BIGINT, late_rows BIGINT")
+    return {name: sum(r[name] for r in reports) for name in reports[0]}, spark.read.schema(stream.schema).parquet(out), checkpoint
+
+
+# Rows that a windowed stream dropped: what was observed in front of it less what its windows hold.
+@query("r9_late_windows", f"""
+    WITH e AS (SELECT *, {u_sql("'arrival'", 'event_id')} >= 0.1 AS on_time FROM events),
+    w AS (SELECT max(epoch_us(ts)) // 1000 - 86400000 AS mark FROM e WHERE on_time),
+    l AS (SELECT count(*) FILTER (NOT on_time AND (epoch_us(ts) // 3600000000 + 1) * 3600000 <= (SELECT mark FROM w)) AS late_rows, count(*) AS n FROM e)
+    SELECT n AS arrived, n - late_rows AS counted, late_rows FROM l""")
+def r9_windows(spark, sf):
+    totals, closed, checkpoint = in_two_parts(spark, sf, lambda msgs: mon.stream_throughput(mon.observed(msgs), "1 hour", "1 day"))
+    return mon.dropped_rows(closed.unionByName(mon.open_throughput(spark, checkpoint)), totals)
 
 
 @query("r10_generated_stream", P5_SIZED_SQL)

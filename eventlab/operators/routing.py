@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draw import digest, draw_from
-from ..plans.sizing import BROADCAST_ROWS, join_side, settle
+from ..plans.sizing import BROADCAST_ROWS, join_side, only_keys_of, settle
 
 POLICIES = ("skip", "retry", "dlq")
 
@@ -150,21 +150,25 @@ def dlq_parse(dlq: DataFrame) -> DataFrame:
     return read.withColumn("payload", raw)
 
 
-def dlq_replay(dlq: DataFrame, source: DataFrame) -> DataFrame:
+ADDRESS = ["original_topic", "original_partition", "original_offset"]
+
+
+def dlq_replay(dlq: DataFrame, source: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Dead letters joined to the messages they came from.
 
     (topic, partition, offset) is unique in ``source``, so the join cannot skew.
     ``found`` tells whether the source row exists, ``same`` whether its bytes match.
+    Letters are few beside the source, so the source is cut down to their addresses where it is
+    read, and only messages with a letter are shuffled.
     """
+    letters = settle(dlq_parse(dlq), "letters")
     src = source.select(
         F.col("topic").alias("original_topic"),
         F.col("partition").alias("original_partition"),
         F.col("offset").alias("original_offset"),
         F.col("key"), F.col("value").cast("binary").alias("_value"), F.lit(True).alias("_here"),
     )
-    joined = dlq_parse(dlq).join(
-        src, ["original_topic", "original_partition", "original_offset"], "left"
-    )
+    joined = letters.join(only_keys_of(src, letters, ADDRESS, broadcast_rows), ADDRESS, "left")
     return (
         joined.withColumn("found", F.coalesce("_here", F.lit(False)))
         .withColumn("same", F.col("found") & F.col("payload").eqNullSafe(F.col("_value")))

@@ -13,16 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.draw import pick, u
-from ..functions.fields import Context, enum_col, field_col
+from ..functions.fields import Context, field_col
 from ..functions.keys import key_col, partition_col
 from ..functions.payloads import json_payload, json_value
 from ..plans.ordering import explode_count, number_rows
 from ..plans.sizing import BROADCAST_ROWS, join_side, settle
 from ..plans.spec import Field
 
-# On a stream, where rows cannot be put together again by their index, values for array
-# items are written into the plan, and may be so many.
-LITERAL_VALUES = 1_000
+# On a stream, where rows cannot be put together again by their index, each array item that a
+# row may have takes a join of its own, and so many may be needed.
+ITEM_JOINS = 128
 
 
 def rows(spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame:
@@ -48,15 +48,16 @@ def lookup_values(df: DataFrame, value: Column, order: str, provider: str, local
 def lookup_col(
     df: DataFrame, name: str, values: DataFrame, provider: str, locale: str = "",
     seed: int = 0, path: str | None = None, idx: str = "row_index",
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS, last: int | None = None,
 ) -> DataFrame:
     """Add ``name``: a value drawn from the rows of one provider and locale.
 
     ``values`` has provider, locale, pos (0..n-1) and value. Drawn positions are
-    uniform, so the join has no hot key however large either side is.
+    uniform, so the join has no hot key however large either side is. ``last`` is the
+    largest position, where it is known and was checked.
     """
     mine = values.where((F.col("provider") == provider) & (F.col("locale") == locale))
-    last = _last_position(mine, provider, locale)
+    last = _last_position(mine, provider, locale) if last is None else last
     text = F.col("value").cast("string").alias(name)
     side = join_side(
         mine.select(F.col("pos").alias("_pos"), text), known_rows=last + 1, limit=broadcast_rows
@@ -78,22 +79,28 @@ def _last_position(mine: DataFrame, provider: str, locale: str) -> int:
 # --- keys --------------------------------------------------------------------
 
 
+# The smallest whole-number weight of a key: shares keep to the law to one in so many.
+LEAST_WEIGHT = 1_000
+
+
 def zipf_weights(spark: SparkSession, cardinality: int, exponent: float = 1.5) -> DataFrame:
     """(rank, lo, hi, total): whole-number weight ranges, rank i weighing 1/(i+1)^s.
 
     Whole numbers add up the same in any order, so a retried task rebuilds the
     same table. The largest weight is 2^51, or less where the sum would pass
     2^62; a weight is off by less than one, so its share of the law is kept to
-    1 in 1,000 up to some 10^8 keys at exponent 1.5.
+    1 in 1,000 up to some 10^8 keys at exponent 1.5. More are an error.
     """
     # Bounds the sum of 1/i^s by its integral.
     s, c = float(exponent), float(cardinality)
     sum_bound = 1 + (math.log(c) if s == 1 else (c ** (1 - s) - 1) / (1 - s))
     scale = min(1 << 51, int((1 << 61) / sum_bound))
+    if scale / c ** s < LEAST_WEIGHT:
+        raise ValueError(f"{cardinality} keys at exponent {exponent} are too many: the rarest would no longer follow the law")
     share = F.lit(float(scale)) / F.pow(F.col("id") + F.lit(1.0), F.lit(float(exponent)))
     ranks = spark.range(cardinality).select(
         F.col("id").alias("rank"),
-        F.greatest(F.lit(1).cast("bigint"), F.floor(share).cast("bigint")).alias("w"),
+        F.floor(share).cast("bigint").alias("w"),
     )
     block = 4_096
     blocked = ranks.withColumn("b", F.floor(F.col("rank") / F.lit(block)))
@@ -167,9 +174,10 @@ def with_lookups(
     Fields outside arrays are joined, one column each. For those inside arrays
     the items of a row are listed by their paths, each draws its position and joins its value, and
     a map from path to value comes back to the row by its index, whatever the
-    number of values. (On a stream they become an array literal instead.)
+    number of values. On a stream the values of each item that the declared sizes allow are joined on as a
+    column, which keeps no state; they draw the same.
     """
-    joined, literals, listed = {}, {}, {}
+    joined, listed, items, lasts = {}, {}, {}, {}
     row = F.col(idx)
 
     def items_of(field: Field, path: Column) -> Column:
@@ -177,34 +185,46 @@ def with_lookups(
         filled = F.transform(F.sequence(F.lit(0).cast("bigint"), size - 1), lambda j: F.concat(path, F.lit("["), j.cast("string"), F.lit("]")))
         return F.when(size > 0, filled).otherwise(F.array().cast("array<string>"))
 
-    def visit(field: Field, path: str, paths: Column | None) -> None:
-        """``paths`` are those of the field in all items of a row, inside arrays."""
+    def visit(field: Field, path: str, paths: Column | None, each: list[str]) -> None:
+        """``paths`` are those of the field in all items of a row, inside arrays, ``each`` those it could have."""
         nonlocal df
+        if len(each) > ITEM_JOINS and df.isStreaming and field.type == "faker":
+            raise ValueError(f"on a stream, '{field.name}' may stand in {ITEM_JOINS} items of a row at most, not {len(each)}")
         if field.type == "faker":
             if lookups is None:
                 raise ValueError(f"field '{field.name}' needs a table of lookup values")
             key = (field.provider, field.locale or "")
+            if key not in lasts:
+                lasts[key] = _last_position(lookups.where((F.col("provider") == key[0]) & (F.col("locale") == key[1])), *key)
             if paths is not None and df.isStreaming:
-                if key not in literals:
-                    literals[key] = _few_values(lookups, *key)
+                for p in each:
+                    items[p] = f"_lookup_{prefix}item{len(items)}"
+                    df = lookup_col(df, items[p], lookups, *key, seed, p, idx, last=lasts[key])
             elif paths is not None:
                 listed.setdefault(key, []).append(paths)
             else:
                 joined[path] = f"_lookup_{prefix}{len(joined)}"
-                df = lookup_col(df, joined[path], lookups, *key, seed, path, idx)
+                df = lookup_col(df, joined[path], lookups, *key, seed, path, idx, last=lasts[key])
         for f in field.fields or ():
             end = F.lit(f".{f.name}")
-            visit(f, f"{path}.{f.name}", None if paths is None else F.transform(paths, lambda p: F.concat(p, end)))  # noqa: B023 - built at once
+            below = None if paths is None else F.transform(paths, lambda p: F.concat(p, end))  # noqa: B023 - built at once
+            visit(f, f"{path}.{f.name}", below, [f"{p}.{f.name}" for p in each])
         if field.items is not None:
             below = items_of(field, F.lit(path)) if paths is None else F.flatten(F.transform(paths, lambda p: items_of(field, p)))
-            visit(field.items, path, below)
+            if not df.isStreaming:
+                each = [path]
+            elif len(each) * field.max_items > ITEM_JOINS:
+                each = [""] * (ITEM_JOINS + 1)  # too many, if a lookup is in them
+            else:
+                each = [f"{p}[{j}]" for p in each for j in range(field.max_items)]
+            visit(field.items, path, below, each)
 
     for f in fields:
-        visit(f, prefix + f.name, None)
+        visit(f, prefix + f.name, None, [prefix + f.name])
     maps = {}
     for key, paths in listed.items():
         maps[key] = f"_lookup_{prefix}{len(joined) + len(maps)}"
-        df = _item_values(df, maps[key], F.concat(*paths), lookups, *key, seed, idx)
+        df = _item_values(df, maps[key], F.concat(*paths), lookups, *key, lasts[key], seed, idx)
 
     def lookup(field: Field, path) -> Column:
         key = (field.provider, field.locale or "")
@@ -212,15 +232,14 @@ def with_lookups(
             return F.col(f"`{joined[path]}`")
         if key in maps:
             return F.col(f"`{maps[key]}`")[path]
-        return enum_col(seed, path, row, literals[key])
+        return F.create_map(*[x for p, c in items.items() for x in (F.lit(p), F.col(f"`{c}`"))])[path]
 
     return df, lookup
 
 
-def _item_values(df: DataFrame, name: str, paths: Column, lookups: DataFrame, provider: str, locale: str, seed: int, idx: str) -> DataFrame:
+def _item_values(df: DataFrame, name: str, paths: Column, lookups: DataFrame, provider: str, locale: str, last: int, seed: int, idx: str) -> DataFrame:
     """Add a map from each path of a row's items to the value that it draws."""
     mine = lookups.where((F.col("provider") == provider) & (F.col("locale") == locale))
-    last = _last_position(mine, provider, locale)
     items = df.select(F.col(idx).alias("_row"), F.explode(paths).alias("_path"))
     drawn = items.withColumn("_pos", pick(u(seed, F.col("_path"), F.col("_row")), 0, last))
     side = join_side(mine.select(F.col("pos").alias("_pos"), F.col("value").cast("string").alias("_value")), known_rows=last + 1)
@@ -229,14 +248,6 @@ def _item_values(df: DataFrame, name: str, paths: Column, lookups: DataFrame, pr
     return df.join(found, df[idx] == found["_row"], "left").drop("_row")
 
 
-def _few_values(lookups: DataFrame, provider: str, locale: str) -> list[str]:
-    mine = lookups.where((F.col("provider") == provider) & (F.col("locale") == locale))
-    rows = mine.orderBy("pos").select(F.col("value").cast("string")).limit(LITERAL_VALUES + 1).collect()
-    if not 1 <= len(rows) <= LITERAL_VALUES:
-        raise ValueError(f"'{provider}' needs 1 to {LITERAL_VALUES} values to be used inside arrays")
-    return [r[0] for r in rows]
-
-
 def synth_table(
     df: DataFrame, fields: list[Field], seed: int = 0, idx: str = "row_index",
     ts: str | None = None, lookups: DataFrame | None = None, prefix: str = "", keep=(),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import explode_count, running_total, successor
+from .ordering import explode_count, number_rows, running_total, running_totals, successor
 from .sizing import BROADCAST_ROWS, join_side, settle
 
 
@@ -32,23 +32,17 @@ def locate(
 
     ``segments`` has ``keys``, ``seg_from``, ``seg_to`` and payload columns.
     ``how`` is left, inner, left_semi or left_anti. With ``open_ended``, the
-    last segment of a key may have a null ``seg_to`` and ends at the largest
-    position of ``rows``, which takes one more pass over that column. ``settled``
-    says that the segments are read from a stored table already.
+    last segment of a key may have a null ``seg_to`` and goes on for ever: one row of a
+    key, looked up by the key alone. ``settled`` says that the segments are read from a stored table already.
 
     The segments are broadcast where they are proven few. Otherwise both sides
     are shuffled by (keys, bucket), and the adaptive planner splits the rows of
     a bucket that holds too many of them.
     """
-    placed = rows.withColumn("_pos", position.cast("bigint"))
-    closed = segments
     if open_ended:
-        top = placed.agg((F.coalesce(F.max("_pos"), F.lit(0)) + 1).alias("_top"))
-        # Nothing beyond the last row can match, so all segments stop there.
-        closed = segments.withColumn("_top", top.scalar()).withColumn(
-            "seg_to", F.least(F.coalesce("seg_to", "_top"), "_top")
-        ).drop("_top")
-    known, width, bound = _measured(closed, None if settled else "segments", width)
+        return _open_ended(rows, position, segments, keys, width, how, broadcast_rows, settled)
+    placed = rows.withColumn("_pos", position.cast("bigint"))
+    known, width, bound = _measured(segments, None if settled else "segments", width)
     first = F.floor(F.col("seg_from") / F.lit(width)).cast("bigint")
     last = F.floor((F.col("seg_to") - 1) / F.lit(width)).cast("bigint")
     cut = explode_count(known, last - first + 1, "_step")
@@ -69,6 +63,25 @@ def locate(
     )
 
 
+def _open_ended(rows, position, segments, keys, width, how, broadcast_rows, settled) -> DataFrame:
+    """``locate`` where the last segment of a key has no end."""
+    known = segments if settled else settle(segments, "segments")
+    closed = known.where(F.col("seg_to").isNotNull())
+    if known.where(F.col("seg_to").isNull()).isEmpty():
+        return locate(rows, position, closed, keys, width, how, broadcast_rows, settled=True)
+    payload = [c for c in segments.columns if c not in keys]
+    last = known.where(F.col("seg_to").isNull()).select(*keys, F.struct(*payload).alias("_last"))
+    inside = closed.select(*keys, "seg_from", "seg_to", F.struct(*payload).alias("_inside"))
+    placed = locate(rows.withColumn("_at", position.cast("bigint")), F.col("_at"), inside, keys, width, "left", broadcast_rows, settled=True)
+    placed = placed.drop("seg_from", "seg_to").withColumn("_all", F.lit(0))
+    joined = placed.join(join_side(last.withColumn("_all", F.lit(0)), limit=broadcast_rows), ["_all", *keys], "left")
+    found = joined.withColumn("_found", F.coalesce("_inside", F.when(F.col("_at") >= F.col("_last.seg_from"), F.col("_last"))))
+    if how in ("left_semi", "left_anti"):
+        return found.where(F.col("_found").isNotNull() if how == "left_semi" else F.col("_found").isNull()).select(*rows.columns)
+    found = found.where(F.col("_found").isNotNull()) if how == "inner" else found
+    return found.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in payload])
+
+
 def _measured(spans: DataFrame, label: str | None, width: int | None) -> tuple[DataFrame, int, int]:
     """Settle spans (given a label); choose a bucket width and bound the rows after cutting by it."""
     known = spans.where(F.col("seg_to") > F.col("seg_from"))
@@ -79,6 +92,10 @@ def _measured(spans: DataFrame, label: str | None, width: int | None) -> tuple[D
     return known, width, int(n * mean / width) + 2 * n
 
 
+# Stretches of a piece, and pieces of a larger one, that intervals are cut into.
+FAN = 64
+
+
 def elementary(
     intervals: DataFrame, keys: list[str], label: str, width: int | None = None
 ) -> DataFrame:
@@ -88,33 +105,50 @@ def elementary(
     between two neighbouring ends in which at least one interval is open.
     ``intervals`` has ``keys, seg_from, seg_to`` and the ``label`` column, with
     ``seg_to`` set.
+
+    Stretches are numbered, and every interval is laid out of single stretches,
+    pieces of ``FAN`` of them and pieces of ``FAN`` pieces, so it makes some 250 rows at
+    most besides its largest pieces, however many others are open. A stretch then
+    holds the labels of itself and of the pieces it lies in.
     """
     real, width, _ = _measured(
         intervals.select(*keys, "seg_from", "seg_to", label), "intervals", width
     )
+    block = width * 1_000
     marks = (
         real.select(*keys, F.explode(F.array("seg_from", "seg_to")).alias("seg_from"))
         .distinct()
     )
-    cuts = successor(marks, keys, "seg_from", "seg_to", width * 1_000).where(
-        F.col("seg_to").isNotNull()
-    )
-    # A cut starts inside every interval that covers it.
-    first = F.floor(F.col("seg_from") / F.lit(width)).cast("bigint")
-    last = F.floor((F.col("seg_to") - 1) / F.lit(width)).cast("bigint")
-    spread = explode_count(real, last - first + 1, "_step").select(
-        *keys,
-        F.col("seg_from").alias("_a"),
-        F.col("seg_to").alias("_b"),
-        F.col(label).alias("_label"),
-        (first + F.col("_step")).alias("_bucket"),
-    )
-    held = cuts.withColumn("_bucket", first).join(spread, [*keys, "_bucket"]).where(
-        (F.col("_a") <= F.col("seg_from")) & (F.col("_b") > F.col("seg_from"))
-    )
-    return held.groupBy(*keys, "seg_from", "seg_to").agg(
-        F.array_sort(F.collect_set("_label")).alias("labels")
-    )
+    cuts = settle(number_rows(successor(marks, keys, "seg_from", "seg_to", block), keys, "seg_from", "_no", block), "cuts")
+    at = lambda end, name: cuts.select(*keys, F.col("seg_from").alias(end), F.col("_no").alias(name))
+    laid = real.join(at("seg_from", "_a"), [*keys, "seg_from"]).join(at("seg_to", "_b"), [*keys, "seg_to"])
+    held = _pieces(laid.select(*keys, label, "_a", "_b"), [*keys, label]).groupBy(*keys, "_level", "_piece").agg(
+        F.collect_set(label).alias("_labels"))
+    held = settle(held, "pieces")
+    out, found = cuts.where(F.col("seg_to").isNotNull()), []
+    for level in range(3):
+        here = held.where(F.col("_level") == level).select(*keys, F.col("_piece").alias(f"_p{level}"), F.col("_labels").alias(f"_l{level}"))
+        out = out.withColumn(f"_p{level}", F.floor(F.col("_no") / F.lit(FAN ** level)).cast("bigint")).join(here, [*keys, f"_p{level}"], "left")
+        found.append(F.coalesce(F.col(f"_l{level}"), F.array().cast(held.schema["_labels"].dataType)))
+    labels = F.array_sort(F.array_distinct(F.concat(*found))).alias("labels")
+    return out.select(*keys, "seg_from", "seg_to", labels).where(F.size("labels") > 0)
+
+
+def _pieces(laid: DataFrame, kept: list[str]) -> DataFrame:
+    """(``kept``, _level, _piece): the fewest pieces that make up the stretches _a to _b - 1 of each row."""
+    def run(low: Column, high: Column) -> Column:
+        return F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    parts, a, b = [], F.col("_a"), F.col("_b")
+    for level in range(2):
+        up, down = F.ceil(a / F.lit(FAN)).cast("bigint"), F.floor(b / F.lit(FAN)).cast("bigint")
+        # Up to the first border and from the last one; all of it where no border lies between.
+        ends = F.when(up > down, run(a, b)).otherwise(F.concat(run(a, up * FAN), run(down * FAN, b)))
+        parts.append(F.transform(ends, lambda p: F.struct(F.lit(level).alias("_level"), p.alias("_piece"))))  # noqa: B023 - built at once
+        a, b = up, down
+    small = laid.select(*kept, F.inline(F.concat(*parts)))
+    large = explode_count(laid.withColumn("_first", a).withColumn("_many", b - a), F.col("_many"), "_step")
+    return small.unionByName(large.select(*kept, F.lit(2).alias("_level"), (F.col("_first") + F.col("_step")).alias("_piece")))
 
 
 def covered(intervals: DataFrame, keys: list[str]) -> DataFrame:
@@ -152,7 +186,7 @@ def count_between(
     ends of a span then differ by what lies between them. Overlapping spans
     therefore cost nothing extra.
     """
-    real, width, _ = _measured(spans, "spans", None)
+    real, width, _ = _measured(spans, "spans", None)  # all span columns, as stored
     block = width * 1_000
     marks = real.select(*keys, F.explode(F.array("seg_from", "seg_to")).alias("seg_from")).distinct()
     cuts = settle(successor(marks, keys, "seg_from", "seg_to", block), "cuts")
@@ -163,17 +197,12 @@ def count_between(
     at_marks = cuts.drop("seg_to").join(sums, [*keys, "seg_from"], "left").select(
         *keys, "seg_from", *[F.coalesce(n, F.lit(0)).alias(n) for n in counts]
     )
-    # Totals of everything before a mark, one row per mark: settled, as both ends look them up.
-    for n in counts:
-        at_marks = running_total(at_marks, keys, "seg_from", n, f"_{n}", block).withColumn(
-            f"_{n}", F.col(f"_{n}") - F.col(n)
-        )
-    before = settle(at_marks.select(*keys, "seg_from", *[f"_{n}" for n in counts]), "marks")
-    a = before.select(*keys, "seg_from", *[F.col(f"_{n}").alias(f"_a_{n}") for n in counts])
-    b = before.select(
-        *keys, F.col("seg_from").alias("seg_to"), *[F.col(f"_{n}").alias(f"_b_{n}") for n in counts]
-    )
-    both = real.join(a, [*keys, "seg_from"]).join(b, [*keys, "seg_to"])
-    return both.select(
-        *spans.columns, *[(F.col(f"_b_{n}") - F.col(f"_a_{n}")).alias(n) for n in counts]
-    )
+    # Totals of everything before a mark. Both ends of a span look theirs up in one join, so rows are read once, when the result is.
+    upto = running_totals(at_marks, keys, "seg_from", {n: f"_{n}" for n in counts}, block)
+    before = upto.select(*keys, F.col("seg_from").alias("_at"), *[(F.col(f"_{n}") - F.col(n)).alias(f"_{n}") for n in counts])
+    alike = real.select(*spans.columns).groupBy(*spans.columns).agg(F.count(F.lit(1)).alias("_alike"))
+    ends = alike.select("*", F.inline(F.array(
+        F.struct(F.col("seg_from").alias("_at"), F.lit(-1).alias("_sign")), F.struct(F.col("seg_to").alias("_at"), F.lit(1).alias("_sign")))))
+    both = ends.join(before, [*keys, "_at"]).groupBy(*spans.columns, "_alike").agg(
+        *[F.sum(F.col("_sign") * F.col(f"_{n}")).alias(n) for n in counts])
+    return explode_count(both, F.col("_alike"), "_copy").select(*spans.columns, *counts)

@@ -69,3 +69,28 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Bits of the map of keys that rows are held against where the keys are too many to broadcast: 2,048 rows of 4 kB.
+MAP_BITS = 1 << 26
+
+
+def only_keys_of(df: DataFrame, few: DataFrame, keys: list[str], broadcast_rows: int = BROADCAST_ROWS, bits: int = MAP_BITS) -> DataFrame:
+    """``df`` without rows whose keys are not in ``few``, or without most of them; nothing is shuffled but keys.
+
+    Where the distinct keys are proven small they are broadcast, and what
+    stays is exact. Beyond, they are folded to a bitmap of their hashes, of a fixed size whatever
+    their number, and some rows without a partner stay, which the join behind
+    this one drops. Rows with a null key go. ``few`` is read twice, so it should be a stored table.
+    """
+    wanted = few.select(*keys).dropna().distinct()
+    if small(wanted, broadcast_rows):
+        return df.join(F.broadcast(wanted), keys, "left_semi")
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits)).alias("_place")
+    maps = wanted.select(place).groupBy((F.bitmap_bucket_number("_place")).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_map"))
+    at = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    # At most bits / 32,768 rows of 4 kB each.
+    held = df.withColumn("_place", place).withColumn("_bucket", F.bitmap_bucket_number("_place")).join(F.broadcast(maps), "_bucket")
+    return held.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*df.columns)

@@ -66,6 +66,26 @@ def write_messages(
     writer.save(path)
 
 
+ADDRESS = ("topic", "partition", "offset")
+
+
+def write_bucketed(msgs: DataFrame, name: str, path: str, buckets: int, by: tuple[str, ...] = ADDRESS) -> DataFrame:
+    """Write messages as table ``name`` at ``path`` in buckets of ``by``, sorted in each, and read it back.
+
+    Rows are shuffled once, when they are written, to one file a bucket.
+    Tables with as many buckets of the same columns are then joined on them without a shuffle or a sort: messages
+    with what became of them, replays with their source. Buckets of whole addresses stay even where one
+    partition is hot.
+    """
+    msgs.repartition(buckets, *by).write.format("parquet").bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    return msgs.sparkSession.table(name)
+
+
+def join_buckets(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ADDRESS, how: str = "inner") -> DataFrame:
+    """Join two bucketed tables on their bucket columns, each bucket in one task."""
+    return a.hint("merge").join(b.hint("merge"), list(by), how)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a freshly read batch table at least as many tasks as there are cores.
 

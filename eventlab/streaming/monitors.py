@@ -136,6 +136,25 @@ def open_lag(done: Drained) -> DataFrame:
         *address, "ts", F.lit(None).cast("timestamp").alias("consumed_at"), F.lit(True).alias("lagging"))
 
 
+ARRIVALS = "arrivals"
+
+
+def observed(msgs: DataFrame) -> DataFrame:
+    """``msgs``, with the rows of each batch counted as they pass by, for ``ProgressTotals``; put it right in front of a window."""
+    return msgs.observe(ARRIVALS, F.count(F.lit(1)).alias("rows"))
+
+
+def dropped_rows(windows: DataFrame, totals: dict[str, int]) -> DataFrame:
+    """One row (arrived, counted, late_rows): how many rows a windowed stream left out as late.
+
+    ``windows`` has all its closed and open rows (tumbling windows, ``messages`` each), ``totals`` those of its
+    runs. Spark's own figure counts dropped rows after folding them per task.
+    """
+    arrived = F.lit(totals["observed_rows"]).cast("bigint")
+    return windows.agg(F.coalesce(F.sum("messages"), F.lit(0)).alias("counted")).select(
+        arrived.alias("arrived"), "counted", (arrived - F.col("counted")).alias("late_rows"))
+
+
 class ProgressTotals(StreamingQueryListener):
     """Adds up the progress of every batch of the queries that run while it is attached.
 
@@ -148,7 +167,7 @@ class ProgressTotals(StreamingQueryListener):
 
     def _of(self, run) -> dict[str, int]:
         self.ended.setdefault(str(run), threading.Event())
-        return self.totals.setdefault(str(run), {"batches": 0, "input_rows": 0, "late_rows": 0})
+        return self.totals.setdefault(str(run), {"batches": 0, "input_rows": 0, "late_rows": 0, "observed_rows": 0})
 
     def onQueryStarted(self, event) -> None:
         self._of(event.runId)
@@ -158,6 +177,8 @@ class ProgressTotals(StreamingQueryListener):
         total["batches"] += 1
         total["input_rows"] += p.numInputRows
         total["late_rows"] += sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        if ARRIVALS in p.observedMetrics:
+            total["observed_rows"] += p.observedMetrics[ARRIVALS].rows or 0
 
     def onQueryIdle(self, event) -> None:
         pass
