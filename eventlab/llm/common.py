@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.sizing import settle
+from ..plans.sizing import join_side, settle
 from ..session import configure
 
 # Rows of a batch between the JVM and Python: texts may be long, so few.
@@ -193,6 +194,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return settle(df, label)
 
 
+def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
+    """``df`` with a whole number of its own for every row, the same each time the rows are read.
+
+    Rows of Parquet files get the number of their file, in order of the paths, and their place in it;
+    anything else is written first. Numbers that a plan gives rows by partition are not used, as Spark does not promise
+    them twice.
+    """
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    except AnalysisException:
+        return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    # One row a file.
+    files = placed.select("_file").distinct().select("_file", F.row_number().over(Window.orderBy("_file")).cast("bigint").alias("_number"))
+    return placed.join(join_side(written(files, "files")), "_file").withColumn(
+        name, F.shiftleft("_number", 40) + F.col("_place")).drop("_file", "_place", "_number")
+
+
 def least_ids(links: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) of every node of ``links`` (a, b): the smallest id that can be reached.
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, in_arrow, mixed, signed, words_of, written
+from .common import Words, in_arrow, mixed, numbered, signed, words_of, written
 
 ORDER = 5
 BITS = 12  # of a symbol: 0 before a word, 1 behind it, else a hash of the letter
@@ -313,7 +313,7 @@ def _meet(rows: DataFrame, one: DataFrame, on: str) -> DataFrame:
 
 def with_sums(df: DataFrame, model: Tables, text: str = "text") -> DataFrame:
     """``df`` with ``_sums`` (log probability of the text by language) and ``_symbols``, by its distinct words and their distinct runs."""
-    base = written(df, "texts").withColumn("_row", F.monotonically_increasing_id())  # of a written table
+    base = numbered(written(df, "texts"))
     texts = base.select("_row", F.col(f"`{text}`").alias("text"))
 
     def words_in(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

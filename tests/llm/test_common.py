@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 
 from eventlab.llm import catalog, containment, fmindex, sketch
-from eventlab.llm.common import Words, bytes_hash, prepared, runs_hash, words_of
+from eventlab.llm.common import Words, bytes_hash, numbered, prepared, runs_hash, words_of
+from eventlab.session import scratch_path
 
 
 def words(texts):
@@ -82,3 +83,14 @@ def test_such_texts_are_no_copies(spark, one, two):
 def test_queries_are_registered():
     assert {n.split("_")[0] for n in catalog.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert isinstance(words(["a"]), Words)
+
+
+def test_numbers_of_rows_stay(spark):
+    path = scratch_path(prepared(spark), "rows")
+    spark.range(300).selectExpr("id % 50 AS doc_id", "'t' AS text", "1 AS _number").repartition(7).write.parquet(path)
+    for df in (spark.read.parquet(path), spark.read.parquet(path).select("text", "doc_id", "_number"), spark.range(40).selectExpr("id AS doc_id").repartition(3)):
+        rows = numbered(df)
+        assert rows.columns == [*df.columns, "_row"]
+        first = {r["_row"]: r.doc_id for r in rows.collect()}
+        assert len(first) == df.count() and first == {r["_row"]: r.doc_id for r in rows.select("doc_id", "_row").collect()}
+    assert numbered(spark.read.parquet(path).limit(0)).count() == 0
