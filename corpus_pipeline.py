@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventlab.llm import containment, crf, pieces, sketch, toxicity
 from eventlab.llm.catalog import piece_file, table
-from eventlab.llm.common import prepared, written
+from eventlab.llm.common import numbered, prepared, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,13 +24,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents that agree to 80 in 100 of their five-word shingles, the one with the smallest id.
+    """Of each class of documents that agree to 80 in 100 of their five-word shingles, the row with the smallest id.
 
-    Documents without words have no class and stay. Rows that share an id share its fate; rows without an id stay.
+    Every row is a document of its own, whatever its id: rows that share an id or have none are compared
+    like any others, an id comes before none, and of rows with one id one stays. Documents without words have no class and stay.
     """
     prepared(spark)
-    kept = sketch.classes(docs.where("doc_id IS NOT NULL").select("doc_id", "text").dropDuplicates(["doc_id"]), percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    rows = numbered(docs.select(*COLUMNS))
+    found = sketch.classes(rows.select(F.col("_row").alias("doc_id"), "text"), percent=80)
+    members = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    return rows.join(first.select("first._row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
