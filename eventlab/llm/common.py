@@ -201,14 +201,14 @@ def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     anything else is written first. Numbers that a plan gives rows by partition are not used, as Spark does not promise
     them twice.
     """
+    file, place = f"{name}_file", f"{name}_place"
     try:
-        placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+        placed = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
     except AnalysisException:
         return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
     # One row a file.
-    files = placed.select("_file").distinct().select("_file", F.row_number().over(Window.orderBy("_file")).cast("bigint").alias("_number"))
-    return placed.join(join_side(written(files, "files")), "_file").withColumn(
-        name, F.shiftleft("_number", 40) + F.col("_place")).drop("_file", "_place", "_number")
+    files = placed.select(file).distinct().select(file, F.row_number().over(Window.orderBy(file)).cast("bigint").alias(name))
+    return placed.join(join_side(written(files, "files")), file).withColumn(name, F.shiftleft(name, 40) + F.col(place)).drop(file, place)
 
 
 def least_ids(links: DataFrame, label: str = "components") -> DataFrame:
