@@ -21,6 +21,8 @@ HOT_PIECES = 2_000
 HOT_WORDS = 50_000
 # Windows of a part that pieces of hot anchors are cut into; parts overlap, so that each window is in one.
 PART_WINDOWS = 1_000
+# Windows of hot anchors that one task cuts out, about.
+TASK_WINDOWS = 10_000
 # Words of the parts that one Arrow batch holds, about.
 BATCH_WORDS = 500_000
 
@@ -303,7 +305,7 @@ def repeated(df: DataFrame, size: int = 20, text: str = "text", doc_id: str = "d
         "anchor", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "n",
         ((F.col("different") > HOT_PIECES) | (F.col("words") > HOT_WORDS)).alias("hot")), "searched")
     part = PART_WINDOWS
-    total = known.agg(F.sum(F.col("n") + size)).first()[0] or 0
+    total, many = known.agg(F.coalesce(F.sum(F.col("n") + size), F.lit(0)), F.coalesce(F.sum(F.when(F.col("hot"), F.col("n"))), F.lit(0))).first()
     shards = max(1, -(-total // SHARD_WORDS))
     by_doc = known.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("doc_id").agg(
         F.collect_list(F.struct("shard", "hot", "start", "n")).alias("pieces"))
@@ -314,11 +316,11 @@ def repeated(df: DataFrame, size: int = 20, text: str = "text", doc_id: str = "d
         contents.where("NOT hot").groupBy("shard")
         .applyInArrow(lambda t: _search(t, size), "doc_id bigint, from bigint, to bigint")
     )
-    return later.unionByName(searched).unionByName(_by_window(contents.where("hot"), size))
+    return later.unionByName(searched).unionByName(_by_window(contents.where("hot"), size, many))
 
 
-def _by_window(contents: DataFrame, size: int) -> DataFrame:
-    """The same for hot anchors: windows meet by their own hash, folded to the first before they meet."""
+def _by_window(contents: DataFrame, size: int, many: int) -> DataFrame:
+    """The same for the ``many`` windows of hot anchors: they meet by their own hash, folded to the first before they meet."""
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             return
@@ -330,7 +332,9 @@ def _by_window(contents: DataFrame, size: int) -> DataFrame:
             [pa.array(np.repeat(doc, n)), pa.array(_ranges(start, n)), *(signed(runs_hash(raw, at, at + size, seed)) for seed in (0, 1))],
             ["doc_id", "start", "window", "window_b"])
 
-    windows = in_arrow(contents.select("doc_id", "start", "n", "words"), "doc_id bigint, start bigint, window bigint, window_b bigint", cut)
+    # Dealt out evenly, as the documents that hold a hot passage may lie together.
+    parts = contents.select("doc_id", "start", "n", "words").repartition(max(1, -(-many // TASK_WINDOWS)))
+    windows = in_arrow(parts, "doc_id bigint, start bigint, window bigint, window_b bigint", cut)
     first = windows.groupBy("window", "window_b").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     return (
         windows.join(first, ["window", "window_b"])
