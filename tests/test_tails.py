@@ -120,6 +120,48 @@ def test_prompt_flows_go_on_from_their_checkpoint(spark):
     assert closed == {("x", "complete", 3), ("y", "expired", 1)} and waiting == {("z", 1, "1,2")}
 
 
+def plain_flows(batches, steps, timeout, late):
+    """Closed and open flows of batches of (id, step, second or None), one flow and message at a time."""
+    before, mark, top, flows, closed = 0, 0, 0, {}, Counter()
+    base = int((T0 - datetime(1970, 1, 1)).total_seconds())
+    for batch in [*batches, []]:
+        rows = [(i, s, None if t is None else (base + t) * 1000) for i, s, t in batch]
+        # Rows are late by the watermark of the batch before.
+        top = max([top, *(r[2] for r in rows if r[2] is not None)])
+        rows = [r for r in rows if r[2] is None or r[2] > before]
+        for i in {r[0] for r in rows}:
+            mine, held = [r for r in rows if r[0] == i], flows.get(i)
+            first = min((r[2] for r in mine if r[2] is not None), default=0)
+            seen = {r[1] for r in mine} | (held[0] if held else set())
+            if len(seen) == steps and (held is None or len(held[0]) < steps):
+                closed[i, "complete", steps, ""] += 1
+            flows[i] = seen, held[1] if held else max(first + timeout * 1000, mark + 1)
+        for i in [i for i, f in flows.items() if f[1] < mark]:
+            seen = flows.pop(i)[0]
+            if len(seen) < steps:
+                closed[i, "expired", len(seen), ",".join(str(s) for s in range(steps) if s not in seen)] += 1
+        before, mark = mark, max(mark, top - late * 1000)
+    return closed, {(i, len(seen)) for i, (seen, _) in flows.items() if len(seen) < steps}
+
+
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_prompt_flows_share_calls_and_state(spark, buckets):
+    rng = random.Random(buckets)
+    ids = [f"f{n}" for n in range(150)] + [None]
+    batches = [[(rng.choice(ids), rng.randrange(3), rng.choice([None, *range(at, at + 90)])) for _ in range(120)] for at in (0, 40, 100, 130)]
+    path = write_batches(spark, [[(i, s, t is not None, t or 0) for i, s, t in batch] for batch in batches], "correlation_id STRING, step INT, known BOOLEAN, ts TIMESTAMP")
+    msgs = stream_of(spark, path).withColumn("ts", F.expr("CASE WHEN known THEN ts END")).drop("known")
+    out, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "cp")
+    query = fs.prompt_flow_status(msgs, SHORT, 60, "10 seconds", buckets).writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    closed, waiting = plain_flows(batches, 3, 60, 10)
+    assert Counter(tuple(r) for r in spark.read.parquet(out).collect()) == closed and len({r[1] for r in closed}) == 2
+    assert {(r.correlation_id, r.seen) for r in fs.open_prompt_flow_status(spark, checkpoint, SHORT).collect()} == waiting and waiting
+    # As many rows of state as buckets, not as flows.
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == buckets
+
+
 def brute(rows, gap):
     times, out = {}, Counter()
     for k, t in rows:
