@@ -86,17 +86,23 @@ def join_buckets(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ADDRESS, how:
     return a.hint("merge").join(b.hint("merge"), list(by), how)
 
 
+# Rows of a table that one task expands or draws values for.
+ROWS_PER_TASK = 1 << 16
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a freshly read batch table at least as many tasks as there are cores.
+    """Give a freshly read batch table at least as many tasks as there are cores, and one for every ``ROWS_PER_TASK`` rows.
 
     Drawing values costs far more than reading the few columns they depend on, so
-    a table stored in a handful of files is dealt out before it is expanded. A
-    table with enough splits is left alone, as is a stream.
+    a table stored in a handful of files is dealt out before it is expanded. What a task sorts or folds
+    behind it thus stays as large whatever the table's size; narrow rows are so many in a split
+    that splits alone do not bound it. The rows are counted where they are read, which takes the files' footers only.
+    A table with enough splits is left alone, as is a stream.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or 2 * df.rdd.getNumPartitions() > cores:
+    if df.isStreaming:
         return df
-    return df.repartition(cores)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))
+    return df if 2 * df.rdd.getNumPartitions() > tasks else df.repartition(tasks)
 
 
 def topic_rows(spark: SparkSession, topics: list[TopicSpec]) -> DataFrame:

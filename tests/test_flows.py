@@ -9,6 +9,8 @@ from eventlab.operators.flows import (
     Flow, Step, correlate, flow_messages, flow_status, flow_violations, step_latency,
 )
 from eventlab.plans.spec import fields_of
+from eventlab.session import scratch_path
+from eventlab.sources.tables import spread
 
 T0 = datetime(2024, 1, 1)
 FLOW = Flow("f", (
@@ -140,3 +142,27 @@ def test_correlate_matches_brute_force(spark):
     assert inner == sum(v[1] is not None for v in want.values())
     with pytest.raises(ValueError):
         correlate(frame(a), frame(b), 0.02, "outer")
+
+
+def test_tasks_hold_as_many_rows_whatever_the_table(spark, monkeypatch):
+    monkeypatch.setattr("eventlab.sources.tables.ROWS_PER_TASK", 100, raising=False)
+    sizes = {}
+    for rows in (400, 4_000):
+        path = scratch_path(spark, "instances")
+        spark.range(rows).select(F.col("id").alias("row_index"), F.timestamp_seconds("id").alias("ts")).coalesce(1).write.parquet(path)
+        msgs = flow_messages(spread(spark.read.parquet(path)), FLOW, 3)
+        per_task = [r["count"] for r in msgs.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(per_task) == rows * len(FLOW.steps) and msgs.select("row_index").distinct().count() == rows
+        sizes[rows] = max(per_task)
+    assert sizes[4_000] <= 1.5 * sizes[400], sizes
+    # Enough splits are left alone, and so are streams.
+    many = scratch_path(spark, "many")
+    spark.range(400).repartition(16).write.parquet(many)
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.range(0)), "repartition", lambda *_: pytest.fail("dealt out"))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1g")
+        try:
+            spread(spark.read.parquet(many))
+            spread(spark.readStream.schema("id BIGINT").parquet(many))
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
